@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .minhash import op7_minhash
 from .packing import op4_best_fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_best_fit": op4_best_fit}
+    return {"op2_bpe": op2_bpe, "op4_best_fit": op4_best_fit, "op7_minhash": op7_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
