@@ -10,10 +10,11 @@ from .bpe import op2_bpe
 from .minhash import op7_minhash
 from .packing import op4_best_fit
 from .suffix import op3_suffix
+from .winnow import op5_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_best_fit": op4_best_fit, "op7_minhash": op7_minhash}
+    return {"op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_best_fit": op4_best_fit, "op5_winnowing": op5_winnowing, "op7_minhash": op7_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
