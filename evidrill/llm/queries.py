@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .langid import op9_langid
 from .minhash import op7_minhash
 from .packing import op4_best_fit
 from .suffix import op3_suffix
+from .topk import OP8_SQL, op8_topk
 from .winnow import op5_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_best_fit": op4_best_fit, "op5_winnowing": op5_winnowing, "op7_minhash": op7_minhash}
+    return {"op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_best_fit": op4_best_fit, "op5_winnowing": op5_winnowing, "op7_minhash": op7_minhash, "op8_topk": op8_topk, "op9_langid": op9_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk": OP8_SQL}
