@@ -10,6 +10,7 @@ from .bpe import op2_bpe
 from .html import op1_html
 from .langid import op9_langid
 from .minhash import op7_minhash
+from .ngram import op6_stupid_backoff
 from .packing import op4_best_fit
 from .suffix import op3_suffix
 from .toxicity import op10_toxicity
@@ -18,7 +19,7 @@ from .winnow import op5_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_best_fit": op4_best_fit, "op5_winnowing": op5_winnowing, "op7_minhash": op7_minhash, "op8_topk": op8_topk, "op9_langid": op9_langid, "op10_toxicity": op10_toxicity}
+    return {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_best_fit": op4_best_fit, "op5_winnowing": op5_winnowing, "op6_stupid_backoff": op6_stupid_backoff, "op7_minhash": op7_minhash, "op8_topk": op8_topk, "op9_langid": op9_langid, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
