@@ -223,5 +223,12 @@ def _with_component(rows_: DataFrame, classes: DataFrame, of_class: DataFrame) -
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, **how: int) -> DataFrame:
+    """Rows of ``docs`` less those whose component has a smaller doc_id; repeats of a row count once."""
+    gone = near_duplicates(docs.select("doc_id", "text"), **how).where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.withColumn("__doc", F.col("doc_id").cast("long")).join(gone.select(F.col("doc_id").alias("__doc")), "__doc", "left_anti")
+    return left.withColumn("__th", F.xxhash64("text")).dropDuplicates(["__doc", "__th"]).select(*docs.columns)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100, bands=25, rows=5)

@@ -348,5 +348,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeats cut from text, as whole code points, and n_chars (if there) counted anew."""
+    found = repeated_spans(docs, length)
+    data = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
+    rows = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__th": F.xxhash64(data)})
+    rows = rows.join(found.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__doc", "__th"], "left")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [t if t is None or not s else cut_text(t.encode("utf-8", "surrogatepass"), merged(s)) for t, s in zip(column(b, "text"), column(b, "__spans"), strict=True)]
+            cols = list(b.columns[:-1])
+            cols[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    cut_rows = rows.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+    return cut_rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_rows
+
+
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))

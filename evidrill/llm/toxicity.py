@@ -229,7 +229,8 @@ def _counted(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame]:
-    """The model, and (row columns but text, terms) of all of ``docs``, stored."""
+    """The model, and (doc_id, terms) of all of ``docs``, stored."""
+    docs = docs.select("doc_id", "text")
     sample, counts = _sample(docs, labels)
     terms = {t: i for i, t in enumerate(_terms(sample))}
     rows = materialize(_counted(docs, terms), "terms")
@@ -269,6 +270,22 @@ def score_rows(rows: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.LongType())]))
 
 
+def reject_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Rows of ``docs`` whose text isn't predicted toxic, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            keep = []
+            for text in column(b, "text"):
+                n = Counter(m.terms[t] for w in words(text) for t in terms_of(w) if t in m.terms) if m else {}
+                keep.append(m is None or m.score(dict(n))[0] < 0.5)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rows = fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return score_rows(rows, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
