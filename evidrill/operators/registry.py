@@ -1,15 +1,638 @@
-"""Queries of the engine's operators by name, each with its SQL where there is one."""
+"""Queries of the engine's operators over the driver's tables, each with its SQL.
+
+Labelled pairs and records are read from ``documents``, claims and evidence from
+``embeddings``; what is derived for an operator's sake is derived alike on both sides.
+Floating results are rounded to six places, so the order of sums doesn't show.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidrill.functions import predicates as P
+from evidrill.operators import annotation, audit, contracts, linking, retrieval, sampling
+
+SPLITS = ["train", "val", "test"]
+NAMES = {"0": "alpha", "1": "beta", "2": "gamma", "3": "delta"}
+ROOT = "archive/origin"
+K, POOL = 50, 52
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(fn):
+        _QUERIES[name] = lambda spark, sf_dir: rounded(fn(Tables(spark, sf_dir)))
+        if sql is not None:
+            _SQL[name] = PRELUDE + sql
+        return fn
+
+    return register
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+class Tables:
+    """The inputs as the operators see them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @property
+    def split(self):
+        return F.element_at(F.array(*[F.lit(s) for s in SPLITS]), (1 + F.floor(F.col("doc_id") / 3) % 3).cast("int"))
+
+    @property
+    def pairs(self) -> DataFrame:
+        d = F.col("doc_id")
+        return self.read("documents").select(d.alias("id"), (d + d % 3).alias("image_id"), (d % 3 != 0).alias("falsified"), (F.col("n_chars") / 7.0).alias("score"), (d % 5).cast("int").alias("source_dataset"), self.split.alias("split"))
+
+    @property
+    def records(self) -> DataFrame:
+        d = F.col("doc_id")
+        path = F.concat(F.lit(ROOT + "/"), "source", F.lit("/images/"), F.lpad((d % 100).cast("string"), 4, "0"), F.lit("/"), d.cast("string"), F.lit(".jpg"))
+        return self.read("documents").select(d.alias("id"), F.col("text").alias("caption"), "source", F.col("lang").alias("topic"), path.alias("image_path"), F.when(d % 7 == 0, F.lit("  ")).when(d % 11 != 0, F.concat(F.lit("t"), d.cast("string"))).alias("title"), self.split.alias("split"))
+
+    @property
+    def linked(self) -> DataFrame:
+        return linking.link(self.pairs, self.records, ["caption", "source", "split", "image_path"])
+
+    def vectors(self, turn: bool = False) -> DataFrame:
+        v = F.col("embedding")
+        return self.read("embeddings").select(F.col("vec_id"), (F.concat(F.slice(v, 2, 1_000), F.slice(v, 1, 1)) if turn else v).alias("vec"), "label")
+
+    @property
+    def claims(self) -> DataFrame:
+        """Every 25th vector is a claim; it looks for itself or for its successor."""
+        v = F.col("vec_id")
+        return self.vectors().where("vec_id % 25 = 0").select(v.alias("qid"), "vec", F.col("label").alias("q_label"), (v % 2 == 0).alias("falsified"), (F.col("label") % 4).alias("category"), (v + v % 2).alias("target"))
+
+    def ranked(self, turn: bool = False, k: int = POOL) -> DataFrame:
+        corpus = self.vectors(turn).select(F.col("vec_id").alias("cid"), "vec")
+        return retrieval.topk_inner_product(self.claims, corpus, k)
+
+    def labelled(self, turn: bool = False) -> DataFrame:
+        """Ranked candidates but the claim itself, refilled, with event labels by category."""
+        rows = retrieval.refill(self.ranked(turn), F.col("cid") == F.col("qid"), K).join(self.claims.select("qid", "q_label"), "qid").join(self.vectors().select(F.col("vec_id").alias("cid"), F.col("label").alias("c_label")), "cid")
+        return rows.select(F.lit("b" if turn else "a").alias("channel"), "qid", "cid", "similarity", "raw_rank", F.col("filtered_rank").alias("rank"), annotation.event_label(F.col("q_label"), F.col("c_label")).alias("event_label"), (F.col("cid") == F.col("qid") + 1).alias("is_exact"), (F.col("cid") == F.col("qid") + 2).alias("is_linked"), F.when(F.col("cid") % 3 == 0, F.concat(F.lit("g"), (F.col("cid") % 30).cast("string"))).alias("visual_group"), F.concat(F.lit("p"), F.col("cid").cast("string")).alias("path"))
+
+    @property
+    def annotated(self) -> DataFrame:
+        """Labels with confidence scores and states, from records."""
+        d = F.col("doc_id")
+        score = (d * 37 % 101).cast("int")
+        return self.read("documents").select(d, score.alias("confidence_score"), P.confidence_band(score).alias("confidence"), F.when(d % 9 == 0, "REVIEW").when(d % 5 == 0, "UNLABELED").otherwise("LABELED").alias("status"), F.element_at(F.array(*[F.lit(x) for x in annotation.LABELS]), (1 + d % 3).cast("int")).alias("event_label"))
+
+
+PRELUDE = f"""
+WITH pairs AS (
+  SELECT doc_id AS id, doc_id + doc_id % 3 AS image_id, doc_id % 3 <> 0 AS falsified, n_chars::DOUBLE / 7 AS score, (doc_id % 5)::INTEGER AS source_dataset,
+    (['train','val','test'])[1 + (doc_id // 3) % 3] AS split FROM documents
+), records AS (
+  SELECT doc_id AS id, text AS caption, source, lang AS topic, '{ROOT}/' || source || '/images/' || lpad((doc_id % 100)::VARCHAR, 4, '0') || '/' || doc_id || '.jpg' AS image_path,
+    CASE WHEN doc_id % 7 = 0 THEN '  ' WHEN doc_id % 11 <> 0 THEN 't' || doc_id END AS title, (['train','val','test'])[1 + (doc_id // 3) % 3] AS split FROM documents
+), linked AS (
+  SELECT p.*, c.caption AS caption_caption, c.source AS caption_source, c.split AS caption_split, i.caption AS image_caption, i.source AS image_source, i.split AS image_split,
+    c.id IS NOT NULL AS caption_found, i.id IS NOT NULL AS image_found, c.id IS NOT NULL AND i.id IS NOT NULL AS both_found, coalesce(p.id = p.image_id, false) AS same_record,
+    CASE WHEN c.id IS NOT NULL AND i.id IS NOT NULL THEN c.caption IS NOT DISTINCT FROM i.caption END AS captions_equal
+  FROM pairs p LEFT JOIN records c ON p.id = c.id LEFT JOIN records i ON p.image_id = i.id
+), claims AS (
+  SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS q_label, vec_id % 2 = 0 AS falsified, label % 4 AS category, vec_id + vec_id % 2 AS target FROM embeddings WHERE vec_id % 25 = 0
+), sims AS (
+  SELECT 'a' AS channel, qid, vec_id AS cid, list_dot_product(qv, embedding::DOUBLE[]) AS similarity FROM claims, embeddings
+  UNION ALL SELECT 'b', qid, vec_id, list_dot_product(qv, (embedding[2:] || embedding[1:1])::DOUBLE[]) FROM claims, embeddings
+), every_rank AS (
+  SELECT *, row_number() OVER (PARTITION BY channel, qid ORDER BY similarity DESC, cid) AS raw_rank FROM sims
+), ranked AS (SELECT * FROM every_rank WHERE channel = 'a' AND raw_rank <= {POOL}),
+filtered AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel, qid ORDER BY raw_rank) AS rank FROM every_rank WHERE cid <> qid AND raw_rank <= {POOL}) WHERE rank <= {K}
+), labelled AS (
+  SELECT f.channel, f.qid, f.cid, f.similarity, f.raw_rank, f.rank, CASE WHEN q.q_label = e.label THEN 'SAME' WHEN abs(q.q_label - e.label) = 1 THEN 'RELATED' ELSE 'IRRELEVANT' END AS event_label,
+    f.cid = f.qid + 1 AS is_exact, f.cid = f.qid + 2 AS is_linked, coalesce(CASE WHEN f.cid % 3 = 0 THEN 'g' || (f.cid % 30) END, 'p' || f.cid) AS visual
+  FROM filtered f JOIN claims q ON f.qid = q.qid JOIN embeddings e ON f.cid = e.vec_id
+), plain AS (
+  SELECT *, row_number() OVER (PARTITION BY channel, qid, visual ORDER BY rank, cid) AS place FROM labelled WHERE NOT is_exact AND NOT is_linked
+), viewed AS (
+  SELECT 'inclusive' AS view, channel, qid, cid, similarity, rank, event_label FROM labelled
+  UNION ALL SELECT 'primary', channel, qid, cid, similarity, rank, event_label FROM plain WHERE place = 1
+), firsts AS (
+  SELECT qid, channel, min(rank) FILTER (WHERE event_label = 'SAME' AND NOT is_exact AND NOT is_linked) AS first_rank, max(rank) AS max_depth FROM labelled GROUP BY qid, channel
+), annotated AS (
+  SELECT doc_id, (doc_id * 37 % 101)::INTEGER AS confidence_score, CASE WHEN doc_id * 37 % 101 >= 85 THEN 'HIGH' WHEN doc_id * 37 % 101 >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+    CASE WHEN doc_id % 9 = 0 THEN 'REVIEW' WHEN doc_id % 5 = 0 THEN 'UNLABELED' ELSE 'LABELED' END AS status, (['SAME','RELATED','IRRELEVANT'])[1 + doc_id % 3] AS event_label FROM documents
+)
+"""
+_CLASS = "CASE WHEN falsified IS NULL THEN 'INVALID_OR_MISSING' WHEN falsified THEN 'falsified' ELSE 'pristine' END"
+
+
+# -- audits ---------------------------------------------------------------------------------
+
+
+@query("audit_split_counts", "SELECT split, count(*) AS n_rows, CASE split WHEN 'train' THEN 334 ELSE 333 END::BIGINT AS expected, count(*) = CASE split WHEN 'train' THEN 334 ELSE 333 END AS as_expected FROM pairs GROUP BY split")
+def _(t: Tables) -> DataFrame:
+    return audit.split_counts(t.pairs, {"train": 334, "val": 333, "test": 333})
+
+
+@query(
+    "audit_class_balance",
+    f"""SELECT split, class, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY split), 6) AS pct,
+    (coalesce(sum(n) FILTER (WHERE class = 'pristine') OVER (PARTITION BY split), 0) = coalesce(sum(n) FILTER (WHERE class = 'falsified') OVER (PARTITION BY split), 0)) AND coalesce(sum(n) FILTER (WHERE class = 'pristine') OVER (PARTITION BY split), 0) > 0 AS balanced
+    FROM (SELECT split, {_CLASS} AS class, count(*) AS n FROM pairs GROUP BY ALL)""",
+)
+def _(t: Tables) -> DataFrame:
+    return audit.class_balance(t.pairs)
+
+
+@query(
+    "audit_field_profile",
+    """, cells AS (SELECT event_type AS split, event_id, unnest(json_keys(props)) AS field, props FROM events), v AS (SELECT split, field, json_extract(props, '$."' || field || '"') AS value FROM cells), n AS (SELECT event_type AS split, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY ALL)
+    SELECT v.split, field, (any_value(n.n) - count(*))::BIGINT AS n_missing, count(*) FILTER (WHERE json_type(value) = 'NULL') AS n_null, (any_value(n.n) - count(*) + count(*) FILTER (WHERE json_type(value) = 'NULL'))::BIGINT AS missing_or_null, count(DISTINCT value::VARCHAR) FILTER (WHERE json_type(value) <> 'NULL') AS n_distinct FROM v JOIN n ON v.split = n.split GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    return audit.field_profile(t.read("events").select(F.col("event_type").alias("split"), "props"), "props").drop("types_seen")
+
+
+def _repeats_sql(table: str, columns: list[str]) -> str:
+    cells = " UNION ALL ".join(f"SELECT split, '{c}' AS field, {c}::VARCHAR AS value FROM {table}" for c in columns)
+    return f", cells AS ({cells}), per AS (SELECT split, field, value, count(*) AS c FROM cells WHERE value IS NOT NULL GROUP BY ALL) SELECT split, field, count(*) AS n_distinct, sum(c - 1)::BIGINT AS repeated_rows, count(*) FILTER (WHERE c > 1) AS repeated_values FROM per GROUP BY ALL"
+
+
+@query("audit_id_profile", _repeats_sql("pairs", ["id", "image_id"]))
+def _(t: Tables) -> DataFrame:
+    return audit.repeats(t.pairs, ["id", "image_id"])
+
+
+@query("meta_field_dups", _repeats_sql("records", ["id", "caption", "image_path", "title", "source", "topic"]))
+def _(t: Tables) -> DataFrame:
+    return audit.repeats(t.records, ["id", "caption", "image_path", "title", "source", "topic"])
+
+
+@query("audit_id_relations", f"SELECT split, {_CLASS} AS class, CASE WHEN id < 0 OR image_id < 0 THEN 'INVALID' WHEN id = image_id THEN 'same' ELSE 'different' END AS relation, count(*) AS n FROM pairs GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return audit.id_relations(t.pairs)
+
+
+@query("audit_duplicates", ", per AS (SELECT split, caption, title, count(*) AS c FROM records GROUP BY ALL) SELECT split, sum(c - 1)::BIGINT AS duplicate_rows, count(*) FILTER (WHERE c > 1) AS duplicate_groups FROM per GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return audit.duplicate_rows(t.records, ["caption", "title"])
+
+
+@query("audit_source_dist", f"SELECT split, CASE source_dataset WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' WHEN 3 THEN 'delta' ELSE 'UNKNOWN_OR_INVALID' END AS source_name, {_CLASS} AS class, count(*) AS n FROM pairs GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return audit.source_classes(t.pairs, F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), "source_dataset")
+
+
+@query("audit_score_summary", ", s AS (SELECT split, falsified, CASE WHEN id % 13 <> 0 THEN score END AS s FROM pairs) SELECT split, falsified, count(*) AS n_rows, count(s) AS n_scores, count(*) - count(s) AS excluded, round(min(s), 6) AS min_score, round(max(s), 6) AS max_score, round(avg(s), 6) AS mean_score, round(median(s), 6) AS median_score FROM s GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    odd = F.when(F.col("id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("score"))
+    return audit.score_summary(t.pairs.withColumn("score", odd), "score", ["split", "falsified"])
+
+
+_CHECKS_SQL = {"negative_id": "id < 0", "same_id": "id = image_id", "unknown_source": "source_dataset > 3", "high_score": "score > 1000"}
+
+
+@query("audit_quality_pivot", ", long AS (" + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", split, count(*) FILTER (WHERE {c}) AS n FROM pairs GROUP BY split" for n, c in _CHECKS_SQL.items()) + ") SELECT \"check\", coalesce(sum(n) FILTER (WHERE split = 'train'), 0)::BIGINT AS train, coalesce(sum(n) FILTER (WHERE split = 'val'), 0)::BIGINT AS val, coalesce(sum(n) FILTER (WHERE split = 'test'), 0)::BIGINT AS test, sum(n) > 0 AS anomaly FROM long GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return audit.scoreboard(t.pairs, {n: F.expr(c) for n, c in _CHECKS_SQL.items()}, SPLITS)
+
+
+@query("meta_missing", " UNION ALL ".join(("" if i else "") + f"SELECT split, count(*) AS n_rows, '{c}' AS field, count(*) FILTER (WHERE {c} IS NULL OR trim({c}) = '') AS n_blank, round(count(*) FILTER (WHERE {c} IS NULL OR trim({c}) = '') * 100.0::DOUBLE / count(*), 6) AS pct FROM records GROUP BY split" for i, c in enumerate(["title", "topic", "image_path"])))
+def _(t: Tables) -> DataFrame:
+    return audit.missing_share(t.records, ["title", "topic", "image_path"])
+
+
+@query("meta_path_stats", "SELECT split, 0::BIGINT AS n_missing, 0::BIGINT AS n_blank, count(DISTINCT image_path) AS n_distinct, count(*) - count(DISTINCT image_path) AS repeated_rows, 0::BIGINT AS n_malformed FROM records GROUP BY split")
+def _(t: Tables) -> DataFrame:
+    return audit.path_stats(t.records, "image_path")
+
+
+@query("meta_path_prefixes", "SELECT split_part(image_path, '/', 1) || '/' || split_part(image_path, '/', 2) || '/' || split_part(image_path, '/', 3) || '/' || split_part(image_path, '/', 4) AS prefix, source, '.jpg' AS suffix, count(*) AS n FROM records GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    p = F.col("image_path")
+    return audit.histogram(t.records, prefix=P.path_prefix(p, 4), source=F.col("source"), suffix=P.suffix_of(p))
+
+
+@query("meta_caption_lengths", "SELECT split, min(length(caption))::INTEGER AS min_len, max(length(caption))::INTEGER AS max_len, round(avg(length(caption)), 6) AS mean_len, round(median(length(caption)), 6) AS median_len, count(*) - count(DISTINCT caption) AS duplicates FROM records WHERE regexp_matches(caption, '\\S') GROUP BY split")
+def _(t: Tables) -> DataFrame:
+    return audit.caption_lengths(t.records, "caption")
+
+
+def _pivot_sql(table: str, value: str) -> str:
+    return f"SELECT {value}, " + ", ".join(f"count(*) FILTER (WHERE split = '{s}') AS {s}" for s in SPLITS) + f", count(*) AS total FROM {table} GROUP BY {value}"
+
+
+@query("meta_source_pivot", _pivot_sql("records", "source"))
+def _(t: Tables) -> DataFrame:
+    return audit.value_pivot(t.records, "source", SPLITS)
+
+
+@query("meta_topic_pivot", _pivot_sql("records", "topic"))
+def _(t: Tables) -> DataFrame:
+    return audit.value_pivot(t.records, "topic", SPLITS)
+
+
+@query("meta_timestamp_profile", """, s AS (SELECT event_type AS split, CASE WHEN event_id % 17 = 0 THEN 'no date' WHEN event_id % 19 = 0 THEN '  ' WHEN event_id % 23 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS x FROM events)
+    SELECT split, count(*) FILTER (WHERE x IS NULL) AS n_missing, count(*) FILTER (WHERE trim(x) = '') AS n_blank, count(try_cast(x AS TIMESTAMP)) AS parseable, count(*) FILTER (WHERE trim(x) <> '' AND try_cast(x AS TIMESTAMP) IS NULL) AS unparseable, strftime(min(try_cast(x AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(try_cast(x AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS last FROM s GROUP BY split""")
+def _(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    x = F.when(e % 17 == 0, "no date").when(e % 19 == 0, "  ").when(e % 23 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return audit.timestamp_profile(t.read("events").select(F.col("event_type").alias("split"), x.alias("x")), "x")
+
+
+@query("meta_array_profile", ", w AS (SELECT split, CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 = 1 THEN [] ELSE string_split(caption, '. ') END AS a FROM records) SELECT split, count(*) FILTER (WHERE a IS NULL) AS n_missing, count(*) FILTER (WHERE len(a) = 0) AS n_empty, min(len(a)) FILTER (WHERE len(a) > 0)::INTEGER AS min_entries, max(len(a))::INTEGER AS max_entries, max(list_max(list_transform(a, lambda x: length(x))))::INTEGER AS longest_entry FROM w GROUP BY split")
+def _(t: Tables) -> DataFrame:
+    a = F.when(F.col("id") % 10 == 1, F.array().cast("array<string>")).when(F.col("id") % 10 != 0, F.split("caption", r"\. "))
+    return audit.array_profile(t.records.withColumn("a", a), "a").drop("least_entry")
+
+
+@query("meta_oldest3", "SELECT event_type AS split, event_id, place FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)::INTEGER AS place FROM events) WHERE place <= 3")
+def _(t: Tables) -> DataFrame:
+    rows = t.read("events").select(F.col("event_type").alias("split"), "event_id", "ts")
+    return audit.first_in_group(rows, ["split"], [F.col("ts"), F.col("event_id")], 3).drop("ts")
+
+
+@query("split_overlap", "SELECT a.split AS split_a, b.split AS split_b, count(*) AS n_shared FROM (SELECT DISTINCT split, caption FROM records WHERE caption IS NOT NULL) a JOIN (SELECT DISTINCT split, caption FROM records) b ON a.caption = b.caption AND a.split < b.split GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return audit.overlap(t.records, "caption")
+
+
+@query("size_distribution", ", g AS (SELECT split, caption, count(*) AS size FROM records GROUP BY ALL) SELECT size, " + ", ".join(f"count(*) FILTER (WHERE split = '{s}') AS {s}" for s in SPLITS) + ", count(*) AS total FROM g GROUP BY size")
+def _(t: Tables) -> DataFrame:
+    return audit.size_distribution(t.records, "caption", "split", SPLITS)
+
+
+@query("key_checks", " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n_rows, count(*) - count({c}) AS n_null, count({c}) - count(DISTINCT {c}) AS n_repeated FROM records" for c in ["id", "caption", "title"]))
+def _(t: Tables) -> DataFrame:
+    return audit.key_checks(t.records, ["id", "caption", "title"])
+
+
+@query("describe_sizes", " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS n, round(avg({c}::DOUBLE), 6) AS mean, round(stddev_samp({c}::DOUBLE), 6) AS std, min({c}::DOUBLE) AS low, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q1, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q2, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q3, max({c}::DOUBLE) AS high FROM part" for c in ["p_size", "p_retailprice"]))
+def _(t: Tables) -> DataFrame:
+    return audit.describe(t.read("part"), ["p_size", "p_retailprice"])
+
+
+# -- links ----------------------------------------------------------------------------------
+
+
+@query("link_two_role", "SELECT id, image_id, split, caption_source, image_source, caption_found, image_found, both_found, same_record, captions_equal FROM linked")
+def _(t: Tables) -> DataFrame:
+    return t.linked.select("id", "image_id", "split", "caption_source", "image_source", "caption_found", "image_found", "both_found", "same_record", "captions_equal")
+
+
+@query("link_order_nations", "SELECT l_orderkey, l_linenumber, c_name, s_name, n1.n_name AS customer_nation, n2.n_name AS supplier_nation, n1.n_nationkey = n2.n_nationkey AS same_nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN nation n2 ON s_nationkey = n2.n_nationkey")
+def _(t: Tables) -> DataFrame:
+    nation = t.read("nation").select("n_nationkey", "n_name")
+    side = lambda r: nation.select(F.col("n_nationkey").alias(f"{r}_key"), F.col("n_name").alias(f"{r}_nation"))
+    rows = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(t.read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(t.read("customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t.read("supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.join(side("customer"), F.col("c_nationkey") == F.col("customer_key")).join(side("supplier"), F.col("s_nationkey") == F.col("supplier_key"))
+    return rows.select("l_orderkey", "l_linenumber", "c_name", "s_name", "customer_nation", "supplier_nation", (F.col("customer_key") == F.col("supplier_key")).alias("same_nation"))
+
+
+@query("link_coverage", "SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE caption_found) AS n_caption, count(*) FILTER (WHERE image_found) AS n_image, count(*) FILTER (WHERE both_found) AS n_both, count(*) FILTER (WHERE NOT caption_found AND NOT image_found) AS n_none, round(count(*) FILTER (WHERE both_found) * 100.0::DOUBLE / count(*), 6) AS pct_both FROM linked GROUP BY split")
+def _(t: Tables) -> DataFrame:
+    return linking.coverage(t.linked, ["split"])
+
+
+@query("link_edge_cases", "SELECT id, image_id, caption_source, image_source FROM linked WHERE falsified AND both_found AND (caption_source <> image_source OR captions_equal)")
+def _(t: Tables) -> DataFrame:
+    return t.linked.where(F.col("falsified") & F.col("both_found") & ((F.col("caption_source") != F.col("image_source")) | F.col("captions_equal"))).select("id", "image_id", "caption_source", "image_source")
+
+
+@query("link_split_agreement", ", r AS (SELECT split, 'caption' AS role, caption_split AS other FROM linked WHERE caption_found UNION ALL SELECT split, 'image', image_split FROM linked WHERE image_found) SELECT split, role, count(*) FILTER (WHERE other = split) AS same_split, count(*) FILTER (WHERE other <> split) AS other_split FROM r GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return linking.split_agreement(t.linked)
+
+
+@query("link_class_invariants", f"SELECT {_CLASS} AS class, count(*) AS n_rows, count(*) FILTER (WHERE same_record) AS one_record, count(*) FILTER (WHERE captions_equal) AS equal_captions, count(*) FILTER (WHERE captions_equal IS NULL) AS unknown FROM linked GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return linking.class_invariants(t.linked)
+
+
+@query("link_source_pairs", "SELECT caption_source, image_source, count(*) AS n, coalesce(caption_source = image_source, false) AS same_source FROM linked WHERE both_found GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return linking.source_pairs(t.linked)
+
+
+@query("link_missing_ids", "SELECT 'image' AS role, image_id AS key, count(*) AS n FROM linked WHERE NOT image_found GROUP BY ALL UNION ALL SELECT 'caption', id, count(*) FROM linked WHERE NOT caption_found GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return linking.missing_ids(t.linked)
+
+
+@query("link_repeated_values", "SELECT id, source, n_same FROM (SELECT id, source, caption, count(*) OVER (PARTITION BY caption) AS n_same FROM records) WHERE n_same > 1 AND caption IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    return linking.repeated_members(t.records, "caption", ["id", "source"])
+
+
+@query("asset_inventory", ", a AS (SELECT image_path, source FROM records WHERE id % 2 = 0), b AS (SELECT image_path, CASE WHEN id % 12 = 0 THEN 'other' ELSE source END AS source FROM records WHERE id % 3 = 0) SELECT coalesce(a.image_path, b.image_path) AS image_path, coalesce(a.source, b.source) AS source, a.image_path IS NOT NULL AS is_query, b.image_path IS NOT NULL AS is_evidence, CASE WHEN a.image_path IS NOT NULL AND b.image_path IS NOT NULL THEN 'both' WHEN a.image_path IS NOT NULL THEN 'query_only' ELSE 'evidence_only' END AS asset_role, coalesce(a.source <> b.source, false) AS conflict FROM a FULL JOIN b ON a.image_path = b.image_path")
+def _(t: Tables) -> DataFrame:
+    r = t.records
+    other = F.when(F.col("id") % 12 == 0, "other").otherwise(F.col("source"))
+    return linking.inventory(r.where("id % 2 = 0"), r.where("id % 3 = 0").withColumn("source", other), "image_path", ["source"])
+
+
+@query("table_compare", "SELECT id, 'source' AS \"column\", source AS \"left\", 'x' AS \"right\" FROM records WHERE id % 50 = 1 UNION ALL SELECT id, '(row)', 'present', NULL FROM records WHERE id % 50 = 0")
+def _(t: Tables) -> DataFrame:
+    a = t.records.select("id", "source", "topic")
+    b = a.where("id % 50 <> 0").withColumn("source", F.when(F.col("id") % 50 == 1, "x").otherwise(F.col("source")))
+    return linking.compare(a, b, ["id"], ["source", "topic"])
+
+
+@query("asset_path_checks", f"SELECT url, CASE WHEN url = '' THEN 'empty' WHEN contains(url, chr(92)) THEN 'backslash' WHEN starts_with(url, '/') THEN 'absolute' WHEN len(list_filter(string_split(url, '/'), lambda x: x IN ('', '.', '..'))) > 0 THEN 'empty or dotted part' WHEN contains(split_part(url, '/', 1), ':') THEN 'drive or scheme' END AS reason, false AS ok FROM pages UNION ALL SELECT image_path, NULL, source IN ('src0', 'src1') FROM records")
+def _(t: Tables) -> DataFrame:
+    u, p = F.col("url"), F.col("image_path")
+    pages = t.read("pages").select("url", P.unsafe_path_reason(u).alias("reason"), P.asset_path_ok(u, ROOT, ["src0", "src1"]).alias("ok"))
+    return pages.unionByName(t.records.select(p.alias("url"), P.unsafe_path_reason(p).alias("reason"), P.asset_path_ok(p, ROOT, ["src0", "src1"]).alias("ok")))
+
+
+@query("hash_duplicates", "SELECT sha256(caption) AS sha256, count(*) AS n_files, min(image_path) AS first_path FROM records GROUP BY ALL HAVING count(*) > 1")
+def _(t: Tables) -> DataFrame:
+    from evidrill.plans.publish import duplicate_files
+
+    return duplicate_files(t.records.select("image_path", F.sha2("caption", 256).alias("sha256")))
+
+
+@query("benchmark_matches", "SELECT b.item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    # the benchmark is a fixed list of passages; its size is checked before it is sent to every task
+    items = t.read("benchmark").select("item_id", F.col("text").alias("passage"))
+    if items.limit(10_001).count() > 10_000:
+        raise ValueError("too many passages to compare with every text")
+    return t.read("documents").join(F.broadcast(items), F.contains("text", "passage")).groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+# -- samples --------------------------------------------------------------------------------
+
+
+@query("sample_stratified", "SELECT split, falsified, id, draw FROM (SELECT split, falsified, id, row_number() OVER (PARTITION BY split, falsified ORDER BY md5('7:' || id), id)::INTEGER AS draw FROM pairs) WHERE draw <= 4")
+def _(t: Tables) -> DataFrame:
+    return sampling.per_group(t.pairs, ["split", "falsified"], "id", 4, 7).select("split", "falsified", "id", "draw")
+
+
+@query("sample_quota", ", g AS (SELECT source, count(*) FILTER (WHERE id % 100 = 0) AS taken FROM records GROUP BY source), q AS (SELECT source, greatest(97 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY source) <= 97 % count(*) OVER () THEN 1 ELSE 0 END - taken, 0) AS quota FROM g) SELECT r.source, r.id FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY md5('3:' || id), id) AS draw FROM records WHERE id % 100 <> 0) r JOIN q ON r.source = q.source WHERE draw <= quota")
+def _(t: Tables) -> DataFrame:
+    groups = t.records.groupBy("source").agg(audit.count_if(F.col("id") % 100 == 0).alias("taken"))
+    return sampling.quota_sample(t.records.where("id % 100 <> 0"), sampling.quotas(groups, 97, "source", "taken"), "source", "id", 3).select("source", "id")
+
+
+@query("sample_greedy")
+def _(t: Tables) -> DataFrame:
+    rows = t.linked.where("both_found").select("id", "image_id", "caption_caption", F.concat_ws("/", "split", F.col("falsified").cast("string")).alias("cell"), "image_image_path")
+    return sampling.greedy(rows, "cell", [f"{s}/{f}" for s in SPLITS for f in ("false", "true")], [["caption_caption"], ["image_image_path"], ["id", "image_id"]], 5, 11, "id")
+
+
+@query("evidence_roles", ", c AS (SELECT DISTINCT id FROM pairs WHERE id % 40 = 1), i AS (SELECT DISTINCT image_id AS id FROM pairs WHERE pairs.id % 40 = 1) SELECT r.id, c.id IS NOT NULL OR i.id IS NOT NULL AS is_query_provenance, CASE WHEN c.id IS NOT NULL AND i.id IS NOT NULL THEN 'both' WHEN c.id IS NOT NULL THEN 'caption' WHEN i.id IS NOT NULL THEN 'image' ELSE 'background' END AS provenance_role FROM records r LEFT JOIN c ON r.id = c.id LEFT JOIN i ON r.id = i.id")
+def _(t: Tables) -> DataFrame:
+    return sampling.provenance(t.pairs.where("id % 40 = 1"), t.records).select("id", "is_query_provenance", "provenance_role")
+
+
+@query("background_exclusions", "SELECT CASE WHEN id % 40 = 1 THEN 'provenance' WHEN title IS NULL OR trim(title) = '' THEN 'no title' WHEN topic = 'es' THEN 'topic' END AS reason, count(*) AS n FROM records GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    rules = [(F.col("id") % 40 == 1, "provenance"), (~P.has_text(F.col("title")), "no title"), (F.col("topic") == "es", "topic")]
+    return sampling.exclusion_reasons(t.records, rules).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# -- retrieval ------------------------------------------------------------------------------
+
+
+@query("vec_norms", ", n AS (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT count(*) AS n_vectors, round(min(n), 6) AS min_norm, round(avg(n), 6) AS mean_norm, round(max(n), 6) AS max_norm, 0::BIGINT AS n_not_finite, count(*) FILTER (WHERE abs(n - 1) > 1e-5) AS n_not_unit FROM n")
+def _(t: Tables) -> DataFrame:
+    return retrieval.vector_contract(t.vectors(), "vec")
+
+
+@query("topk_raw_a", "SELECT qid, cid, round(similarity, 6) AS similarity, raw_rank::INTEGER AS raw_rank FROM ranked")
+def _(t: Tables) -> DataFrame:
+    return t.ranked().select("qid", "cid", "similarity", "raw_rank")
+
+
+@query("topk_raw_b", f"SELECT qid, cid, round(similarity, 6) AS similarity, raw_rank::INTEGER AS raw_rank FROM every_rank WHERE channel = 'b' AND raw_rank <= {POOL}")
+def _(t: Tables) -> DataFrame:
+    return t.ranked(turn=True).select("qid", "cid", "similarity", "raw_rank")
+
+
+@query("topk_block", "SELECT qid, cid, round(similarity, 6) AS similarity, raw_rank::INTEGER AS raw_rank FROM ranked WHERE raw_rank <= 10")
+def _(t: Tables) -> DataFrame:
+    return retrieval.topk_inner_product(t.claims, t.vectors().select(F.col("vec_id").alias("cid"), "vec"), 10, method="block").select("qid", "cid", "similarity", "raw_rank")
+
+
+@query("pool_size", ", s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT least(50 + max(n), (SELECT count(*) FROM embeddings))::BIGINT AS pool FROM claims JOIN s ON q_label = label")
+def _(t: Tables) -> DataFrame:
+    return retrieval.pool_size(t.claims.withColumnRenamed("q_label", "label"), t.vectors(), "label", 50)
+
+
+@query("topk_filtered", "SELECT qid, cid, raw_rank::INTEGER AS raw_rank, rank::INTEGER AS filtered_rank FROM filtered WHERE channel = 'a'")
+def _(t: Tables) -> DataFrame:
+    return retrieval.refill(t.ranked(), F.col("cid") == F.col("qid"), K).select("qid", "cid", "raw_rank", "filtered_rank")
+
+
+_TARGETS = ", hits AS (SELECT c.qid, c.falsified, c.category, min(r.raw_rank) AS rank FROM claims c LEFT JOIN ranked r ON c.qid = r.qid AND r.cid = c.target GROUP BY ALL)"
+_RECALL = "count(*) AS n_queries, " + ", ".join(f"round(avg(coalesce(rank <= {k}, false)::INTEGER), 6) AS recall_{k}" for k in (1, 5, 10)) + ", round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(*) FILTER (WHERE rank IS NULL) AS n_absent"
+
+
+def _hits(t: Tables) -> DataFrame:
+    return retrieval.target_ranks(t.ranked(), t.claims, "target")
+
+
+@query("recall_mrr", f"{_TARGETS} SELECT {_RECALL} FROM hits")
+def _(t: Tables) -> DataFrame:
+    return retrieval.recall(_hits(t), [1, 5, 10])
+
+
+@query("recall_mrr_stratified", f"{_TARGETS}, s AS (SELECT 'all' AS stratum, rank FROM hits UNION ALL SELECT CASE WHEN falsified THEN 'falsified' ELSE 'pristine' END, rank FROM hits UNION ALL SELECT 'falsified/' || category, rank FROM hits WHERE falsified) SELECT stratum, {_RECALL} FROM s GROUP BY stratum")
+def _(t: Tables) -> DataFrame:
+    return retrieval.stratified(_hits(t), [1, 5, 10], "falsified", "category")
+
+
+@query("score_summary", "SELECT round(avg(similarity) FILTER (WHERE raw_rank = 1), 6) AS top1_mean, round(median(similarity) FILTER (WHERE raw_rank = 1), 6) AS top1_median, round(min(similarity) FILTER (WHERE raw_rank = 1), 6) AS top1_min, round(max(similarity) FILTER (WHERE raw_rank = 1), 6) AS top1_max, round(avg(similarity) FILTER (WHERE raw_rank <= 5), 6) AS top5_mean, round(avg(similarity) FILTER (WHERE raw_rank <= 10), 6) AS top10_mean FROM ranked")
+def _(t: Tables) -> DataFrame:
+    return retrieval.score_summary(t.ranked())
+
+
+@query("filter_diagnostics", f", per AS (SELECT qid, count(*) AS n, count(*) FILTER (WHERE raw_rank > {K}) AS refilled FROM filtered WHERE channel = 'a' GROUP BY qid) SELECT (SELECT count(*) FROM ranked WHERE cid = qid) AS n_excluded, (SELECT count(*) FROM ranked WHERE cid = qid AND raw_rank <= {K}) AS n_excluded_top, count(*) AS n_queries, min(n) AS fewest, max(n) AS most, sum(refilled)::BIGINT AS n_refilled, count(*) FILTER (WHERE refilled > 0) AS queries_refilled FROM per")
+def _(t: Tables) -> DataFrame:
+    ranked, own = t.ranked(), F.col("cid") == F.col("qid")
+    return retrieval.filter_diagnostics(retrieval.refill(ranked, own, K), ranked, own, K)
+
+
+@query("dup_pair_diag", ", per AS (SELECT qid, cid % 30 AS g, count(*) AS n FROM ranked WHERE cid % 3 = 0 GROUP BY ALL) SELECT coalesce(sum(n), 0)::BIGINT AS n_rows, count(DISTINCT qid) AS queries_either, count(DISTINCT qid) FILTER (WHERE n >= 2) AS queries_both FROM per")
+def _(t: Tables) -> DataFrame:
+    return retrieval.duplicate_pairs(t.ranked(), F.when(F.col("cid") % 3 == 0, F.col("cid") % 30))
+
+
+@query("rank_contract", "SELECT 0::BIGINT AS rank_gap, 0::BIGINT AS score_rises, count(*) FILTER (WHERE abs(similarity) > 1.00001) AS score_range, 0::BIGINT AS rank_range, 0::BIGINT AS short_query, 0::BIGINT AS rank_repeats, 0::BIGINT AS id_repeats FROM ranked")
+def _(t: Tables) -> DataFrame:
+    return retrieval.rank_contract(t.ranked(), POOL)
+
+
+@query("paired_cosine", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (embedding[2:] || embedding[1:1])::DOUBLE[]), 6) AS similarity FROM embeddings")
+def _(t: Tables) -> DataFrame:
+    return retrieval.paired_cosine(t.vectors(), t.vectors(turn=True), "vec_id")
+
+
+# -- annotation -----------------------------------------------------------------------------
+
+
+def _channels(t: Tables) -> DataFrame:
+    return t.labelled().unionByName(t.labelled(turn=True))
+
+
+@query("candidate_union", ", a AS (SELECT qid, cid, rank, similarity FROM filtered WHERE channel = 'a' AND rank <= 5), b AS (SELECT qid, cid, rank, similarity FROM filtered WHERE channel = 'b' AND rank <= 5), u AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.cid, b.cid) AS cid, a.rank AS rank_a, b.rank AS rank_b, a.similarity AS sa, b.similarity AS sb FROM a FULL JOIN b ON a.qid = b.qid AND a.cid = b.cid), n AS (SELECT qid, target AS cid FROM claims) SELECT coalesce(u.qid, n.qid) AS qid, coalesce(u.cid, n.cid) AS cid, rank_a::INTEGER AS rank_a, rank_b::INTEGER AS rank_b, round(sa, 6) AS similarity_a, round(sb, 6) AS similarity_b, n.qid IS NOT NULL AS is_anchor, u.qid IS NULL AS anchor_only FROM u FULL JOIN n ON u.qid = n.qid AND u.cid = n.cid")
+def _(t: Tables) -> DataFrame:
+    return annotation.candidate_union(t.labelled(), t.labelled(turn=True), t.claims.select("qid", F.col("target").alias("cid")), 5)
+
+
+@query("event_rates", "SELECT view, channel, count(*) AS n_rows, count(*) FILTER (WHERE event_label = 'SAME') AS n_same, count(*) FILTER (WHERE event_label = 'RELATED') AS n_related, count(*) FILTER (WHERE event_label = 'IRRELEVANT') AS n_irrelevant, count(*) FILTER (WHERE event_label <> 'IRRELEVANT') AS n_relevant, round(count(*) FILTER (WHERE event_label = 'SAME') / count(*), 6) AS same_rate, round(count(*) FILTER (WHERE event_label = 'RELATED') / count(*), 6) AS related_rate, round(count(*) FILTER (WHERE event_label = 'IRRELEVANT') / count(*), 6) AS irrelevant_rate, round(count(*) FILTER (WHERE event_label <> 'IRRELEVANT') / count(*), 6) AS relevant_rate FROM viewed GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return annotation.event_rates(annotation.views(_channels(t), "is_exact", "is_linked", "visual_group", "path"), ["view", "channel"])
+
+
+@query("rank_rates", ", k AS (SELECT unnest(range(1, 6)) AS k), n AS (SELECT count(*) AS n FROM claims) SELECT channel, k::INTEGER AS k, count(*) FILTER (WHERE rank = k) AS n_rank, round(count(*) FILTER (WHERE rank = k AND event_label = 'SAME') / nullif(count(*) FILTER (WHERE rank = k), 0), 6) AS same_at_rank, count(*) AS n_up_to, round(count(*) FILTER (WHERE event_label = 'SAME') / count(*), 6) AS same_up_to, round(count(DISTINCT qid) FILTER (WHERE event_label = 'SAME') / any_value(n.n), 6) AS query_hit_rate FROM labelled, k, n WHERE rank <= k GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return annotation.rank_rates(_channels(t), t.claims.count(), 5)
+
+
+@query("similarity_by_label", "SELECT channel, event_label, count(*) AS n_rows, round(avg(similarity), 6) AS mean_sim, round(median(similarity), 6) AS median_sim, round(stddev_samp(similarity), 6) AS std_sim, round(min(similarity), 6) AS min_sim, round(max(similarity), 6) AS max_sim FROM labelled GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return annotation.similarity_by_label(_channels(t), ["channel"])
+
+
+@query("upper_quartile", ", c AS (SELECT channel, quantile_cont(similarity, 0.75) AS threshold FROM labelled GROUP BY channel) SELECT l.channel, event_label, round(any_value(threshold), 6) AS threshold, count(*) AS n_rows FROM labelled l JOIN c ON l.channel = c.channel WHERE similarity >= threshold GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return annotation.upper_quartile(_channels(t), ["channel"])
+
+
+@query("above_sole_positive", ", m AS (SELECT *, count(*) FILTER (WHERE event_label = 'SAME') OVER (PARTITION BY channel, qid) AS n, max(similarity) FILTER (WHERE event_label = 'SAME') OVER (PARTITION BY channel, qid) AS sole FROM labelled WHERE rank <= 10) SELECT channel, qid, any_value(n) AS n_same, CASE WHEN any_value(n) = 1 THEN count(*) FILTER (WHERE event_label <> 'SAME' AND similarity > sole) END AS n_above FROM m GROUP BY channel, qid")
+def _(t: Tables) -> DataFrame:
+    return annotation.above_sole_positive(_channels(t).where("rank <= 10"), ["channel", "qid"])
+
+
+@query("sensitivity", ", r AS (SELECT view, channel, count(*) FILTER (WHERE event_label = 'SAME') / count(*) AS x FROM viewed GROUP BY ALL) SELECT channel, round(max(x) FILTER (WHERE view = 'inclusive'), 6) AS inclusive, round(max(x) FILTER (WHERE view = 'primary'), 6) AS \"primary\", round((max(x) FILTER (WHERE view = 'primary') - max(x) FILTER (WHERE view = 'inclusive')) * 100, 6) AS delta_points FROM r GROUP BY channel")
+def _(t: Tables) -> DataFrame:
+    rates = annotation.event_rates(annotation.views(_channels(t), "is_exact", "is_linked", "visual_group", "path"), ["view", "channel"])
+    return annotation.sensitivity(rates, ["channel"], "view", "inclusive", "primary", "same_rate")
+
+
+@query("exclusion_accounting", ", m AS (SELECT channel, is_exact OR is_linked AS t, row_number() OVER (PARTITION BY channel, qid, is_exact OR is_linked, visual ORDER BY rank, cid) AS place FROM labelled) SELECT channel, count(*) AS n_rows, count(*) FILTER (WHERE t) AS n_trivial, count(*) FILTER (WHERE NOT t AND place > 1) AS n_visual_repeats, count(*) FILTER (WHERE NOT t AND place = 1) AS n_kept FROM m GROUP BY channel")
+def _(t: Tables) -> DataFrame:
+    return annotation.exclusions(_channels(t), "is_exact", "is_linked", "visual_group", "path")
+
+
+def _firsts(t: Tables) -> DataFrame:
+    return annotation.first_rank(_channels(t), (F.col("event_label") == "SAME") & ~P.trivial(F.col("is_exact"), F.col("is_linked")))
+
+
+@query("first_rank", "SELECT qid, channel, first_rank::INTEGER AS first_rank, max_depth::INTEGER AS max_depth FROM firsts")
+def _(t: Tables) -> DataFrame:
+    return _firsts(t)
+
+
+@query("coverage_by_depth", ", b AS (SELECT qid, channel AS scope, first_rank FROM firsts UNION ALL SELECT qid, 'union', first_rank FROM firsts), d AS (SELECT unnest([1, 5, 10, 20, 50]) AS depth) SELECT scope, depth::INTEGER AS depth, count(DISTINCT qid) AS n_queries, count(DISTINCT qid) FILTER (WHERE first_rank <= depth) AS n_covered, round(count(DISTINCT qid) FILTER (WHERE first_rank <= depth) / count(DISTINCT qid), 6) AS rate FROM b, d GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return annotation.coverage_by_depth(_firsts(t), [1, 5, 10, 20, 50])
+
+
+@query("first_rank_stats", ", b AS (SELECT channel AS scope, first_rank FROM firsts UNION ALL SELECT 'union', min(first_rank) FROM firsts GROUP BY qid) SELECT scope, count(*) AS n, min(first_rank)::INTEGER AS best, round(median(first_rank), 6) AS median, max(first_rank)::INTEGER AS worst FROM b WHERE first_rank IS NOT NULL GROUP BY scope")
+def _(t: Tables) -> DataFrame:
+    return annotation.first_rank_stats(_firsts(t))
+
+
+@query("reviewed_prefix", "SELECT qid, channel, coalesce(min(rank) FILTER (WHERE (cid + qid) % 11 = 0) - 1, max(rank))::INTEGER AS prefix FROM labelled GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return annotation.reviewed_prefix(_channels(t).withColumn("reviewed", (F.col("cid") + F.col("qid")) % 11 != 0), "reviewed")
+
+
+@query("confidence_bins", ", k AS (SELECT 'level' AS kind, confidence AS value, confidence_score AS s FROM annotated UNION ALL SELECT 'bin', CASE WHEN confidence_score >= 95 THEN '>=95' WHEN confidence_score >= 85 THEN '85-94' WHEN confidence_score >= 70 THEN '70-84' ELSE '<70' END, confidence_score FROM annotated) SELECT kind, value, count(*) AS n, min(s) AS low, max(s) AS high, round(avg(s), 6) AS mean FROM k GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return annotation.confidence_summary(t.annotated)
+
+
+@query("review_queue", "SELECT doc_id, CASE WHEN confidence = 'LOW' THEN 0 WHEN status = 'REVIEW' THEN 1 WHEN confidence = 'MEDIUM' THEN 2 ELSE 3 END AS priority FROM annotated")
+def _(t: Tables) -> DataFrame:
+    return annotation.review_queue(t.annotated, "status", "confidence", "doc_id").select("doc_id", "priority")
+
+
+@query("next_batch", "SELECT source AS qid, min(d.doc_id) AS first FROM documents d JOIN annotated a ON d.doc_id = a.doc_id WHERE status = 'UNLABELED' GROUP BY source ORDER BY first LIMIT 5")
+def _(t: Tables) -> DataFrame:
+    rows = t.annotated.join(t.read("documents").select("doc_id", F.col("source").alias("qid")), "doc_id")
+    return annotation.next_batch(rows, F.col("status") == "UNLABELED", "qid", "doc_id", 5)
+
+
+@query("apply_updates", "SELECT doc_id, CASE WHEN status = 'UNLABELED' AND doc_id % 10 = 0 THEN 'SAME' ELSE event_label END AS event_label, status FROM annotated")
+def _(t: Tables) -> DataFrame:
+    proposals = t.annotated.where("doc_id % 10 = 0").select("doc_id", F.lit("SAME").alias("event_label"))
+    return annotation.apply_updates(t.annotated.select("doc_id", "event_label", "status"), proposals, "doc_id", ["event_label"], F.col("status") == "UNLABELED")
+
+
+@query("review_status", "SELECT doc_id, CASE WHEN event_label <> 'SAME' OR confidence_score < 85 OR status = 'REVIEW' THEN 'REVIEW' ELSE 'LABELED' END AS status FROM annotated")
+def _(t: Tables) -> DataFrame:
+    return t.annotated.select("doc_id", annotation.review_status(F.lit("SAME"), F.col("event_label"), F.col("confidence_score"), F.col("status") == "REVIEW").alias("status"))
+
+
+@query("label_changes", "SELECT doc_id, event_label AS old_label, 'SAME' AS new_label FROM annotated WHERE event_label <> 'SAME' AND doc_id % 4 = 0")
+def _(t: Tables) -> DataFrame:
+    old = t.annotated.select("doc_id", "event_label")
+    return annotation.changes(old, old.withColumn("event_label", F.when(F.col("doc_id") % 4 == 0, "SAME").otherwise(F.col("event_label"))), "doc_id", "event_label")
+
+
+@query("audit_agreement", "SELECT count(*) AS n_rows, round(avg((event_label = (['SAME','RELATED','IRRELEVANT'])[1 + doc_id % 2])::INTEGER), 6) AS agreement FROM annotated")
+def _(t: Tables) -> DataFrame:
+    other = F.element_at(F.array(*[F.lit(x) for x in annotation.LABELS]), (1 + F.col("doc_id") % 2).cast("int"))
+    return annotation.agreement(t.annotated.withColumn("other", other), "event_label", "other")
+
+
+@query("workload", ", a AS (SELECT qid, cid, 1 AS r FROM filtered WHERE rank <= 5 UNION SELECT qid, target, 0 FROM claims c WHERE NOT EXISTS (SELECT 1 FROM filtered f WHERE f.rank <= 5 AND f.qid = c.qid AND f.cid = c.target)), per AS (SELECT qid, count(*) AS n, sum(r) AS r FROM a GROUP BY qid) SELECT count(*) AS n_queries, sum(n)::BIGINT AS n_candidates, round(avg(n), 6) AS mean_candidates, min(n) AS min_candidates, max(n) AS max_candidates, round(avg(r), 6) AS mean_retrieved FROM per")
+def _(t: Tables) -> DataFrame:
+    return annotation.workload(annotation.candidate_union(t.labelled(), t.labelled(turn=True), t.claims.select("qid", F.col("target").alias("cid")), 5))
+
+
+@query("progress_readiness", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE status = 'LABELED') AS n_labeled, count(*) FILTER (WHERE status = 'REVIEW') AS n_review, count(*) FILTER (WHERE status = 'UNLABELED') AS n_open, 0::BIGINT AS violations, CASE WHEN count(*) FILTER (WHERE status = 'UNLABELED') > 0 THEN 'INCOMPLETE' ELSE 'NEEDS_REVIEW' END AS decision FROM annotated")
+def _(t: Tables) -> DataFrame:
+    found = contracts.checks(t.annotated, {"band": ~P.confidence_band(F.col("confidence_score")).eqNullSafe(F.col("confidence"))})
+    return annotation.readiness(found, annotation.progress(t.annotated, "status"))
+
+
+# -- contracts ------------------------------------------------------------------------------
+
+
+@query("contract_records", "SELECT 'id' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'caption', count(*) FILTER (WHERE caption IS NULL OR NOT regexp_matches(caption, '\\S')) FROM records UNION ALL SELECT 'split', count(*) FILTER (WHERE split <> 'train') FROM records UNION ALL SELECT 'repeated:id', count(*) - count(DISTINCT id) FROM records UNION ALL SELECT 'repeated:image_path', count(*) - count(DISTINCT image_path) FROM records UNION ALL SELECT 'forbidden:title', 1")
+def _(t: Tables) -> DataFrame:
+    return contracts.record_manifest(t.records, ["title", "falsified"])
+
+
+@query("contract_required", "SELECT 'null:id' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'null:title', count(*) - count(title) FROM records UNION ALL SELECT 'absent:author', 1 UNION ALL SELECT 'size', (count(*) <> 1000)::BIGINT FROM records")
+def _(t: Tables) -> DataFrame:
+    return contracts.required(t.records, ["id", "title", "author"], 1000)
+
+
+@query("contract_assets", "SELECT 'unsafe_path' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'malformed', count(*) FILTER (WHERE source <> 'src0') FROM records UNION ALL SELECT 'publisher', 0 UNION ALL SELECT 'role', count(*) FILTER (WHERE id % 2 <> 0) FROM records UNION ALL SELECT 'repeated:image_path', 0")
+def _(t: Tables) -> DataFrame:
+    rows = t.records.withColumns({"is_query": F.col("id") % 2 == 0, "is_evidence": F.lit(False), "asset_role": F.lit("query_only")})
+    return contracts.asset_manifest(rows, ROOT, ["src0"])
+
+
+@query("contract_coverage", "SELECT 'rate' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'union_low', 0 UNION ALL SELECT 'union_high', 0 UNION ALL SELECT 'falls', 0")
+def _(t: Tables) -> DataFrame:
+    return contracts.coverage(annotation.coverage_by_depth(_firsts(t), [1, 5, 10, 20, 50]))
+
+
+@query("contract_same_table", "SELECT 'only_left' AS \"check\", count(*) FILTER (WHERE id % 50 IN (0, 1)) AS n FROM records UNION ALL SELECT 'only_right', count(*) FILTER (WHERE id % 50 = 1) FROM records")
+def _(t: Tables) -> DataFrame:
+    a = t.records.select("id", "source")
+    return contracts.same_table(a, a.where("id % 50 <> 0").withColumn("source", F.when(F.col("id") % 50 == 1, "x").otherwise(F.col("source"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
