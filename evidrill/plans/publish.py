@@ -30,7 +30,8 @@ def publish(df: DataFrame, path: str, rules: dict | None = None, codec: str = "z
     back = spark.read.schema(df.schema).parquet(aside)
     fs, source = _fs(spark, aside)
     try:
-        contracts.enforce(contracts.checks(back, rules or {}) if rules else contracts.required(back, []))
+        if rules:
+            contracts.enforce(contracts.checks(back, rules))
     except contracts.ContractError:
         fs.delete(source, True)
         raise
