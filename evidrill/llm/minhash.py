@@ -6,12 +6,18 @@ a bin keeps its smallest value, and from round ``t`` on each round feeds one bin
 every coordinate is filled after at most 2t rounds.  Coordinates are banded; classes that
 share a band are candidates, and candidates are confirmed on their full shingle sets.
 
-Within a band no group is expanded into pairs.  Its members are first compared with one
-leader, then, as far as components differ, with another, and in the end only members outside
-of the band's largest component are compared with the band's members in other components.
-At the end every two candidates are in one component or have been compared, so no link
-between different texts is lost to the short cut.  Components spread by smallest label with
-pointer jumping over stored tables.
+Within a band no group is expanded into pairs.  Its members are compared with one lead L,
+the one that shares most bands.  With |A - B| for the size of a symmetric difference, two
+sets are linked if |A - B| <= t (|A| + |B|), t = (1 - J) / (1 + J).  For members A and B with
+diffs D(A) = |A - L| and D(B), |A - B| = D(A) + D(B) - 2 |shared diffs|.  So A and B share a
+diff, or else both are linked with L if with each other, and nothing is lost if only members
+that share a diff from L meet again: (L, diff) are the groups of the next round, in which
+another lead is compared.  Groups of at most ``FEW`` members, and what is left after
+``ROUNDS`` rounds, are compared pair by pair as far as components differ.  At the end every
+two candidates are in one component, or have been compared, or provably have no link that
+joins components.  Of a member that is far from L, only as many of its elements that L lacks
+count as a link can't do without.  Components spread by smallest label with pointer jumping over stored
+tables.
 
 Rows without words have no link; a null doc_id is kept and linked with nothing (null
 component); rows that repeat a doc_id share that id's component.  Extra columns are ignored.
@@ -30,6 +36,8 @@ from .common import column, materialize, table
 from .hashing import blocks, mix, shingles, words
 
 _U = np.uint64
+#: Members of a group whose open pairs are compared one by one; rounds of leads.
+FEW, ROUNDS = 8, 4
 _SKETCHED = "doc_id long, n long, sig1 long, sig2 long, bands array<long>, sketch binary"
 #: A candidate whose sketch agrees in less than this part of its coordinates is not verified; at the
 #: thresholds in use that is over seven standard deviations below a true link.
@@ -133,6 +141,26 @@ def _confirm(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _diffs(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(lead, c, d): of members c, the elements by which a partner of theirs would meet them in the lead's group.
+
+    A link shares at least num / den of either set.  A member with fewer in common with the
+    lead needs at least ``need`` elements that the lead lacks in common with its partner, so
+    the first of these in order of hash, but ``need`` - 1, are enough.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lead, c, x, y in zip(*(column(b, n) for n in ("lead", "c", "ha", "hb")), strict=True):
+                p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                extra = np.setdiff1d(q, p, assume_unique=True)
+                need = -(-num * len(q) // den) - (len(q) - len(extra))
+                d = (np.sort(extra)[: len(extra) - need + 1] if need > 0 else np.setxor1d(p, q, assume_unique=True)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), lead)), pa.array(np.full(len(d), c)), pa.array(d)], names=["lead", "c", "d"])
+
+    return pairs.mapInArrow(run, "lead long, c long, d long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): each end of ``edges`` (a, b) with the smallest vertex of its component."""
     both = materialize(edges.union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
@@ -154,13 +182,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """
     least = LEAST_AGREEMENT.get(bands * rows, int(bands * rows * (num / den - 0.32)))
     rows_ = materialize(_sketched(docs, k, bands, rows), "sketched")
-    # least_by of a class's first row comes with its id only; its bands are fetched by that id
-    classes = materialize(rows_.where("n > 0 and doc_id is not null").groupBy(_class_id().alias("c"), "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    one = rows_.where("n > 0").select(_class_id().alias("c0"), "doc_id", "bands", "sketch")
-    firsts = materialize(classes.join(one, (F.col("rep") == F.col("doc_id")) & (F.col("c") == F.col("c0"))).select("c", "rep", "n", "bands", "sketch").dropDuplicates(["c"]), "firsts")
-    banded = firsts.select("c", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("leader")).where("members > 1")
-    members = materialize(banded.join(shared, "key").select("key", "c", "n", "leader"), "members")
+    of = rows_.where("n > 0 and doc_id is not null").groupBy(_class_id().alias("c"), "n")
+    firsts = materialize(of.agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("x")).select("c", "n", "rep", "size", "x.bands", "x.sketch"), "classes")
+    classes = firsts.select("c", "n", "rep", "size")
+    banded = firsts.select(F.explode("bands").alias("key"), "c")
+    shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = materialize(banded.join(shared, "key"), "members")
     sketches = firsts.select("c", "n", "sketch")
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -176,35 +203,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     sets = materialize(_class_sets(texts, k).join(classes.select("c"), "c", "left_semi"), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
+        """Of pairs of classes, those that are linked."""
         p = candidates(pairs)
         p = p.join(sets.select(F.col("c").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("c").alias("b"), F.col("h").alias("hb")), "b")
         return materialize(_confirm(p.select("a", "b", "ha", "hb"), num, den).distinct(), "links")
 
-    found = links(members.select(F.col("c").alias("a"), F.col("leader").alias("b")))
-    labels = components(found)
-
-    def labelled() -> DataFrame:
-        return members.join(labels, F.col("c") == F.col("v"), "left").select("key", "c", F.coalesce("label", "c").alias("label"))
-
-    def mixed(m: DataFrame) -> DataFrame:
-        """Of each band's labels, how many members have them, for bands with more than one."""
-        per = m.groupBy("key", "label").agg(F.count("*").alias("size"), F.min("c").alias("first"))
-        top = per.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label", "first")).alias("top")).where("labels > 1")
-        return top.select("key", F.col("top.label").alias("top"), F.col("top.first").alias("lead"))
-
-    for last in (False, True):
-        m = labelled()
-        left = m.join(mixed(m), "key")
-        if last:  # members outside of the largest component, with all of the band in other components
-            outside = left.where("label <> top").select("key", F.col("c").alias("a"), F.col("label").alias("la"))
-            pairs = outside.join(left.select("key", F.col("c").alias("b"), F.col("label").alias("lb"), "top"), "key").where("la <> lb and (lb = top or a < b)").select("a", "b")
-        else:  # each other member with a member of the largest component
-            pairs = left.where("label <> top").select(F.col("c").alias("a"), F.col("lead").alias("b"))
+    found = labels = None
+
+    def grow(pairs: DataFrame) -> None:
+        nonlocal found, labels
         more = links(pairs)
-        if not more.isEmpty():
-            found = found.union(more)
+        if found is None or not more.isEmpty():
+            found = more if found is None else found.union(more)
             labels = components(found)
 
+    def open_groups(m: DataFrame) -> DataFrame:
+        """Members, with labels, of the groups that still hold more than one component."""
+        m = m.join(labels, F.col("c") == F.col("v"), "left").select("key", "c", "members", F.coalesce("label", "c").alias("label"))
+        mixed = m.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        return m.join(mixed, "key")
+
+    def open_pairs(m: DataFrame) -> DataFrame:
+        a, b = m.select("key", F.col("c").alias("a"), F.col("label").alias("la")), m.select("key", F.col("c").alias("b"), F.col("label").alias("lb"))
+        return a.join(b, "key").where("a < b and la <> lb").select("a", "b")
+
+    for last in range(ROUNDS - 1, -1, -1):
+        share = F.sum("members").over(Window.partitionBy("c"))
+        lead = members.withColumn("share", share).groupBy("key").agg(F.max(F.struct("share", "c")).alias("x")).select("key", F.col("x.c").alias("lead"))
+        led = materialize(members.join(lead, "key").select("key", "c", "members", "lead"), "led")
+        few = (led.where(F.col("members") <= FEW) if last else led).select("key", "c", "members")
+        few = few.withColumn("label", F.col("c")) if labels is None else open_groups(few)
+        grow(led.select(F.col("c").alias("a"), F.col("lead").alias("b")).union(open_pairs(few)))
+        left = open_groups(led.where(F.col("members") > FEW).select("key", "c", "members"))
+        if not last or left.isEmpty():
+            break
+        meet = left.join(led.select("key", "c", "lead"), ["key", "c"]).select("lead", "c").where("lead <> c").distinct()
+        p = meet.join(sets.select(F.col("c").alias("lead"), F.col("h").alias("ha")), "lead").join(sets.select("c", F.col("h").alias("hb")), "c")
+        again = materialize(_diffs(p.select("lead", "c", "ha", "hb"), num, den).select(F.xxhash64("lead", "d").alias("key"), "c"), "diffs")
+        members = materialize(again.join(again.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"), "members")
+        members = materialize(open_groups(members).select("key", "c", "members"), "members")
+
     firsts_of = classes.select("c", "rep").join(labels, F.col("c") == F.col("v"), "left").select("c", "rep", F.coalesce("label", "c").alias("label"))
     smallest = firsts_of.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = materialize(firsts_of.join(smallest, "label").select("c", "component_id"), "components")
