@@ -144,17 +144,21 @@ def _confirm(pairs: DataFrame, num: int, den: int) -> DataFrame:
 def _diffs(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """(lead, c, d): of members c, the elements by which a partner of theirs would meet them in the lead's group.
 
-    A link shares at least num / den of either set.  A member with fewer in common with the
-    lead needs at least ``need`` elements that the lead lacks in common with its partner, so
-    the first of these in order of hash, but ``need`` - 1, are enough.
+    Sets of m and n elements are linked if they share at least num (m + n) / (num + den), and a
+    partner of m elements has at least num m / den, and at least ``least``, the group's smallest.
+    A member with fewer in common with the lead needs at least ``need`` elements that the lead
+    lacks in common with its partner, so the first of these in order of hash, but ``need`` - 1,
+    are enough.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lead, c, x, y in zip(*(column(b, n) for n in ("lead", "c", "ha", "hb")), strict=True):
+            for lead, c, x, y, least in zip(*(column(b, n) for n in ("lead", "c", "ha", "hb", "least")), strict=True):
                 p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
                 extra = np.setdiff1d(q, p, assume_unique=True)
-                need = -(-num * len(q) // den) - (len(q) - len(extra))
+                m = len(q)
+                shared = -(-num * (m + max(-(-num * m // den), least)) // (num + den))
+                need = shared - (m - len(extra))
                 d = (np.sort(extra)[: len(extra) - need + 1] if need > 0 else np.setxor1d(p, q, assume_unique=True)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), lead)), pa.array(np.full(len(d), c)), pa.array(d)], names=["lead", "c", "d"])
 
@@ -237,9 +241,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         left = open_groups(led.where(F.col("members") > FEW).select("key", "c", "members"))
         if not last or left.isEmpty():
             break
-        meet = left.join(led.select("key", "c", "lead"), ["key", "c"]).select("lead", "c").where("lead <> c").distinct()
+        meet = left.join(led.select("key", "c", "lead"), ["key", "c"]).select("lead", "c").where("lead <> c").distinct().join(classes.select("c", "n"), "c")
+        meet = meet.join(meet.groupBy("lead").agg(F.min("n").alias("least")), "lead").select("lead", "c", "least")
         p = meet.join(sets.select(F.col("c").alias("lead"), F.col("h").alias("ha")), "lead").join(sets.select("c", F.col("h").alias("hb")), "c")
-        again = materialize(_diffs(p.select("lead", "c", "ha", "hb"), num, den).select(F.xxhash64("lead", "d").alias("key"), "c"), "diffs")
+        again = materialize(_diffs(p.select("lead", "c", "ha", "hb", "least"), num, den).select(F.xxhash64("lead", "d").alias("key"), "c"), "diffs")
         members = materialize(again.join(again.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"), "members")
         members = materialize(open_groups(members).select("key", "c", "members"), "members")
 
