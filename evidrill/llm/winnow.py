@@ -28,16 +28,25 @@ _TOKEN = r"[\\p{L}\\p{N}]{1,16}|[^\\p{L}\\p{N}\\s]{1,16}"
 _FIRST = -(1 << 63)
 
 
+def _least(array: str, offsets) -> str:
+    got = [f"get({array}, i + {j})" for j in offsets]
+    return f"least({', '.join(got)})" if len(got) > 1 else got[0]
+
+
 def with_entries(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """``df`` with ``out array<long>``: the entries chosen from the column ``text``, in order of position."""
-    h, g = f"__h_{out}", f"__g_{out}"
+    h, g, m = f"__h_{out}", f"__g_{out}", f"__m_{out}"
+    step = -(-w // 3)  # minima of a window from those of its three overlapping parts
+    starts = sorted({0, step, w - step} if w > 2 else {0, w - step})
     grams = f"transform(sequence(0, size({h}) - {k}), i -> (xxhash64({', '.join(f'get({h}, i + {j})' for j in range(k))}) & -16777216L) | (16777215L - i % 16777216))"
-    least = f"transform(sequence(0, size({g}) - {w}), i -> least({', '.join(f'get({g}, i + {j})' for j in range(w))}))"
+    parts = f"transform(sequence(0, size({g}) - {step}), i -> {_least(g, range(step))})"
+    least = f"transform(sequence(0, size({g}) - {w}), i -> {_least(m, starts)})"
     return (
         df.withColumn(h, F.expr(f"transform(regexp_extract_all(lower({text}), r'{_TOKEN.replace(chr(92) * 2, chr(92))}', 0), x -> xxhash64(x))"))
         .withColumn(g, F.expr(f"CASE WHEN size({h}) = 0 THEN cast(array() AS array<bigint>) WHEN size({h}) < {k} THEN array((xxhash64({h}) & -16777216L) | 16777215L) ELSE {grams} END"))
+        .withColumn(m, F.expr(f"CASE WHEN size({g}) < {w} THEN {g} ELSE {parts} END"))
         .withColumn(out, F.expr(f"CASE WHEN size({g}) = 0 THEN {g} WHEN size({g}) < {w} THEN array(array_min({g})) ELSE array_distinct({least}) END"))
-        .drop(h, g)
+        .drop(h, g, m)
     )
 
 
@@ -46,11 +55,17 @@ def printed(entries: str) -> Column:
     return F.expr(f"array_join(transform({entries}, e -> concat(hex(shiftrightunsigned(e, 24)), '@', hex(16777215L - (e & 16777215L)))), ' ')")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard index of the hashes of two entry arrays."""
-    x, y = (f"transform({c}, e -> shiftrightunsigned(e, 24))" for c in (a, b))
-    both = f"size(array_union({x}, {y}))"
-    return F.expr(f"CASE WHEN {both} = 0 THEN 1D ELSE size(array_intersect({x}, {y})) / cast({both} AS double) END")
+def hashes(entries: str) -> Column:
+    """The distinct hashes of an entry array."""
+    return F.expr(f"array_distinct(transform({entries}, e -> shiftrightunsigned(e, 24)))")
+
+
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``df`` with the Jaccard index of two columns of distinct hashes."""
+    both = f"__i_{out}"
+    df = df.withColumn(both, F.size(F.array_intersect(a, b)))
+    union = F.size(a) + F.size(b) - F.col(both)
+    return df.withColumn(out, F.when(union == 0, 1.0).otherwise(F.col(both).cast("double") / union)).drop(both)
 
 
 def with_next(rows: DataFrame, key: str, tie: str, carried: list[str]) -> DataFrame:
@@ -83,12 +98,14 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("n", F.char_length("text").cast("long")).withColumn("cut", F.expr("cast(n div 3 AS int)"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n AS int) - cut), substring(next_text, 1, cut))"))
     rows = with_entries(rows.select("key", "n", "edited", "own", "next_own"), "edited", "new")
+    rows = rows.withColumns({"own_hashes": hashes("own"), "new_hashes": hashes("new"), "next_hashes": hashes("next_own")})
+    rows = with_likeness(with_likeness(rows, "own_hashes", "new_hashes", "near_edited"), "own_hashes", "next_hashes", "near_next")
     return rows.select(
         F.when(F.col("key") > _FIRST, F.col("key")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         printed("own").alias("fingerprint"),
         printed("new").alias("edited_fingerprint"),
-        likeness("own", "new").alias("near_edited"),
-        likeness("own", "next_own").alias("near_next"),
+        "near_edited",
+        "near_next",
     )
