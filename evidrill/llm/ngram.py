@@ -31,7 +31,7 @@ from .hashing import blocks, mix, words
 _U = np.uint64
 ORDER, BACKOFF, BITS = 3, 0.4, 48
 #: Bytes of text in a block.
-TEXT = 4 << 20
+TEXT = 7 << 20
 
 
 def planes(a: np.ndarray) -> bytes:
