@@ -2,9 +2,8 @@
 
 Words are lower-cased runs of letters; terms are words and beginnings of words.  A bounded sample of labelled texts (about
 ``PER_CLASS`` of either label, by a hash of the id, equal texts once) gives the terms and the
-examples.  A term is kept if toxic examples hold it far oftener (likelihood ratio and
-G-statistic) and between varying neighbours: a word of a passage that is merely copied has
-the same neighbours wherever it stands.  At most ``TERMS`` terms are kept.
+examples.  Every term is kept that toxic examples hold far oftener (likelihood ratio and
+G-statistic), so the space is a selected one, with no limit on its size.
 
 A text is its TF-IDF vector over these terms, with document frequencies of all documents, and
 one more term that every text holds, so that the number of terms met counts beside which
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import column, materialize, table
 
-PER_CLASS, TERMS, BLOCK, NEIGHBOURS, POWER, PRIOR = 3000, 512, 64, 25, 4, 1.0
-LEAST_DF, LEAST_RATIO, LEAST_G, LEAST_VARIETY = 5, 4.0, 15.0, 0.5
+PER_CLASS, BLOCK, NEIGHBOURS, POWER, PRIOR = 3000, 64, 25, 4, 1.0
+LEAST_DF, LEAST_RATIO, LEAST_G = 5, 4.0, 15.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -182,26 +181,9 @@ def _terms(sample: DataFrame) -> list[str]:
         return []
     rare = F.lit(LEAST_RATIO) * (F.col("good") + 0.5) / (n0 + 1)
     able = _statistics(sample).where((F.col("bad") >= LEAST_DF) & ((F.col("bad") + 0.5) / (n1 + 1) >= rare))
-    able = able.orderBy(F.desc(F.col("bad") / n1 - F.col("good") / n0), "term").limit(4 * TERMS).collect()
+    able = able.collect()  # each in LEAST_DF toxic texts of the sample at least
     chosen = sorted(((_g(r["bad"], r["good"], n1, n0), r["term"]) for r in able), key=lambda x: (-x[0], x[1]))
-    maybe = {t: r for r in able if (t := r["term"]) in {x for g, x in chosen if g >= LEAST_G}}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, set] = defaultdict(set)
-        for b in batches:
-            for text in column(b, "text"):
-                w = ["", *words(text), ""]
-                for i in range(1, len(w) - 1):
-                    for t in terms_of(w[i]):
-                        if t in maybe:
-                            seen[t].add((w[i - 1], w[i + 1]))
-        rows = [(t, x, y) for t, s in seen.items() for x, y in s]
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["term", "before", "after"])
-
-    around = sample.where("toxic = 1").select("text").mapInArrow(run, "term string, before string, after string").distinct().groupBy("term").count()
-    varied = {r["term"] for r in around.collect() if r["count"] >= max(LEAST_DF, LEAST_VARIETY * maybe[r["term"]]["bad"])}
-    return [t for _, t in chosen if t in varied][:TERMS]
+    return [t for g, t in chosen if g >= LEAST_G]
 
 
 def _counted(docs: DataFrame, terms: dict[str, int]) -> DataFrame:

@@ -363,6 +363,26 @@ def test_toxicity_of_held_out_texts(spark):
     assert none is None and toxicity.score_rows(counted, none).where("score <> 0").count() == 0
 
 
+def test_toxicity_keeps_every_term_that_passes(spark):
+    r = random.Random(7)
+    plain = ["".join(r.choice(["ka", "lo", "mi", "su", "te"]) for _ in range(3)) for _ in range(60)]
+    bad = ["zo" + "".join(r.choice("bdfghjr") + r.choice("aeiou") for _ in range(3)) + f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    copied = "vilexo grumpf snarlo"  # always in the same passage
+    rows, labels = [], []
+    for i in range(800):
+        w = [r.choice(plain) for _ in range(20)]
+        if i % 2:
+            w += [copied] if i < 120 else [bad[(i * 15 + j) % 300] for j in range(30)]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, i % 2))
+    rows += [(2000 + i, " ".join([r.choice(plain) for _ in range(10)] + [x] * 3)) for i, x in enumerate(bad)]
+    rows += [(3000, " ".join(plain[:12]) + " " + copied)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, _ = toxicity.fit(docs, known)
+    assert set(bad) | set(copied.split()) <= set(model.terms)
+    assert {x["doc_id"] for x in toxicity.reject_toxic(docs, model).where("doc_id >= 800").collect()} == set()
+
+
 def test_block_max_search_is_exact():
     r = random.Random(3)
     vectors = []
