@@ -8,9 +8,11 @@ features K(x, L) K(L, L)^(-1/2); one ridge regression for each language against
 fitted on them.  Segments are scored by matrix products, batch by batch, and a text by the
 mean over its segments, weighted by their sizes.
 
-The classifier is fitted on a bounded sample: of each of the ``CLASSES`` most frequent
-languages about ``PER_CLASS`` rows, by a hash of the id, and of their segments at most
-``TRAIN`` (and ``LANDMARKS`` of these as landmarks).
+The classifier is fitted on a sample of every labelled language: about ``PER_CLASS`` rows of
+each, by a hash of the id, of each row at most ``PER_TEXT`` segments, spread over the text, and
+of each language an equal share of ``TRAIN`` segments, but ``LEAST_TRAIN`` at least.  There are
+``LANDMARKS`` landmarks, but ``LEAST_MARKS`` for each language at least.  So the model grows
+with the number of languages, and the sample is read in pieces.
 
 A text that is null or has no letter is ``und`` with score 0.  Without any labelled row all
 texts are.
@@ -19,19 +21,22 @@ texts are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, table
+from .common import column, materialize, table
 from .hashing import mix, prefix, windows
 
 SEGMENT, SPECTRUM, BINS = 4000, (1, 2, 3), 8192
-CLASSES, PER_CLASS, TRAIN, LANDMARKS = 64, 400, 4096, 128
+PER_CLASS, PER_TEXT, TRAIN, LEAST_TRAIN, LANDMARKS, LEAST_MARKS = 400, 64, 4096, 256, 128, 4
+#: Segments whose rows of bins are held at once.
+PIECE = 512
 RIDGE, SHARPNESS = 1e-2, 8.0
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _U = np.uint64
@@ -60,6 +65,12 @@ def presence(parts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _unit(bits: list[bytes]) -> np.ndarray:
+    """Rows of packed bins, each of length 1."""
+    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
 @dataclass
 class KernelClassifier:
     classes: list[str]
@@ -67,21 +78,26 @@ class KernelClassifier:
     weights: np.ndarray  # landmarks x classes
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: list[str]) -> KernelClassifier:
-        classes = sorted(set(y))
-        label = np.array([classes.index(v) for v in y])
-        turn = np.concatenate([np.stack([np.arange((label == c).sum()), np.flatnonzero(label == c)]) for c in range(len(classes))], axis=1) if len(y) else np.zeros((2, 0), int)
-        pick = turn[1][np.argsort(turn[0], kind="stable")][:LANDMARKS]  # in turn from each class
-        unit = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        marks = unit[pick].T
+    def fit(cls, counts: dict[str, int], picked: list[bytes], rows: Iterable[tuple[bytes, str]]) -> KernelClassifier:
+        """From how many segments each language has, the landmarks, and all segments with their language."""
+        classes = sorted(counts)
+        at = {c: i for i, c in enumerate(classes)}
+        marks = _unit(picked).T
         value, vector = np.linalg.eigh((marks.T @ marks).astype(np.float64))
         good = value > 1e-6 * value.max(initial=1e-12)
         whiten = vector[:, good] / np.sqrt(value[good])
-        phi = (unit @ marks) @ whiten
-        weight = np.array([len(y) / (len(classes) * (label == c).sum()) for c in range(len(classes))])[label]
-        target = (label[:, None] == np.arange(len(classes))) * 2.0 - 1
-        left = phi.T @ (weight[:, None] * phi) + RIDGE * np.eye(phi.shape[1])
-        return cls(classes, marks.astype(np.float32), (whiten @ np.linalg.solve(left, phi.T @ (weight[:, None] * target))).astype(np.float32))
+        total = sum(counts.values())
+        share = np.array([total / (len(classes) * counts[c]) for c in classes])
+        left, right = RIDGE * np.eye(whiten.shape[1]), np.zeros((whiten.shape[1], len(classes)))
+        rows = iter(rows)
+        while piece := list(islice(rows, PIECE)):
+            phi = (_unit([x for x, _ in piece]) @ marks) @ whiten
+            label = np.array([at[c] for _, c in piece])
+            target = (label[:, None] == np.arange(len(classes))) * 2.0 - 1
+            weight = share[label][:, None]
+            left += phi.T @ (weight * phi)
+            right += phi.T @ (weight * target)
+        return cls(classes, marks.astype(np.float32), (whiten @ np.linalg.solve(left, right)).astype(np.float32))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.landmarks) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)) @ self.weights
@@ -94,27 +110,31 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame) -> KernelClassifier | None:
     """From rows of ``docs`` (doc_id, text, lang) that aren't held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out(), F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
-    if not counts:
-        return None
-    part = F.lit(0.0)
-    for r in counts:
-        part = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, PER_CLASS / r["count"]))).otherwise(part)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < part * (1 << 20))
+    count = rows.groupBy("lang").count()  # a row for each language: a broadcast of the model's size at most
+    part = F.lit(float(PER_CLASS)) / F.col("count") * (1 << 20)
+    sample = rows.join(F.broadcast(count), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < part).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, lang in zip(column(b, "text"), column(b, "lang"), strict=True):
                 parts = segments(text)
-                for a in range(0, len(parts), 64):
-                    bits = [np.packbits(x > 0).tobytes() for x in presence(parts[a : a + 64])]
+                n = min(len(parts), PER_TEXT)
+                parts = [parts[i * len(parts) // n] for i in range(n)]
+                if parts:
+                    bits = [np.packbits(x > 0).tobytes() for x in presence(parts)]
                     yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), pa.array([lang] * len(bits))], names=["bits", "lang"])
 
-    found = sample.mapInArrow(run, "bits binary, lang string").orderBy(F.xxhash64("bits"), "lang").limit(TRAIN).collect()
-    if not found:
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("bits"), "bits")
+    ranked = sample.mapInArrow(run, "bits binary, lang string").withColumn("place", F.row_number().over(by_hash))
+    found = materialize(ranked.where(F.col("place") <= max(TRAIN, LEAST_TRAIN)), "segments")
+    classes = found.where("place = 1").count()
+    if not classes:
         return None
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
-    return KernelClassifier.fit(x, [r["lang"] for r in found])
+    found = found.where(F.col("place") <= max(-(-TRAIN // classes), LEAST_TRAIN))
+    counts = {r["lang"]: r["count"] for r in found.groupBy("lang").count().collect()}
+    # in turn from each language
+    picked = [bytes(r["bits"]) for r in found.where(F.col("place") <= max(LANDMARKS, LEAST_MARKS)).orderBy("place", "lang").limit(max(LANDMARKS, LEAST_MARKS * classes)).collect()]
+    return KernelClassifier.fit(counts, picked, ((bytes(r["bits"]), r["lang"]) for r in found.toLocalIterator()))
 
 
 def identify(docs: DataFrame, model: KernelClassifier | None) -> DataFrame:

@@ -338,6 +338,22 @@ def test_language_of_held_out_texts(spark):
     assert langid.fit(empty(spark)) is None and langid.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN", 64)  # fewer than the long text has segments
+    monkeypatch.setattr(langid, "LEAST_TRAIN", 8)
+    r, rows = random.Random(4), []
+    parts = [[chr(0x4E00 + 40 * c + j) for j in range(8)] for c in range(80)]
+    for i in range(1600):
+        rows.append((i, " ".join("".join(r.choice(parts[i % 80]) for _ in range(3)) for _ in range(12)), f"l{i % 80:02}"))
+    first = next(i for i in range(0, 1600, 80) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows[first] = (first, " ".join("".join(r.choice(parts[0]) for _ in range(3)) for _ in range(100_000)), "l00")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.classes) == 80
+    found = langid.identify(docs, model).where(langid.held_out()).collect()
+    assert all(x["lang_pred"] == x["lang"] and x["score"] >= 0.3 for x in found), [(x["lang"], x["lang_pred"], x["score"]) for x in found][:5]
+
+
 def test_toxicity_of_held_out_texts(spark):
     r = random.Random(2)
     bad = ["vilexo", "vilena", "grumpf"]
