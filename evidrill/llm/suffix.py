@@ -83,7 +83,9 @@ def _slices(texts: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]
 
 
 def _earlier_first(e: np.ndarray) -> np.ndarray:
-    return e[np.lexsort((e["s0"], e["th"], e["doc"], e["off"], e["n"], e["ch"], e["kh"]))]
+    """Sorted entries, each once: those of repeated rows are the same entry, not a repeat of it."""
+    e = e[np.lexsort((e["s0"], e["th"], e["doc"], e["off"], e["n"], e["ch"], e["kh"]))]
+    return e[np.concatenate([[True], e[1:] != e[:-1]])] if len(e) else e
 
 
 def _repeats(e: np.ndarray) -> np.ndarray:
@@ -263,6 +265,8 @@ def _compare(runs: DataFrame, length: int) -> DataFrame:
         size = 0
         for b in batches:
             for r in zip(*(column(b, c) for c in ("kh", "doc", "th", "s0", "bytes")), strict=True):
+                if rows and r[:4] == rows[-1][:4]:  # of a repeated row
+                    continue
                 if size >= INDEX and r[0] != rows[-1][0]:
                     yield index(rows)
                     rows, size = [], 0

@@ -161,6 +161,25 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert all(r["n_chars"] == len(r["text"] or "") for r in left.collect() if r["text"] is not None)
 
 
+def test_repeated_rows_keep_their_first_copy(spark):
+    r = random.Random(11)
+    a, b = prose(r, 80, 5000), prose(r, 80, 5000)
+    rows = [(1, a)] * 3 + [(2, "x" + a[:150] + " other " + a[200:] + "y")] * 2 + [(None, b)] * 3 + [(None, b[:130] + " and an end")] * 2 + [(7, prose(r, 60, 5000))] * 2
+    for n in (1, 5):  # copies in one task, and in several
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in suffix.remove_repeats(docs).collect())
+        order = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0))
+        # of the rows without an id the hash of the text decides which is earlier
+        th = {x["text"]: x["th"] for x in docs.select("text", F.xxhash64(F.col("text").cast("binary")).alias("th")).distinct().collect()}
+        order.sort(key=lambda x: (x[0] is None, x[0] or 0, th[x[1]]))
+        gone = brute_repeats(list(enumerate(t for _, t in order)), 100)
+        want = Counter()
+        for i, (doc, t) in enumerate(order):
+            kept = bytes(c for c, x in zip(t.encode(), gone[i], strict=True) if not x)
+            want[(doc, len(t), sum(gone[i]), hashlib.sha256(kept).hexdigest())] += rows.count((doc, t))
+        assert got == want
+
+
 def test_run_length_index_finds_earlier_strings():
     r = random.Random(5)
     for _ in range(30):
