@@ -1,11 +1,13 @@
 """Document fingerprints by winnowing, with built-in functions only.
 
 A text is lower-cased and read as tokens: runs of at most 16 letters and digits, or of at
-most 16 other signs.  Every ``K`` tokens in a row give a hash, and of every ``W`` hashes in
-a row the smallest is chosen, the rightmost of equal ones.  The chosen hashes are kept with
-their positions, so any two texts that share a stretch of ``W + K - 1`` tokens share a
-fingerprint entry, and an entry says where.  A text with fewer tokens gives one hash of them
-all.  Likeness is the Jaccard index of the chosen hashes (two empty sets: 1).
+most 16 other signs.  Every ``K`` tokens in a row give a hash, and of every ``W``
+hashes in a row the smallest is chosen, the rightmost of equal ones.  The chosen hashes are
+kept with their positions, so any two texts that share a stretch of ``W + K - 1`` tokens
+share a fingerprint entry, and an entry says where.  A text of fewer than ``2 (W + K - 1)``
+tokens keeps the hashes of all its 1 to ``K`` tokens in a row, so two of them share an entry if they
+share a token, and one shares an entry with a longer text as above.  Likeness is the
+Jaccard index of the chosen hashes (two empty sets: 1).
 
 A chosen entry is one long: 40 bits of hash, then the complement of the token position in
 24 bits, so the smallest entry of a window is the rightmost smallest hash.  Positions count
@@ -24,7 +26,7 @@ from .common import table
 
 K = 5
 W = 12
-_TOKEN = r"[\\p{L}\\p{N}]{1,16}|[^\\p{L}\\p{N}\\s]{1,16}"
+_TOKEN = r"[\p{L}\p{N}]{1,16}|[^\p{L}\p{N}\s]{1,16}"
 _FIRST = -(1 << 63)
 
 
@@ -38,14 +40,17 @@ def with_entries(df: DataFrame, text: str, out: str, k: int = K, w: int = W) ->
     h, g, m = f"__h_{out}", f"__g_{out}", f"__m_{out}"
     step = -(-w // 3)  # minima of a window from those of its three overlapping parts
     starts = sorted({0, step, w - step} if w > 2 else {0, w - step})
-    grams = f"transform(sequence(0, size({h}) - {k}), i -> (xxhash64({', '.join(f'get({h}, i + {j})' for j in range(k))}) & -16777216L) | (16777215L - i % 16777216))"
+    gram = lambda n: f"transform(sequence(0, size({h}) - {n}), i -> (xxhash64({', '.join(f'get({h}, i + {j})' for j in range(n))}) & -16777216L) | (16777215L - i % 16777216))"
+    every = f"concat({', '.join(f'CASE WHEN size({h}) < {n} THEN cast(array() AS array<bigint>) ELSE {gram(n)} END' for n in range(1, k + 1))})"
+    tokens = f"regexp_extract_all(lower({text}), r'{_TOKEN}', 0)"
+    short = f"size({h}) < {2 * (w + k - 1)}"
     parts = f"transform(sequence(0, size({g}) - {step}), i -> {_least(g, range(step))})"
     least = f"transform(sequence(0, size({g}) - {w}), i -> {_least(m, starts)})"
     return (
-        df.withColumn(h, F.expr(f"transform(regexp_extract_all(lower({text}), r'{_TOKEN.replace(chr(92) * 2, chr(92))}', 0), x -> xxhash64(x))"))
-        .withColumn(g, F.expr(f"CASE WHEN size({h}) = 0 THEN cast(array() AS array<bigint>) WHEN size({h}) < {k} THEN array((xxhash64({h}) & -16777216L) | 16777215L) ELSE {grams} END"))
-        .withColumn(m, F.expr(f"CASE WHEN size({g}) < {w} THEN {g} ELSE {parts} END"))
-        .withColumn(out, F.expr(f"CASE WHEN size({g}) = 0 THEN {g} WHEN size({g}) < {w} THEN array(array_min({g})) ELSE array_distinct({least}) END"))
+        df.withColumn(h, F.expr(f"transform({tokens}, x -> xxhash64(x))"))
+        .withColumn(g, F.expr(f"CASE WHEN {short} THEN {every} ELSE {gram(k)} END"))
+        .withColumn(m, F.expr(f"CASE WHEN {short} THEN {g} ELSE {parts} END"))
+        .withColumn(out, F.expr(f"CASE WHEN {short} THEN {g} ELSE array_distinct({least}) END"))
         .drop(h, g, m)
     )
 
