@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, with built-in functions only.
 
-A text is lower-cased and read as tokens: runs of at most 16 letters and digits, or of at
-most 16 other signs.  Every ``K`` tokens in a row give a hash, and of every ``W``
+A text is lower-cased and read as tokens: runs of letters and digits, or of other signs.  Of
+a run of more than ``RUN`` characters every ``RUN`` in a row are a token, so its tokens don't
+depend on where it starts.  Every ``K`` tokens in a row give a hash, and of every ``W``
 hashes in a row the smallest is chosen, the rightmost of equal ones.  The chosen hashes are
 kept with their positions, so any two texts that share a stretch of ``W + K - 1`` tokens
 share a fingerprint entry, and an entry says where.  A text of fewer than ``2 (W + K - 1)``
@@ -26,7 +27,10 @@ from .common import table
 
 K = 5
 W = 12
-_TOKEN = r"[\p{L}\p{N}]{1,16}|[^\p{L}\p{N}\s]{1,16}"
+RUN = 16
+_RUNS = r"[\p{L}\p{N}]++|[^\p{L}\p{N}\s]++"
+_LONG = r"[\p{L}\p{N}]{17}|[^\p{L}\p{N}\s]{17}"
+_EACH = r"(?s)(?=(.{16}))"
 _FIRST = -(1 << 63)
 
 
@@ -42,7 +46,9 @@ def with_entries(df: DataFrame, text: str, out: str, k: int = K, w: int = W) ->
     starts = sorted({0, step, w - step} if w > 2 else {0, w - step})
     gram = lambda n: f"transform(sequence(0, size({h}) - {n}), i -> (xxhash64({', '.join(f'get({h}, i + {j})' for j in range(n))}) & -16777216L) | (16777215L - i % 16777216))"
     every = f"concat({', '.join(f'CASE WHEN size({h}) < {n} THEN cast(array() AS array<bigint>) ELSE {gram(n)} END' for n in range(1, k + 1))})"
-    tokens = f"regexp_extract_all(lower({text}), r'{_TOKEN}', 0)"
+    runs = f"regexp_extract_all(lower({text}), r'{_RUNS}', 0)"
+    rolled = f"flatten(transform({runs}, x -> CASE WHEN char_length(x) > {RUN} THEN regexp_extract_all(x, r'{_EACH}', 1) ELSE array(x) END))"
+    tokens = f"CASE WHEN lower({text}) rlike r'{_LONG}' THEN {rolled} ELSE {runs} END"
     short = f"size({h}) < {2 * (w + k - 1)}"
     parts = f"transform(sequence(0, size({g}) - {step}), i -> {_least(g, range(step))})"
     least = f"transform(sequence(0, size({g}) - {w}), i -> {_least(m, starts)})"

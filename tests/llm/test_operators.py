@@ -232,7 +232,7 @@ def test_winnowing_query(spark, tmp_path):
     assert winnow.op5_winnowing(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_winnowing_of_short_texts(spark):
+def test_winnowing_of_short_texts_and_long_runs(spark):
     r = random.Random(12)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     rows = []
@@ -240,6 +240,10 @@ def test_winnowing_of_short_texts(spark):
         n = 2 + i % 40
         w = [word() for _ in range(n)]
         rows.append((i, " ".join(w), " ".join(w[: n - max(n // 3, 1)] + [word() for _ in range(max(n // 3, 1))])))
+    for i in range(40):  # the same passage at other offsets of a run without blanks
+        passage = "".join(r.choice("abcdefghij") for _ in range(60))
+        rows.append((1000 + i, word() * 9 + passage + word() * 5, word() * 9 + "q" * (1 + i % 15) + passage + word() * 3))
+        rows.append((2000 + i, "=-+*"[i % 4] * 40 + "<>#%&$~^|/" * 4, "<>#%&$~^|/" * 4 + "!" * 30))
     both = winnow.with_entries(winnow.with_entries(spark.createDataFrame(rows, "i long, a string, b string"), "a", "x"), "b", "y")
     got = winnow.with_likeness(both.withColumns({"x": winnow.hashes("x"), "y": winnow.hashes("y")}), "x", "y", "near").collect()
     assert [(x["i"], x["a"]) for x in got if x["near"] == 0] == []
