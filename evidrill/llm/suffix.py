@@ -8,9 +8,8 @@ strings.  Runs meet by anchor hash, packed as arrays; those that occur once in t
 end there.  Of runs that are equal as a whole, all but the first are removed (a task does
 so for its own runs before anything is shuffled, so frequent passages stay even).  Where one
 anchor has different runs around it, their bytes are fetched and go into a run-length
-index: the run-compressed Burrows-Wheeler transform of these runs, with text positions
-sampled at run ends, and with the smallest start of each interval of suffixes that agree in
-``length`` bytes.  All runs are streamed through it backwards by LF steps on runs; a string
+index: the run-compressed Burrows-Wheeler transform of these runs, and from their full suffix
+array the smallest start of each interval of suffixes that agree in ``length`` bytes.  All runs are streamed through it backwards by LF steps on runs; a string
 is removed where the interval met has a smaller start.
 
 Texts are UTF-8 bytes; null is empty.  Rows with the same doc_id and text are one document
@@ -167,7 +166,7 @@ class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of a list of byte strings, each ended by a mark of its own.
 
     starts, heads, base: of each run its first row, its symbol, and where LF takes its first row.
-    ends: the text position sampled at the last row of each run.
+    ends: the text position sampled at the last row of each run; ``repeated`` doesn't need it.
     """
 
     def __init__(self, texts: list[bytes], depth: int):
