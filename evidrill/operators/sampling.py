@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidrill.functions import predicates as P
 
@@ -55,26 +57,38 @@ def greedy(rows: DataFrame, group: str, order: list[str], distinct: list[list[st
     """G1: groups in order, each in hash order; a row is taken if none taken before shares any of the distinct keys.
 
     What a row may share depends on all rows taken before, so the choice is sequential.  It
-    sees at most ``pool * n`` candidates of each of the groups named in ``order``, a size that
-    the data doesn't change; fewer than ``n`` rows for a group is an error of the caller's pool.
+    looks at ``pool * n`` candidates of each of the groups named in ``order`` at once; while a
+    group is short, it goes on with the next rows that share nothing with those taken.
+    ValueError if a group has fewer than ``n`` such rows.
     """
     names = sorted({c for d in distinct for c in d} | {group, key})
-    lots = per_group(rows.where(F.col(group).isin(order)), [group], key, pool * n, seed)
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = pd.concat([b for b in batches] or [pd.DataFrame(columns=[*names, "draw"])])
-        seen: list[set] = [set() for _ in distinct]
-        out = []
-        for g in order:
-            got = 0
-            for r in found[found[group] == g].sort_values("draw").to_dict("records"):
+    seen: list[set] = [set() for _ in distinct]
+    out: list[tuple] = []
+    taken: list[tuple] = []
+    got = dict.fromkeys(order, 0)
+    open_, left = list(order), rows
+    while open_:
+        found = defaultdict(list)
+        for r in per_group(left.where(F.col(group).isin(open_)), [group], key, pool * n, seed).select(*names, "draw").collect():  # pool * n of each group at most
+            found[r[group]].append(r)
+        for g in list(open_):
+            for r in sorted(found[g], key=lambda r: r["draw"]):
                 keys = [tuple(r[c] for c in d) for d in distinct]
-                if got < n and not any(k in s for k, s in zip(keys, seen, strict=True)):
-                    got += 1
-                    out.append({group: g, key: r[key], "place": got})
+                if got[g] < n and not any(k in s for k, s in zip(keys, seen, strict=True)):
+                    got[g] += 1
+                    out.append((g, r[key], got[g]))
+                    taken.append(tuple(r[c] for c in names))
                     for k, s in zip(keys, seen, strict=True):
                         s.add(k)
-        yield pd.DataFrame(out, columns=[group, key, "place"])
-
-    kinds = dict(rows.dtypes)
-    return lots.select(*names, "draw").coalesce(1).mapInPandas(choose, f"{group} {kinds[group]}, {key} {kinds[key]}, place long")
+            if got[g] < n:
+                if len(found[g]) < pool * n:
+                    raise ValueError(f"group {g!r} has {got[g]} of {n} rows that share nothing")
+                break  # more of this group before the next one
+            open_.remove(g)
+        left = rows
+        if open_ and taken:
+            known = rows.sparkSession.createDataFrame(taken, rows.select(*names).schema)
+            for d in distinct:
+                k = known.select(*[F.col(c).alias(f"__{c}") for c in d]).distinct()  # n rows of each group at most
+                left = left.join(F.broadcast(k), reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in d]), "left_anti")
+    return rows.sparkSession.createDataFrame(out, T.StructType([rows.schema[group], rows.schema[key], T.StructField("place", T.LongType())]))

@@ -1,8 +1,9 @@
 import os
+from collections import defaultdict
 
 import pytest
 
-from evidrill.operators import registry
+from evidrill.operators import registry, sampling
 from tests.oracle import assert_same, connect
 
 SF = "/root/testdata/sf0.01"
@@ -29,6 +30,20 @@ def test_greedy_sample_keeps_its_invariants(spark):
         assert len({linked[r["id"]][column] for r in rows}) == 30
 
 
+def test_greedy_sample_goes_on_beyond_its_pool(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 400 else "b", "same" if i % 400 < 390 else f"c{i}") for i in range(800)], "id long, g string, c string")
+    got = sampling.greedy(rows, "g", ["a", "b"], [["c"]], 5, 11, "id", pool=2).collect()
+    assert sorted((r["g"], r["place"]) for r in got) == [(g, p) for g in "ab" for p in range(1, 6)]
+    all_, seen, want = sampling.per_group(rows, ["g"], "id", 400, 11).orderBy("g", "draw").collect(), set(), defaultdict(list)
+    for r in all_:
+        if len(want[r["g"]]) < 5 and r["c"] not in seen:
+            want[r["g"]].append(r["id"])
+            seen.add(r["c"])
+    assert [r["id"] for r in sorted(got, key=lambda r: (r["g"], r["place"]))] == want["a"] + want["b"]
+    with pytest.raises(ValueError):
+        sampling.greedy(rows, "g", ["a", "b"], [["c"]], 12, 11, "id", pool=2)
+
+
 def test_entry_imports_without_the_optional_parts(spark):
     import __spark_entry__ as e
 
