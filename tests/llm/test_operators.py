@@ -309,8 +309,8 @@ def test_components_equal_brute_force(spark, monkeypatch):
         variants.append((5000 + i, " ".join(w), "xx", "s", 0, 0.0, ""))
     docs = corpus(spark, 40, 9, variants)
     want = brute_components([(x["doc_id"], x["text"]) for x in docs.collect()], 3, 85, 100)
-    for few in (2,):
-        monkeypatch.setattr(minhash, "FEW", few)
+    for limit in (minhash.SET_LIMIT, 2000):  # whole clusters; band by band, in blocks
+        monkeypatch.setattr(minhash, "SET_LIMIT", limit)
         got = minhash.near_duplicates(docs, 3, 85, 100, 25, 5).collect()
         assert len(got) == docs.count()
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
@@ -322,6 +322,34 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert sorted((x["doc_id"] or 0, x["component_id"] or 0, x["kept"]) for x in minhash.near_duplicates(odd).collect()) == [(0, 0, True), (1, 1, True), (1, 1, True)]
 
 
+def test_forest_equals_brute_force():
+    r = np.random.default_rng(5)
+    for turn in range(30):
+        base = r.integers(0, 200, 40)
+        sets = [np.unique(np.where(r.random(40) < r.choice([0.02, 0.1, 0.5]), r.integers(0, 400, 40), base)).astype(np.uint64) for _ in range(30)]
+        linked = lambda a, b, s=sets: 100 * len(np.intersect1d(s[a], s[b])) >= 80 * len(np.union1d(s[a], s[b]))
+        side = r.integers(0, 2, 30).astype(bool) if turn % 2 else None
+        comp, edges = minhash.forest(sets, 80, 100, None, side)
+        parent = list(range(30))
+        for a, b in combinations(range(30), 2):
+            if linked(a, b) and (side is None or side[a] != side[b]):
+                x, y = parent[a], parent[b]
+                parent = [x if p == y else p for p in parent]
+        assert all((comp[a] == comp[b]) == (parent[a] == parent[b]) for a, b in combinations(range(30), 2))
+        assert len(edges) == 30 - len(set(parent)) and all(linked(a, b) for a, b in edges)
+
+
+def test_near_duplicates_of_very_long_texts_and_clashing_columns(spark):
+    r = random.Random(3)
+    long = prose(r, 120_000, 50_000)
+    rows = [(1, long, 1, "a"), (2, long + " tail", 2, "b"), (3, prose(r, 120_000, 50_000), 3, "c"), (4, None, 4, "d"), (5, "", 5, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc int, component_id string")
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    left = minhash.one_of_each(docs)
+    assert left.columns == docs.columns and {x["doc_id"]: x["component_id"] for x in left.collect()} == {1: "a", 3: "c", 4: "d", 5: "e"}
+
+
 def test_sketch_estimates_likeness():
     r = np.random.default_rng(3)
     for n in (1, 5, 50, 3000):
