@@ -274,13 +274,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     Two sets are linked if den * |intersection| >= num * |union|.
     """
+    return _with_component(*_found(docs, k, num, den, bands, rows))
+
+
+def _found(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, c) of each row, and (c, size, component_id) of classes that aren't a single row alone; both stored."""
     sketched = materialize(_sketched(docs, k, bands, rows), "sketched")
     of = sketched.where("n > 0 and doc_id is not null").groupBy("c", "n")
     firsts = materialize(of.agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
     classes = firsts.select("c", "n", "rep", "size")
     banded = firsts.select(F.explode("bands").alias("key"), "c")
     shared = banded.groupBy("key").agg(F.min("c").alias("lo"), F.count("*").alias("m")).where("m > 1").select("key", "lo")
-    clusters = components(banded.join(shared, "key").where("c <> lo").select(F.col("c").alias("a"), F.col("lo").alias("b")))
+    # a class's bands meet at their smallest first members: one edge for the class, and few for those
+    least = banded.join(shared, "key").groupBy("c").agg(F.min("lo").alias("b"), F.collect_set("lo").alias("los"))
+    clusters = components(least.select(F.explode(F.array_append("los", F.col("c"))).alias("a"), "b").where("a <> b").distinct())
     members = clusters.select("label", F.col("v").alias("c")).join(classes, "c")
     large = materialize(members.groupBy("label").agg(F.sum("n").alias("total")).where(F.col("total") > SET_LIMIT).select("label"), "large")
 
@@ -303,7 +310,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     of_class = materialize(classes.join(both, "c", "left").select("c", "size", F.least("rep", "component_id").alias("component_id"), "rep").where("size > 1 or component_id < rep").drop("rep"), "components")
     slim = materialize(sketched.select("doc_id", "n", "c"), "rows")
     discard(sketched, firsts, clusters, large, *linked)
-    return _with_component(slim, of_class)
+    return slim, of_class
 
 
 def _with_component(rows_: DataFrame, of_class: DataFrame) -> DataFrame:
@@ -320,8 +327,9 @@ def _with_component(rows_: DataFrame, of_class: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **how: int) -> DataFrame:
     """Rows of ``docs`` less those whose component has a smaller doc_id; repeats of a row count once."""
-    found = near_duplicates(docs.select("doc_id", "text"), **how)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct(), "gone")
+    stored = _found(docs.select("doc_id", "text"), **how)
+    gone = materialize(_with_component(*stored).where(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct(), "gone")
+    discard(*stored)
     columns = [f"__{i}" for i in range(len(docs.columns))]  # names of ours can't clash
     left = docs.toDF(*columns).withColumn("__doc", F.col(columns[docs.columns.index("doc_id")]).cast("long")).join(gone, "__doc", "left_anti")
     left = left.withColumn("__th", F.xxhash64(columns[docs.columns.index("text")])).dropDuplicates(["__doc", "__th"])
