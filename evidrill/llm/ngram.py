@@ -1,19 +1,24 @@
 """Language-model scores with stupid backoff, each document against all others.
 
 Texts are packed in blocks (a dictionary of word hashes, and the words as numbers).  Every
-block sends its distinct n-grams with their counts, sorted by a 48-bit hash and cut into as
-many ranges as there are shuffle partitions: these are the count tables, partitioned by
-hash.  A range sums the counts over blocks and answers each block in its own order, so a
-frequent n-gram costs one entry a block.  A block joins the answers to its exploded n-grams
-and sums over each document's words:
+block sends its distinct n-grams with their counts, sorted by hash and cut into ranges: these
+are the count tables, partitioned by hash.  There are as many ranges as keep a range's
+n-grams near ``RANGE``, however large the input.  A range sums the counts over blocks and
+answers each block in its own order, so a frequent n-gram costs one entry a block.  A block
+joins the answers to its exploded n-grams and sums over each document's words:
 
     c(abc) / c(ab), else 0.4 c(bc) / c(b), else 0.16 c(c) / N, else 0.16 / (N + 1)
 
 where a document's own n-grams don't count, and the first words have shorter contexts.
 Words are lower-cased (A-Z) and split at ASCII blanks.
 
+N-grams are known by ``BITS`` bits of hash.  Two of d distinct n-grams share one with
+probability d / 2^BITS: one in 70,000 n-grams at 10^12 distinct ones, whose counts are then
+added up.
+
 A row without words has n_words 0, log_score 0 and a null mean_score.  Repeated rows are
-documents of their own, so they support each other.
+documents of their own, so they support each other; ids may be null or repeat.  Columns but
+doc_id and text are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, shared_dir, table
-from .hashing import blocks, mix, words
+from .common import column, table
+from .hashing import _BLANK, blocks, mix, words
 
 _U = np.uint64
-ORDER, BACKOFF, BITS = 3, 0.4, 48
-#: Bytes of text in a block.
-TEXT = 7 << 20
+ORDER, BACKOFF, BITS = 3, 0.4, 56
+#: Bytes of text in a block, and hashed at once.
+TEXT, PIECE = 12 << 20, 1 << 20
+#: N-grams of one order that a range takes from all blocks, about.
+RANGE = 1 << 21
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -53,13 +60,15 @@ def _packed(docs: DataFrame) -> DataFrame:
         def out(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             nonlocal block
             for a, b in blocks(texts, TEXT):
-                word, at = words(texts[a:b])
+                parts = [words(texts[a + x : a + y]) for x, y in blocks(texts[a:b], PIECE)]
+                word = np.concatenate([w for w, _ in parts])
+                lengths = np.concatenate([np.diff(at) for _, at in parts]).astype(np.int64)
                 known, number, count = np.unique(word, return_inverse=True, return_counts=True)
                 rank = np.empty(len(known), np.uint32)
                 rank[np.argsort(-count, kind="stable")] = np.arange(len(known), dtype=np.uint32)
                 vocabulary = np.empty(len(known), _U)
                 vocabulary[rank] = known
-                row = [block, [x for x in ids[a:b]], planes(np.diff(at).astype(np.int64)), vocabulary.tobytes(), planes(rank[number])]
+                row = [block, [x for x in ids[a:b]], planes(lengths), vocabulary.tobytes(), planes(rank[number])]
                 block += 1
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "ids", "lengths", "vocabulary", "numbers"])
 
@@ -80,18 +89,17 @@ def _packed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, ids array<long>, lengths binary, vocabulary binary, numbers binary")
 
 
-def _grams(lengths: np.ndarray, word: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By order: the hash of the n-gram that ends at each word, and whether it lies in one document."""
+def _grams(lengths: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order: the words at which an n-gram of one document ends, and the n-grams' hashes."""
     n = len(word)
     place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = []
     h = np.zeros(n, _U)
     for order in range(1, ORDER + 1):
         before = np.zeros(n, _U)
         before[1:] = h[:-1]
         h = mix(before * _U(0xD6E8FEB86659FD93) + word + _U(order))
-        out.append((h >> _U(64 - BITS), place >= order - 1))
-    return out
+        whole = np.flatnonzero(place >= order - 1)
+        yield whole, h[whole] >> _U(64 - BITS)
 
 
 def _tables(packed: DataFrame, ranges: int) -> DataFrame:
@@ -103,8 +111,8 @@ def _tables(packed: DataFrame, ranges: int) -> DataFrame:
             for block, lengths, vocabulary, numbers in zip(*(column(b, c) for c in ("block", "lengths", "vocabulary", "numbers")), strict=True):
                 word = np.frombuffer(vocabulary, _U)[unplanes(numbers, np.uint32)]
                 rows = []
-                for order, (h, whole) in enumerate(_grams(unplanes(lengths, np.int64), word), 1):
-                    gram, count = np.unique(h[whole], return_counts=True)
+                for order, (_, h) in enumerate(_grams(unplanes(lengths, np.int64), word), 1):
+                    gram, count = np.unique(h, return_counts=True)
                     cuts = np.searchsorted(gram, np.arange(ranges + 1, dtype=_U) * _U(width))
                     for i in np.flatnonzero(np.diff(cuts)):
                         x = gram[cuts[i] : cuts[i + 1]]
@@ -140,12 +148,15 @@ def _scores(packed: DataFrame, totals: DataFrame, n_words: int) -> DataFrame:
         for order, part, blob in sorted(zip(right.column("gram").to_pylist(), right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True)):
             answers.setdefault(order, []).append(unplanes(blob, _U))
         others = []  # by order: how often the n-gram that ends at a word is in other documents
-        for order, (h, whole) in enumerate(_grams(lengths, word), 1):
+        for order, (whole, h) in enumerate(_grams(lengths, word), 1):
             c = np.zeros(len(word))
-            if whole.any():
-                gram, at = np.unique(h[whole], return_inverse=True)
-                key, back, own = np.unique(doc[whole].astype(np.int64) * len(gram) + at, return_inverse=True, return_counts=True)
-                c[whole] = np.concatenate(answers[order])[at].astype(float) - own[back]
+            if len(whole):
+                by = np.argsort(h, kind="stable")  # by n-gram, then by document
+                h, at = h[by], whole[by]
+                new = np.concatenate([[True], h[1:] != h[:-1]])
+                first = np.flatnonzero(new | np.concatenate([[True], doc[at[1:]] != doc[at[:-1]]]))
+                own = np.diff(np.concatenate([first, [len(h)]]))
+                c[at] = np.concatenate(answers.pop(order))[np.cumsum(new) - 1].astype(float) - np.repeat(own, own)
             others.append(c)
         rest = np.maximum(n_words - lengths[doc], 1).astype(float)
         p = np.where(others[0] > 0, BACKOFF**2 * others[0] / rest, BACKOFF**2 / (rest + 1))
@@ -160,22 +171,24 @@ def _scores(packed: DataFrame, totals: DataFrame, n_words: int) -> DataFrame:
     return packed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, log_score double, mean_score double")
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, log_score (base 10, summed), mean_score (by word)."""
-    import uuid
-
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/evidrill/packed-{uuid.uuid4().hex}"
-    packed = _packed(docs)
-    packed.write.option("compression", "zstd").parquet(path)
-    packed = spark.read.schema(packed.schema).parquet(path)
-
+def _n_words(docs: DataFrame) -> int:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(unplanes(x, np.int64).sum()) for x in column(b, "lengths")], pa.int64())], names=["n"])
+            n = 0
+            for text in column(b, "text"):
+                for a in range(0, len(text or b""), PIECE):
+                    blank = _BLANK[np.frombuffer(text[max(a - 1, 0) : a + PIECE], np.uint8)]
+                    n += int((blank[:-1] & ~blank[1:]).sum()) + int(a == 0 and not blank[0])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    n_words = packed.select("lengths").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, log_score (base 10, summed), mean_score (by word)."""
+    n_words = _n_words(docs)
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_words // RANGE))
+    packed = _packed(docs).repartition("block")  # made once; the tables and the scores read this exchange
     return _scores(packed, _summed(_tables(packed, ranges)), n_words)
 
 
