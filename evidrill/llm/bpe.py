@@ -1,14 +1,21 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is cut where a vocabulary's own pre-tokenizer always cuts (at blanks), so equal
-pieces are encoded once per worker.  A stretch that has no such cut and is longer than
-``LEAF`` code points is encoded as a binary tree: its leaves are encoded as one parallel
-batch, then neighbours are joined bottom-up.  At each join a window around the seam is
-encoded again and grown until its first tokens repeat the left side's and its last tokens
-repeat the right side's.  A BPE sequence is the encoding of its text exactly if every pair
-of neighbouring tokens is one, so agreement on both sides makes the joined sequence exact.
-
-Null texts are encoded as the empty text.  Texts of any length are taken whole.
+A text of more than ``LEAF`` code points is cut in halves, at any code point, until it isn't
+longer; leaves are cut at the blanks where the vocabulary's own pre-tokenizer always cuts, and
+their pieces are encoded in batches, in parallel, each distinct piece once a worker.  At each
+join a window around the seam is cut and encoded anew and grows until its first and last
+pieces are those of the two sides.
+
+A piece that is longer than ``LEAF`` itself, as no blank splits it, goes the same way token by
+token: its leaves are encoded as one parallel batch, and at each join a window of tokens grows
+until its first tokens repeat the left side's and its last tokens repeat the right side's.  A
+BPE sequence is the encoding of its text exactly if every pair of neighbouring tokens is one,
+so agreement on both sides makes the joined sequence exact.
+
+Null texts are encoded as the empty text, empty texts have no ids.  Texts of any length are
+taken whole.  Rows are kept as often as they come, whatever their ids; an empty table gives an
+empty result; columns that clash with an output are replaced, others kept (``encode``,
+``decode``) or ignored (``digests``).
 """
 
 from __future__ import annotations
@@ -23,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, column, drop_columns, table
 
-#: Code points in a leaf of the tree; shorter unsplit stretches are encoded at once.
-LEAF = 4096
+#: Code points in a leaf of the tree.
+LEAF = 1024
 #: Pieces in each of a worker's two generations of remembered pieces.
 CACHE = 120_000
 #: Below this code point letters, digits and lower case are the same in every library in use.
 _SETTLED = "\u0250"
+_UNSETTLED = re.compile(f"[{_SETTLED}-\U0010ffff]")
 _SUFFIX = b"\xff"  # no UTF-8 text holds this byte; it stands for a vocabulary's word-end mark
 #: A blank run that a pre-tokenizer with optional leading blanks does not cut blank by blank.
 _LONG_BLANKS = re.compile(r"\s  |  \s|  \Z")
@@ -79,6 +87,8 @@ class TreeEncoder:
         # whether blanks are dropped between words, or lead the word that follows
         self.drops_blanks = not self._ids("a b", self.whole)[1:] or self.whole.encode(" a", add_special_tokens=False).ids == self.whole.encode("a", add_special_tokens=False).ids
 
+        self.joins = 0
+        self.ranked = None  # encodes settled texts of a vocabulary without normalizer at once
         self.quick = self._rank_encoder(path)
 
     def _rank_encoder(self, path: str):
@@ -107,9 +117,13 @@ class TreeEncoder:
         if any(a >= b for a, b in zip(order, order[1:], strict=False)) or lowercases != bool(mark):
             return None
         ranks = {raw(t): i for t, i in model["vocab"].items() if t not in added}
-        encode_piece = tiktoken.Encoding("ranks", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         contractions = r"'s|'t|'re|'ve|'m|'ll|'d|"
-        find = regex.compile(contractions + (r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if mark else r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")).findall
+        pattern = contractions + (r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if mark else r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        by_rank = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encode_piece = by_rank._encode_single_piece
+        find = regex.compile(pattern).findall
+        if not mark:
+            self.ranked = by_rank
 
         def quick(piece: str) -> list[int] | None:
             if max(piece) >= _SETTLED:
@@ -190,21 +204,49 @@ class TreeEncoder:
 
     def pieces(self, text: str) -> list[str]:
         """Pieces whose encodings, put together, are the text's encoding."""
+        if len(text) <= self.leaf:
+            return [text[a:b] for a, b in self._cut(text, 0)]
+        return [text[a:b] for a, b in self._halves(text, 0, len(text))]
+
+    def _halves(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """Bounds of the pieces of text[a:b]: those of its halves, joined."""
+        if b - a <= self.leaf:
+            return self._cut(text[a:b], a)
+        seam = (a + b) // 2
+        left, right = self._halves(text, a, seam), self._halves(text, seam, b)
+        self.joins += 1
+        n = 2
+        while n < max(len(left), len(right)):
+            lo, hi = (left[-n][0] if n < len(left) else a), (right[n - 1][1] if n < len(right) else b)
+            window = self._cut(text[lo:hi], lo)
+            if window and (n >= len(left) or window[0] == left[-n]) and (n >= len(right) or window[-1] == right[n - 1]):
+                return left[:-n] + window + right[n:]
+            n *= 2
+        return self._cut(text[a:b], a)
+
+    def _cut(self, text: str, base: int) -> list[tuple[int, int]]:
+        """Bounds of the pieces of a text, counted from ``base``."""
         if self.split_added is not None and "<" in text and self.split_added.search(text):
-            out: list[str] = []
+            out: list[tuple[int, int]] = []
             for part in self.split_added.split(text):
-                out += [part] if part in self.added else self.pieces(part) if part else []
+                out += [(base, base + len(part))] if part in self.added else self._cut(part, base) if part else []
+                base += len(part)
             return out
-        if self.drops_blanks:
-            return [x for x in text.replace("\n", " ").split(" ") if x]
-        if _LONG_BLANKS.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+        if not self.drops_blanks and _LONG_BLANKS.search(text):
+            return [(base, base + len(text))]
+        out = []
+        lead = 0 if self.drops_blanks else 1  # a blank leads its word, or is dropped
+        at = base
+        for x in (text.replace("\n", " ") if self.drops_blanks else text).split(" "):
+            start = at - lead if at > base else at
+            if at + len(x) > start:
+                out.append((start, at + len(x)))
+            at += len(x) + 1
+        return out
 
     def encode_all(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece; short ones by rank or as batches."""
-        out: list[list[int] | None] = [self.quick(x) if self.quick and 0 < len(x) <= self.leaf and x not in self.added else None for x in pieces]
+        out: list[list[int] | None] = [[self.added[x]] if x in self.added else self.quick(x) if self.quick and 0 < len(x) <= self.leaf else None for x in pieces]
         rest = [k for k, x in enumerate(pieces) if out[k] is None and len(x) <= self.leaf]
         for a in range(0, len(rest), 4096):
             for k, e in zip(rest[a : a + 4096], self.whole.encode_batch_fast([pieces[k] for k in rest[a : a + 4096]], add_special_tokens=False), strict=True):
@@ -289,9 +331,17 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts_to_bytes(enc: TreeEncoder, texts: list[str | None], known: Recent) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of whole texts."""
-    split = [enc.pieces(t or "") for t in texts]
+    out: list[bytes | None] = [None] * len(texts)
+    if enc.ranked is not None:
+        for i, t in enumerate(texts):
+            if not t or (t.isascii() or not _UNSETTLED.search(t)) and not (enc.split_added and "<" in t and enc.split_added.search(t)):
+                out[i] = enc.ranked.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if t else b""
+    rest = [i for i, x in enumerate(out) if x is None]
+    split = [enc.pieces(texts[i] or "") for i in rest]
     known.age()
     new = list(known.unknown(x for p in split for x in p))
     for x, i in zip(new, enc.encode_all(new), strict=True):
         known[x] = struct.pack(f"<{len(i)}I", *i)
-    return [b"".join(map(known.__getitem__, p)) for p in split]
+    for i, p in zip(rest, split, strict=True):
+        out[i] = b"".join(map(known.__getitem__, p))
+    return out

@@ -11,7 +11,8 @@ rank within their length, which is a sum over per-partition counts: no key, howe
 frequent, is gathered in one task.
 
 Null and empty texts are one piece of one token (the end token).  Repeated rows are packed
-as often as they come.  Pieces of full length need no plan: each is a sequence.
+as often as they come, and ids may be null.  Pieces of full length need no plan: each is a
+sequence.  An empty table gives an empty result; columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -51,16 +51,29 @@ def test_bpe_equals_the_library(name):
     from tokenizers import Tokenizer
 
     t, r = Tokenizer.from_file(bpe.vocabulary(name)), random.Random(2)
-    for leaf in (48, bpe.LEAF):
+    for leaf in (8, 48, bpe.LEAF):
         e = bpe.TreeEncoder(bpe.vocabulary(name), leaf)
         texts = ["", "  a", "a   b", "a \n  b", "x<|endoftext|> y  <|startoftext|>", "İSTANBUL Σας", "a   b", "don't  stop  ", "日本語" * 50, "²½ ٣", "a\tb\r\nc  \n", "ß" * 500, "ab" * 400 + " c"]
         texts += ["".join(r.choice("thaeinosr é,1 ") for _ in range(r.randint(1, 600))) for _ in range(60)]
         texts += ["".join(r.choice("thaeinosr") for _ in range(700)) for _ in range(20)]
+        texts += ["".join(r.choice("ab .,\t\n\r\x0b\x0c\x1c\x1f\x85\xa0\xad\u0149\u01c5\u024f\xaa\xb2\xbc'<1é") for _ in range(r.randint(1, 200))) for _ in range(300)]
+        ids = bpe.texts_to_bytes(e, [None, *texts], bpe.Recent())
+        assert ids[0] == b"" and [np.frombuffer(x, "<u4").tolist() for x in ids[1:]] == [t.encode(x, add_special_tokens=False).ids for x in texts]
         for x in texts:
             assert e.encode(x) == t.encode(x, add_special_tokens=False).ids, x[:40]
             assert e.decode(e.encode(x)) == t.decode(t.encode(x, add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+def test_whole_texts_are_joined_by_the_tree(spark):
+    from tokenizers import Tokenizer
+
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for name in (bpe.WORD_VOCAB, bpe.BYTE_VOCAB):
+        t, e = Tokenizer.from_file(bpe.vocabulary(name)), bpe.TreeEncoder(bpe.vocabulary(name))
+        assert all(e.encode(x) == t.encode(x, add_special_tokens=False).ids for x in texts)
+        assert e.joins > len([x for x in texts if len(x) > bpe.LEAF]) > 20
+
+
 def test_bpe_rows(spark):
     from tokenizers import Tokenizer
 
