@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,19 +37,19 @@ from .hashing import _BLANK, blocks, mix, words
 _U = np.uint64
 ORDER, BACKOFF, BITS = 3, 0.4, 56
 #: Bytes of text in a block, and hashed at once.
-TEXT, PIECE = 12 << 20, 1 << 20
+TEXT, PIECE = 8 << 20, 1 << 20
 #: N-grams of one order that a range takes from all blocks, about.
 RANGE = 1 << 21
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The array's bytes by significance: high ones are mostly zero and compress away."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+    """The array's bytes by significance, compressed: high ones are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).data)
 
 
 def unplanes(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel() if b else np.zeros(0, kind)
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() if raw else np.zeros(0, kind)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -92,13 +93,13 @@ def _packed(docs: DataFrame) -> DataFrame:
 def _grams(lengths: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """By order: the words at which an n-gram of one document ends, and the n-grams' hashes."""
     n = len(word)
-    place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.arange(n, dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
     h = np.zeros(n, _U)
     for order in range(1, ORDER + 1):
         before = np.zeros(n, _U)
         before[1:] = h[:-1]
         h = mix(before * _U(0xD6E8FEB86659FD93) + word + _U(order))
-        whole = np.flatnonzero(place >= order - 1)
+        whole = np.flatnonzero(place >= order - 1).astype(np.int32)
         yield whole, h[whole] >> _U(64 - BITS)
 
 
@@ -141,29 +142,32 @@ def _summed(tables: DataFrame) -> DataFrame:
 def _scores(packed: DataFrame, totals: DataFrame, n_words: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids").to_pylist()[0]
-        lengths = unplanes(left.column("lengths").to_pylist()[0], np.int64)
-        word = np.frombuffer(left.column("vocabulary").to_pylist()[0], _U)[unplanes(left.column("numbers").to_pylist()[0], np.uint32)]
-        doc = np.repeat(np.arange(len(ids)), lengths)
-        answers: dict[int, list] = {}
-        for order, part, blob in sorted(zip(right.column("gram").to_pylist(), right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True)):
-            answers.setdefault(order, []).append(unplanes(blob, _U))
-        others = []  # by order: how often the n-gram that ends at a word is in other documents
+        lengths = unplanes(left.column("lengths")[0].as_py(), np.int64)
+        word = np.frombuffer(left.column("vocabulary")[0].as_py(), _U)[unplanes(left.column("numbers")[0].as_py(), np.uint32)]
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        which = sorted(zip(right.column("gram").to_pylist(), right.column("part").to_pylist(), range(right.num_rows), strict=True))
+        totals = right.column("totals")
+        rest = np.maximum(n_words - lengths, 1).astype(float)[doc]
+        p = BACKOFF**2 / (rest + 1)
+        before = None  # of the order below: how often the n-gram that ends at a word is in other documents
         for order, (whole, h) in enumerate(_grams(lengths, word), 1):
             c = np.zeros(len(word))
             if len(whole):
-                by = np.argsort(h, kind="stable")  # by n-gram, then by document
+                by = np.argsort(h, kind="stable").astype(np.int32)  # by n-gram, then by document
                 h, at = h[by], whole[by]
+                del by
                 new = np.concatenate([[True], h[1:] != h[:-1]])
-                first = np.flatnonzero(new | np.concatenate([[True], doc[at[1:]] != doc[at[:-1]]]))
-                own = np.diff(np.concatenate([first, [len(h)]]))
-                c[at] = np.concatenate(answers.pop(order))[np.cumsum(new) - 1].astype(float) - np.repeat(own, own)
-            others.append(c)
-        rest = np.maximum(n_words - lengths[doc], 1).astype(float)
-        p = np.where(others[0] > 0, BACKOFF**2 * others[0] / rest, BACKOFF**2 / (rest + 1))
-        for order, weight in ((2, BACKOFF), (3, 1.0)):
-            context = np.concatenate([[0.0], others[order - 2][:-1]]) if len(word) else np.zeros(0)
-            known = (others[order - 1] > 0) & (context > 0)
-            p = np.where(known, weight * others[order - 1] / np.maximum(context, 1), p)
+                first = np.flatnonzero(new | np.concatenate([[True], doc[at[1:]] != doc[at[:-1]]])).astype(np.int32)
+                own = np.diff(first, append=np.int32(len(h)))
+                answer = np.concatenate([unplanes(totals[i].as_py(), _U) for g, _, i in which if g == order]).astype(float)
+                c[at] = answer[np.cumsum(new, dtype=np.int32) - 1] - np.repeat(own, own)
+                del h, at, new, first, own, answer
+            if order == 1:
+                p = np.where(c > 0, BACKOFF**2 * c / rest, p)
+            else:
+                context = np.concatenate([[0.0], before[:-1]]) if len(word) else before
+                p = np.where((c > 0) & (context > 0), BACKOFF ** (ORDER - order) * c / np.maximum(context, 1), p)
+            before = c
         total = np.bincount(doc, weights=np.log10(p), minlength=len(ids)) if len(word) else np.zeros(len(ids))
         mean = [float(s / n) if n else None for s, n in zip(total, lengths, strict=True)]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(lengths, pa.int64()), "log_score": pa.array(total, pa.float64()), "mean_score": pa.array(mean, pa.float64())})
