@@ -1,9 +1,9 @@
 """Language identification with a blended-spectrum string kernel.
 
-Texts are lower-cased, everything but letters becomes one blank, and a text is read in
-segments of at most ``SEGMENT`` bytes, all of them.  A segment is the set of its byte n-grams
-of the lengths ``SPECTRUM``, hashed to ``BINS`` bins; the kernel of two sets is the size of
-their intersection over the root of the product of their sizes.  Landmarks give the Nyström
+Texts are lower-cased, everything but letters and their marks becomes one blank, and a text is
+read in segments of at most ``SEGMENT`` bytes, all of them.  A segment is the set of its byte
+n-grams of 1 to ``SPECTRUM`` bytes; the kernel of two sets is the size of their intersection
+over the root of the product of their sizes, counted exactly.  Landmarks give the Nyström
 features K(x, L) K(L, L)^(-1/2); one ridge regression for each language against the rest is
 fitted on them.  Segments are scored by matrix products, batch by batch, and a text by the
 mean over its segments, weighted by their sizes.
@@ -15,66 +15,93 @@ of each language an equal share of ``TRAIN`` segments, but ``LEAST_TRAIN`` at le
 with the number of languages, and the sample is read in pieces.
 
 A text that is null or has no letter is ``und`` with score 0.  Without any labelled row all
-texts are.
+texts are.  Of languages with equal scores the first by name is predicted.  Rows are kept as
+often as they come, whatever their ids; an empty table gives an empty result; columns named
+lang_pred and score are replaced, others kept.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialize, table
-from .hashing import mix, prefix, windows
+from .common import column, discard, materialize, table
 
-SEGMENT, SPECTRUM, BINS = 4000, (1, 2, 3), 8192
+SEGMENT, SPECTRUM = 4000, 3
 PER_CLASS, PER_TEXT, TRAIN, LEAST_TRAIN, LANDMARKS, LEAST_MARKS = 400, 64, 4096, 256, 128, 4
-#: Segments whose rows of bins are held at once.
+#: Segments scored at once.
 PIECE = 512
 RIDGE, SHARPNESS = 1e-2, 8.0
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-_U = np.uint64
+_NOT_LETTERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def segments(text: str | None) -> list[bytes]:
     """The text's letters in pieces, none if it has no letter."""
-    if not text:
+    if not text or not _LETTER.search(text):
         return []
     data = _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
     n = -(-len(data) // SEGMENT)
-    size = -(-len(data) // n) if n else 0
+    size = -(-len(data) // n)
     return [b" " + data[i * size : (i + 1) * size] + b" " for i in range(n)]
 
 
-def presence(parts: list[bytes]) -> np.ndarray:
-    """A row of 0 and 1 for each piece: which bins its n-grams fall in."""
-    out = np.zeros((len(parts), BINS), np.float32)
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    sums = prefix(data)
-    for n in SPECTRUM:
-        h = windows(sums, n)
-        same = row[: len(h)] == row[n - 1 : n - 1 + len(h)]
-        out[row[: len(h)][same], (mix(h + _U(n))[same] % _U(BINS)).astype(np.int64)] = 1
-    return out
-
-
-def _unit(bits: list[bytes]) -> np.ndarray:
-    """Rows of packed bins, each of length 1."""
-    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
-    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+def _grams(part: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, codes) of a segment's n-grams, place by place."""
+    data = np.frombuffer(part, np.uint8).astype(np.int32)
+    code = data
+    for n in range(1, SPECTRUM + 1):
+        if n > 1:
+            code = (code[:-1] << 8) | data[n - 1 :]
+        yield n, code
+
+
+class Spectrum:
+    """Intersections of segments with landmarks, by tables of all n-grams of a length."""
+
+    def __init__(self, landmarks: list[bytes]):
+        own = [[np.unique(c) for _, c in _grams(x)] for x in landmarks]
+        self.sizes = np.array([sum(map(len, x)) for x in own], float)
+        self.at, self.seen, known = [], [], 0
+        for n in range(SPECTRUM):
+            every = np.unique(np.concatenate([x[n] for x in own]))
+            at = np.full(256 ** (n + 1), -1, np.int32)
+            at[every] = np.arange(known, known + len(every))
+            known += len(every)
+            self.at.append(at)
+            self.seen.append(np.zeros(256 ** (n + 1), np.uint16))
+        self.has = np.zeros((known, len(landmarks)), np.uint8)  # which n-gram is in which landmark
+        for i, x in enumerate(own):
+            for n in range(SPECTRUM):
+                self.has[self.at[n][x[n]], i] = 1
+
+    def kernel(self, parts: list[bytes]) -> np.ndarray:
+        """K(x, L): a row for each segment."""
+        out = np.zeros((len(parts), len(self.sizes)))
+        for i, part in enumerate(parts):
+            total, rows = 0, []
+            for n, code in _grams(part):
+                place = np.arange(len(code), dtype=np.uint16)  # segments are shorter than 2^16
+                seen = self.seen[n - 1]
+                seen[code] = place
+                code = code[seen[code] == place]  # each n-gram once, where it comes last
+                total += len(code)
+                at = self.at[n - 1][code]
+                rows.append(at[at >= 0])
+            out[i] = np.add.reduce(self.has[np.concatenate(rows)], axis=0, dtype=np.uint16) / np.sqrt(total * self.sizes)
+        return out
 
 
 @dataclass
 class KernelClassifier:
     classes: list[str]
-    landmarks: np.ndarray  # bins x landmarks
+    landmarks: list[bytes]
     weights: np.ndarray  # landmarks x classes
 
     @classmethod
@@ -82,8 +109,8 @@ class KernelClassifier:
         """From how many segments each language has, the landmarks, and all segments with their language."""
         classes = sorted(counts)
         at = {c: i for i, c in enumerate(classes)}
-        marks = _unit(picked).T
-        value, vector = np.linalg.eigh((marks.T @ marks).astype(np.float64))
+        spectrum = Spectrum(picked)
+        value, vector = np.linalg.eigh(spectrum.kernel(picked))
         good = value > 1e-6 * value.max(initial=1e-12)
         whiten = vector[:, good] / np.sqrt(value[good])
         total = sum(counts.values())
@@ -91,16 +118,13 @@ class KernelClassifier:
         left, right = RIDGE * np.eye(whiten.shape[1]), np.zeros((whiten.shape[1], len(classes)))
         rows = iter(rows)
         while piece := list(islice(rows, PIECE)):
-            phi = (_unit([x for x, _ in piece]) @ marks) @ whiten
+            phi = spectrum.kernel([x for x, _ in piece]) @ whiten
             label = np.array([at[c] for _, c in piece])
             target = (label[:, None] == np.arange(len(classes))) * 2.0 - 1
             weight = share[label][:, None]
             left += phi.T @ (weight * phi)
             right += phi.T @ (weight * target)
-        return cls(classes, marks.astype(np.float32), (whiten @ np.linalg.solve(left, right)).astype(np.float32))
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.landmarks) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)) @ self.weights
+        return cls(classes, picked, whiten @ np.linalg.solve(left, right))
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -121,20 +145,22 @@ def fit(docs: DataFrame) -> KernelClassifier | None:
                 n = min(len(parts), PER_TEXT)
                 parts = [parts[i * len(parts) // n] for i in range(n)]
                 if parts:
-                    bits = [np.packbits(x > 0).tobytes() for x in presence(parts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), pa.array([lang] * len(bits))], names=["bits", "lang"])
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array([lang] * len(parts))], names=["part", "lang"])
 
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("bits"), "bits")
-    ranked = sample.mapInArrow(run, "bits binary, lang string").withColumn("place", F.row_number().over(by_hash))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("part"), "part")
+    ranked = sample.mapInArrow(run, "part binary, lang string").withColumn("place", F.row_number().over(by_hash))
     found = materialize(ranked.where(F.col("place") <= max(TRAIN, LEAST_TRAIN)), "segments")
     classes = found.where("place = 1").count()
     if not classes:
+        discard(found)
         return None
-    found = found.where(F.col("place") <= max(-(-TRAIN // classes), LEAST_TRAIN))
-    counts = {r["lang"]: r["count"] for r in found.groupBy("lang").count().collect()}
+    used = found.where(F.col("place") <= max(-(-TRAIN // classes), LEAST_TRAIN))
+    counts = {r["lang"]: r["count"] for r in used.groupBy("lang").count().collect()}
     # in turn from each language
-    picked = [bytes(r["bits"]) for r in found.where(F.col("place") <= max(LANDMARKS, LEAST_MARKS)).orderBy("place", "lang").limit(max(LANDMARKS, LEAST_MARKS * classes)).collect()]
-    return KernelClassifier.fit(counts, picked, ((bytes(r["bits"]), r["lang"]) for r in found.toLocalIterator()))
+    picked = [bytes(r["part"]) for r in used.where(F.col("place") <= max(LANDMARKS, LEAST_MARKS)).orderBy("place", "lang").limit(max(LANDMARKS, LEAST_MARKS * classes)).collect()]
+    model = KernelClassifier.fit(counts, picked, ((bytes(r["part"]), r["lang"]) for r in used.toLocalIterator()))
+    discard(found)
+    return model
 
 
 def identify(docs: DataFrame, model: KernelClassifier | None) -> DataFrame:
@@ -142,16 +168,15 @@ def identify(docs: DataFrame, model: KernelClassifier | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(*[c for c in docs.columns if c in ("lang_pred", "score")])
 
-    def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        m = shared.value
+    def predict(texts: list[str | None], m: KernelClassifier | None, spectrum: Spectrum | None) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         parts = [(i, s) for i, t in enumerate(texts) for s in segments(t)] if m else []
         total = np.zeros((len(texts), len(m.classes) if m else 1))
         size = np.zeros(len(texts))
-        for a in range(0, len(parts), 256):
-            at = np.array([i for i, _ in parts[a : a + 256]])
-            n = np.array([len(s) for _, s in parts[a : a + 256]], float)
-            np.add.at(total, at, m.scores(presence([s for _, s in parts[a : a + 256]])) * n[:, None])
+        for a in range(0, len(parts), PIECE):
+            at = np.array([i for i, _ in parts[a : a + PIECE]])
+            n = np.array([len(s) for _, s in parts[a : a + PIECE]], float)
+            np.add.at(total, at, (spectrum.kernel([s for _, s in parts[a : a + PIECE]]) @ m.weights) * n[:, None])
             np.add.at(size, at, n)
         for i in np.flatnonzero(size):
             e = np.exp(SHARPNESS * (total[i] - total[i].max()) / size[i])
@@ -159,8 +184,10 @@ def identify(docs: DataFrame, model: KernelClassifier | None) -> DataFrame:
         return lang, score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        spectrum = Spectrum(m.landmarks) if m else None
         for b in batches:
-            lang, score = predict(column(b, "text"))
+            lang, score = predict(column(b, "text"), m, spectrum)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     from pyspark.sql import types as T
