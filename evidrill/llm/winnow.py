@@ -79,8 +79,10 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(union == 0, 1.0).otherwise(F.col(both).cast("double") / union)).drop(both)
 
 
-def with_next(rows: DataFrame, key: str, tie: str, carried: list[str]) -> DataFrame:
-    """``rows`` with ``next_<c>`` for each carried column: its value in the row that follows by descending ``key``.
+def with_next(rows: DataFrame, key: str, tie: str, text: str, carried: list[str], prepared=lambda df: df) -> DataFrame:
+    """``prepared(rows)`` with ``next_<c>`` for each carried column: its value in the row that follows by descending ``key``.
+
+    ``prepared`` adds columns row by row, from ``key``, ``tie`` and ``text``.
 
     Rows are dealt to ranges of ``key`` by its quantiles; the first row of each range is also sent
     to the range before it, so no task sees more than its range.
@@ -93,19 +95,19 @@ def with_next(rows: DataFrame, key: str, tie: str, carried: list[str]) -> DataFr
     rows = rows.withColumn("bucket", bucket)
     tops = sorted((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max(key).alias("top")).collect())  # one row a range
     if not tops:
-        return rows.drop("bucket").withColumns({f"next_{c}": F.col(c) for c in carried})
+        return prepared(rows.drop("bucket")).withColumns({f"next_{c}": F.col(c) for c in carried})
     above = [b for b, _ in tops[1:]] + [tops[0][0]]
     where = spark.createDataFrame([(top, to) for (_, top), to in zip(tops, above, strict=True)], f"{key} long, to int")
-    guests = rows.drop("bucket").join(F.broadcast(where), key).groupBy(key, "to").agg(F.max(F.struct(tie, *carried)).alias("g"))
-    guests = guests.select(key, F.col("to").alias("bucket"), F.lit(1).alias("guest"), *[F.col(f"g.{c}").alias(c) for c in (tie, *carried)])
+    guests = rows.drop("bucket").join(F.broadcast(where), key).groupBy(key, "to").agg(F.max(F.struct(tie, text)).alias("g"))
+    guests = guests.select(key, F.col("to").alias("bucket"), F.lit(1).alias("guest"), *[F.col(f"g.{c}").alias(c) for c in (tie, text)])
     w = Window.partitionBy("bucket").orderBy("guest", F.desc(key), F.desc(tie))
-    both = rows.withColumn("guest", F.lit(0)).unionByName(guests, allowMissingColumns=True)
+    both = prepared(rows.withColumn("guest", F.lit(0))).unionByName(prepared(guests), allowMissingColumns=True)
     return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).where("guest = 0").drop("guest", "bucket")
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_entries(docs.withColumn("tie", F.xxhash64("text")), "text", "own"), "key", "tie", ["text", "own"])
+    rows = with_next(docs.withColumn("tie", F.xxhash64("text")), "key", "tie", "text", ["text", "own"], lambda df: with_entries(df, "text", "own"))
     rows = rows.withColumn("n", F.char_length("text").cast("long")).withColumn("cut", F.expr("cast(n div 3 AS int)"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n AS int) - cut), substring(next_text, 1, cut))"))
     rows = with_entries(rows.select("key", "n", "edited", "own", "next_own"), "edited", "new")
