@@ -7,10 +7,16 @@ the tree and down again, which gives every node's exact marginal; text whose own
 content with at least one half is kept.  The potentials are smoothed log counts over
 labelled pages, ``training_pages`` unless others are given.
 
-Scripts, styles, forms and the like never count as text.  Character references are decoded;
-white space in a block (line breaks too) becomes one blank; blocks are joined by two line
-feeds.  Null, empty or textless pages give the empty text.  Pages may be malformed: open
-elements end where HTML ends them, stray end tags are ignored.
+Scripts, styles and the like never count as text, nor do forms, unless a form wraps the page's
+body (it holds an article, a main part or the first heading, or most of the text in several
+paragraphs).  Character references are decoded; white space in a block (line breaks too)
+becomes one blank; blocks are joined by two line feeds.  Pages may be malformed: open elements
+end where HTML ends them, stray end tags are ignored, elements nested deeper than ``DEPTH``
+belong to the last one within.  The time is linear in the length of a page.
+
+Null, empty or textless pages give the empty text, an empty table an empty result.  A node
+whose marginal is exactly one half is content.  Rows are kept as often as they come, and equal
+pages get equal texts.  A column of the output's name is replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -29,18 +35,23 @@ from pyspark.sql import functions as F
 
 from .common import column, table
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 #: Their content is not text.
-DROPPED = frozenset("script style noscript template iframe svg math canvas object audio video head title select textarea button form datalist dialog".split())
+DROPPED = frozenset("script style noscript template iframe svg math canvas object audio video head title select textarea button datalist dialog".split())
 _RAW = frozenset("script style noscript template iframe textarea title".split())
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("html body div section article main aside nav header footer hgroup p h1 h2 h3 h4 h5 h6 ul ol menu li dl dt dd table caption thead tbody tfoot tr blockquote pre figure figcaption fieldset address details summary center".split()) | DROPPED
+BLOCKS = frozenset("html body div section article main aside nav header footer hgroup p h1 h2 h3 h4 h5 h6 ul ol menu li dl dt dd table caption thead tbody tfoot tr blockquote pre figure figcaption form fieldset address details summary center".split()) | DROPPED
 #: What a start tag ends, up to the elements that hold it in.
 _ENDS_P = BLOCKS - {"head", "title", "script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "audio", "video", "select", "textarea", "button", "datalist", "html", "body", "li", "dt", "dd", "tr", "thead", "tbody", "tfoot", "caption"} | {"hr"}
 _SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+#: Elements nested deeper belong to the last one within.
+DEPTH = 512
 _FENCE = frozenset("table td th article section main aside nav header footer div blockquote li form figure details".split())
 
 
@@ -54,6 +65,7 @@ class Node:
     all: int = 0  # of its and its descendants' text
     all_linked: int = 0
     last: str = ""
+    form: int = -1  # the form that it is or lies in
 
 
 @dataclass
@@ -88,6 +100,7 @@ def parse(source: str) -> Page:
         if tag in BLOCKS:
             flush()
         stack.pop()
+        open_[tag] -= 1
         dropped -= tag in DROPPED
         links -= tag == "a"
 
@@ -106,18 +119,31 @@ def parse(source: str) -> Page:
             if links:
                 linked[0] += len(piece)
 
-    find = _TOKEN.search
-    while (m := find(source, at)) is not None:
-        add(source[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+    open_, beyond = Counter[str](), Counter[str]()  # of elements in the stack, and nested too deep for it
+    loose = False  # quotes that are never closed are no quotes
+    last_end = source.rfind(">")
+    while (start := source.find("<", at)) >= 0:
+        add(source[at:start])
+        at = start + 1
+        if (m := _MARK.match(source, start)) is not None:
+            at = m.end()
             continue
+        m = None if loose or start > last_end else _TAG.match(source, start)
+        if m is None and start <= last_end and (m := _LOOSE_TAG.match(source, start)) is not None:
+            loose = True
+        if m is None:
+            add("<")
+            continue
+        at, tag = m.end(), m[2]
         tag = tag.lower()
-        if m[1] or m[4]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+        if m[1]:
+            if beyond[tag]:
+                beyond[tag] -= 1
+                if tag in BLOCKS:
+                    flush()
+            elif tag == "p" and not open_["p"]:
                 flush()
-            elif any(t == tag for t, _ in stack):
+            elif open_[tag]:
                 if tag in BLOCKS or tag in ("td", "th", "a"):
                     while stack[-1][0] != tag:
                         pop()
@@ -126,30 +152,37 @@ def parse(source: str) -> Page:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == tag:
                             del stack[k]
+                            open_[tag] -= 1
                             break
                         if stack[k][0] in BLOCKS:
                             break
             continue
         if tag in ("br", "hr", "td", "th"):
             add(" ")
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and open_["p"]:
             end_open({"p"}, _FENCE)
-        if tag in _SIBLING:
+        if tag in _SIBLING and any(open_[x] for x in _SIBLING[tag][0]):
             end_open(*_SIBLING[tag])
         if tag == "hr":
             flush()
         if tag in _VOID:
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and open_[tag]:
             continue
         if tag in _RAW:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            close = _RAW_END[tag].search(source, at)
             flush()
             at = close.end() if close else len(source)
             continue
+        if len(stack) > DEPTH:
+            beyond[tag] += 1
+            if tag in BLOCKS:
+                flush()
+            continue
+        open_[tag] += 1
         if tag in BLOCKS:
             flush()
-            nodes.append(Node(tag, stack[-1][1], m[3] or m[6] or ""))
+            nodes.append(Node(tag, stack[-1][1], m[3] or "", form=len(nodes) if tag == "form" else nodes[stack[-1][1]].form))
             stack.append((tag, len(nodes) - 1))
             dropped += tag in DROPPED
         else:
@@ -157,6 +190,7 @@ def parse(source: str) -> Page:
             links += tag == "a"
     add(source[at:])
     flush()
+    _drop_forms(page)
     for n in reversed(nodes):
         n.all += n.own
         n.all_linked += n.own_linked
@@ -166,6 +200,25 @@ def parse(source: str) -> Page:
     return page
 
 
+def _drop_forms(page: Page) -> None:
+    """Takes the text of forms off, but of those that only wrap a page's body."""
+    own, blocks = Counter[int](), Counter[int]()
+    wraps = set()
+    for n in page.nodes:
+        if n.form >= 0:
+            own[n.form] += n.own
+            blocks[n.form] += n.tag in ("p", "h1", "h2", "h3") and n.own > 0
+            if n.tag in ("article", "main", "h1"):
+                wraps.add(n.form)
+    total = sum(n.own for n in page.nodes)
+    wraps |= {f for f, n in own.items() if 2 * n > total and blocks[f] > 2}
+    if own.keys() - wraps:
+        page.runs = [(i, t) for i, t in page.runs if page.nodes[i].form < 0 or page.nodes[i].form in wraps]
+        for n in page.nodes:
+            if n.form >= 0 and n.form not in wraps:
+                n.own = n.own_linked = 0
+
+
 def _length(n: int) -> str:
     return "0" if n == 0 else "25" if n <= 25 else "80" if n <= 80 else "300" if n <= 300 else "1000" if n <= 1000 else "more"
 
