@@ -14,7 +14,7 @@ from evidrill.llm import bpe, langid, minhash, packing, suffix, toxicity
 from evidrill.llm.common import materialize, table
 
 #: Least score of the predicted language.
-CLEAR = 0.3
+CLEAR = 0.5
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
