@@ -1,16 +1,21 @@
 """Exact top-k inner products with norm order and a rotation.
 
-Vectors become integers.  Candidates lie in shards, queries in blocks; each pair of a block
-and a shard is one task's work, so neither side is ever whole in one place.  A shard is
-taken by descending length.  Lengths and all rotated coordinates come from the eigenvectors
-of the corpus's Gram matrix (its right singular vectors), so the first ``HEAD`` coordinates
-hold most of an inner product; the rest is bounded by Cauchy and Schwarz.  A block of
-candidates is passed over for queries that even |q||v| can't lift over their k-th score, and
-of the others only pairs whose bound reaches it are scored, exactly.
+Vectors become integers.  Candidates are dealt to ranges of descending length, a range to
+shards, queries to blocks; a pair of a block and a shard is one task's work, so neither side is
+ever whole in one place.  The longest range is searched first; the k-th scores found there go
+with the queries into the other ranges, and a query isn't sent to ranges where even |q||v|
+can't reach its k-th score.  Within a shard candidates are taken by descending length again.
+Lengths and all rotated coordinates come from the eigenvectors of the corpus's Gram matrix
+(its right singular vectors), so the first ``HEAD`` coordinates hold most of an inner product;
+the rest is bounded by Cauchy and Schwarz.  A block of candidates is passed over for queries
+that even |q||v| can't lift over their k-th score, and of the others only pairs whose bound
+reaches it are scored, exactly.
 
 Vectors that are null or hold null, NaN or infinity take no part, nor do null ids; shorter
-vectors are padded with zeros.  Rows with the query's own id are no candidates of it;
-queries that repeat a row are asked once.
+vectors are padded with zeros.  Rows with the query's own id are no candidates of it; rows that
+repeat an id are candidates of their own; queries that repeat a row are asked once; equal
+scores rank by id.  Empty tables give an empty result.  Vectors so long that an inner product
+could pass 2^53, or a component a long, raise an error, as scores wouldn't be exact.
 """
 
 from __future__ import annotations
@@ -20,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 SCALE = 1024
 HEAD = 16
-#: Candidates scored at once, queries in a block, candidates in a shard at least.
-STEP, QUERY_BLOCK, SHARD = 1024, 2048, 8192
+#: Candidates scored at once; components in a block of queries, and in a shard of candidates, at most; vectors in a shard, if there are enough.
+STEP, QUERY_CELLS, SHARD_CELLS, SHARD = 1024, 1 << 20, 1 << 22, 8192
+#: Ranges of length at most.
+RANGES = 64
 
 
 def integers(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -64,8 +71,8 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh((gram + gram.T) / 2)[1][:, ::-1]
 
 
-def search(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, r: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score): of each query the k best candidates of one shard."""
+def search(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, r: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, int]]:
+    """(query, candidate, score): of each query the k best candidates of one shard that reach its ``floor``."""
     norm = np.sqrt((c * c).sum(axis=1))
     order = np.lexsort((cid, -norm))
     c, cid, norm = c[order], cid[order], norm[order]
@@ -74,7 +81,7 @@ def search(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, r: np
     head = min(HEAD, q.shape[1])
     q_rest, c_rest = (np.sqrt((x[:, head:] ** 2).sum(axis=1)) for x in (qr, cr))
     best: list[list[tuple[int, int]]] = [[] for _ in qid]  # (-score, id), sorted
-    floor = np.full(len(qid), -np.inf)
+    floor = floor.copy()
     slack = 1e-6 * (1 + qn) * (1 + norm.max(initial=0))  # rounding of rotated coordinates
     for a in range(0, len(cid), STEP):
         live = np.flatnonzero(qn * norm[a] + slack >= floor)
@@ -94,33 +101,66 @@ def search(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, r: np
                 top = np.lexsort((ids, -score))[:k]
                 best[i] = sorted(best[i] + [(-int(s), int(x)) for s, x in zip(score[top], ids[top], strict=True)])[:k]
                 if len(best[i]) == k:
-                    floor[i] = -best[i][-1][0]
+                    floor[i] = max(floor[i], -best[i][-1][0])
     return [(int(qid[i]), x, -s) for i, found in enumerate(best) for s, x in found]
 
 
+def _one_of(cases: dict[int, int | float], key: str) -> F.Column:
+    """The value of the column ``key`` in a small table."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in cases.items() for x in kv]), F.col(key))
+
+
 def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) from (id, v) of queries and candidates."""
     spark = candidates.sparkSession
-    candidates, queries = materialize(candidates, "candidates"), materialize(queries.dropDuplicates(), "queries")
-    n, dim = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
-    nq, qdim = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    norm = F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + cast(x AS double) * x))").alias("norm")
+    candidates, queries = materialize(candidates.select("id", "v", norm), "candidates"), materialize(queries.dropDuplicates().select("id", "v", norm), "queries")
+    n, dim, most = candidates.agg(F.count("*"), F.max(F.size("v")), F.max("norm")).first()
+    nq, qdim, qmost = queries.agg(F.count("*"), F.max(F.size("v")), F.max("norm")).first()
+    if (most or 0) * (qmost or 0) >= 2**53:
+        raise ValueError("inner products of these vectors pass 2^53")
     dim = max(dim or 1, qdim or 1)
     turn = rotation(candidates, dim)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, -(-n // (32 * SHARD)), min(parts, -(-n // SHARD)))
-    asked = max(1, -(-nq // QUERY_BLOCK))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = candidates.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), every(asked).alias("block"))
-    right = queries.select("id", "v", every(shards).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int").alias("block"))
+    rows = max(1, min(SHARD_CELLS // dim, max(SHARD, n // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    ranges = max(1, min(RANGES, -(-n // rows)))
+    bounds = sorted(set(candidates.approxQuantile("norm", [1 - i / ranges for i in range(1, ranges)], 0.1 / ranges)), reverse=True) if ranges > 1 else []
+    by_length = F.expr(f"{' + '.join(f'int(norm < {x!r}D)' for x in bounds) or '0'}").alias("range")
+    dealt = candidates.select("id", "v", "norm", by_length)
+    of = {r["range"]: (r["n"], r["most"]) for r in dealt.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("most")).collect()}  # RANGES rows at most
+    if not of or not nq:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shards = {r: -(-m // rows) for r, (m, _) in of.items()}
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("id", "v"), _one_of(shards, "range")).cast("int"))
+    asked = max(1, -(-nq // max(1, QUERY_CELLS // dim)))
+    blocked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int"))
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
-        rows = search(_matrix(q["v"], dim), q["id"].to_numpy(), _matrix(c["v"], dim), c["id"].to_numpy(), turn, k) if c.num_rows and q.num_rows else []
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        found = search(_matrix(q["v"], dim), q["id"].to_numpy(), _matrix(c["v"], dim), c["id"].to_numpy(), turn, k, q["floor"].to_numpy()) if c.num_rows and q.num_rows else []
+        cols = list(zip(*found, strict=True)) or [[]] * 3
         return pa.table([pa.array(x, pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(run, "query_id long, vec_id long, score long")
+    def searched(chosen: list[int], floors: DataFrame) -> DataFrame:
+        """The best of each query in some ranges; ``floors``: (id, v, norm, block, floor)."""
+        reach = [F.struct(F.lit(r).alias("range"), F.lit(float(of[r][1])).alias("most"), F.lit(shards[r]).alias("shards")) for r in chosen]
+        asks = floors.withColumn("x", F.explode(F.array(*reach))).where(F.col("norm") * F.col("x.most") + F.lit(1e-6) * (1 + F.col("norm")) * (1 + F.col("x.most")) >= F.col("floor"))
+        asks = asks.select("id", "v", "floor", "block", F.col("x.range").alias("range"), F.explode(F.sequence(F.lit(0), F.col("x.shards") - 1)).alias("shard"))
+        left = dealt.where(F.col("range").isin(chosen)).select("id", "v", "range", "shard", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("block"))
+        key = ["block", "range", "shard"]
+        found = left.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score long")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    longest = min(of)
+    best = materialize(searched([longest], blocked.withColumn("floor", F.lit(float("-inf")))), "longest")
+    rest = [r for r in sorted(of) if r != longest]
+    if not rest:
+        discard(candidates, queries)
+        return best
+    kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+    floors = blocked.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    both = best.drop("rank").unionByName(searched(rest, floors).drop("rank"))
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
