@@ -6,14 +6,20 @@ corpus.  Equal strings choose the same anchor: the rightmost smallest hash among
 anchor each, about one run for 35 bytes, and only runs with the same anchor can hold equal
 strings.  Runs meet by anchor hash, packed as arrays; those that occur once in the corpus
 end there.  Of runs that are equal as a whole, all but the first are removed (a task does
-so for its own runs before anything is shuffled, so frequent passages stay even).  Where one
-anchor has different runs around it, their bytes are fetched and go into a run-length
-index: the run-compressed Burrows-Wheeler transform of these runs, and from their full suffix
-array the smallest start of each interval of suffixes that agree in ``length`` bytes.  All runs are streamed through it backwards by LF steps on runs; a string
-is removed where the interval met has a smaller start.
+so for its own runs before anything is shuffled, so frequent passages stay even).
+
+Where one anchor has different runs around it, their bytes are fetched and go into a run-length
+index: the run-compressed Burrows-Wheeler transform with the text positions sampled at the ends
+of its runs.  From these samples alone the matching statistics are streamed over the text: for
+each position, the lexicographic predecessor and how many bytes it has in common with it.
+Matches of at least ``length`` bytes chain equal strings together, and a string is removed if
+its chain has an earlier start.  An anchor with more bytes around it than ``INDEX`` isn't one
+task's work: its strings meet one by one, by a 128-bit hash of their bytes.
 
 Texts are UTF-8 bytes; null is empty.  Rows with the same doc_id and text are one document
-and get the same spans; a null doc_id comes after all others.
+and get the same spans; a null doc_id comes after all others, those by a hash of their text.
+Empty texts keep nothing, an empty table gives an empty result, other columns are ignored
+(``remove_repeats``) or kept (``without_repeats``).
 """
 
 from __future__ import annotations
@@ -38,8 +44,10 @@ _LOW = _U((1 << _POS) - 1)
 SLICE = 1 << 22
 #: Bytes of text whose runs a task collapses and sends together.
 FLUSH = 24 << 20
-#: Bytes of runs in one index, unless a single anchor has more.
+#: Bytes of runs in one index.
 INDEX = 1 << 20
+#: Bytes of text whose runs meet in one bucket, about.
+BUCKET = 24 << 20
 _ENTRY = np.dtype([("kh", "<u8"), ("ch", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("s0", "<i4"), ("off", "u1"), ("n", "u1")])
 _LAST = (1 << 63) - 1
 
@@ -165,50 +173,58 @@ def _meet(entries: DataFrame) -> DataFrame:
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of a list of byte strings, each ended by a mark of its own.
 
-    starts, heads, base: of each run its first row, its symbol, and where LF takes its first row.
-    ends: the text position sampled at the last row of each run; ``repeated`` doesn't need it.
+    starts, heads: of each run its first row and its symbol.  ends: the text position of the
+    suffix at the last row of each run.  The suffix array exists only while the index is built.
     """
 
-    def __init__(self, texts: list[bytes], depth: int):
+    def __init__(self, texts: list[bytes]):
         m = len(texts)
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths + 1)])
-        n = int(self.offsets[-1])
+        self.n = n = int(self.offsets[-1])
         symbol = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + m
         symbol[self.offsets[1:] - 1] = np.arange(m)
-        self.symbol = symbol
-        rank, h, at_depth = symbol, 1, None
-        power = {1: rank}
+        rank, h = symbol, 1
+        power = [(1, rank.astype(np.int32))]
         if m + 256 < 1 << 15:  # four symbols fit in a word
             wide = np.concatenate([symbol, np.zeros(4, np.int64)])
             rank, h = self._ranks((wide[:n] << 45) | (wide[1 : n + 1] << 30) | (wide[2 : n + 2] << 15) | wide[3 : n + 3]), 4
-            power = {4: rank}
+            power.append((4, rank.astype(np.int32)))
         longest = int(self.lengths.max(initial=0)) + 1
-        while h < max(longest, depth):
+        while h < longest:
             after = np.zeros(n, np.int64)
             after[: max(n - h, 0)] = rank[h:] + 1
             rank, h = self._ranks(rank * (n + 1) + after), 2 * h
-            power[h] = rank
-        self.sa = np.empty(n, np.int64)
-        self.sa[rank] = np.arange(n)
-        # suffixes that agree in their first `depth` symbols
-        h = max(p for p in power if p <= depth)
-        a = power[h]
-        b = np.full(n, -1, np.int64)
-        b[: max(n - (depth - h), 0)] = a[depth - h :]
-        x, y = a[self.sa], b[self.sa]
-        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        self.interval = np.cumsum(new) - 1
-        self.smallest = np.minimum.reduceat(self.sa, np.flatnonzero(new))
-        bwt = symbol[self.sa - 1]  # before the first text comes the last mark
-        change = np.concatenate([[True], bwt[1:] != bwt[:-1]])
-        self.starts = np.flatnonzero(change)
+            power.append((h, rank.astype(np.int32)))
+        sa = np.empty(n, np.int64)
+        sa[rank] = np.arange(n)
+        bwt = symbol[sa - 1]  # before the first text comes the last mark
+        self.starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         self.heads = bwt[self.starts]
-        count = np.diff(np.concatenate([self.starts, [n]]))
-        self.ends = self.sa[self.starts + count - 1]
+        self.ends = sa[np.concatenate([self.starts[1:], [n]]) - 1]
+        self._sample(sa[self.starts], power)
+
+    def _sample(self, first: np.ndarray, power: list[tuple[int, np.ndarray]]) -> None:
+        """Where predecessors jump: ``at``, the position before a run's first suffix, its predecessor and their common length.
+
+        LF takes the first row of a run next to the last row of the run with the same or the next
+        smaller symbol before it.  Between two jumps, predecessors step with their positions.
+        """
         order = np.argsort(self.heads, kind="stable")
-        self.base = np.empty(len(order), np.int64)
-        self.base[order] = np.concatenate([[0], np.cumsum(count[order])[:-1]])
+        at, before = (first[order] - 1) % self.n, np.concatenate([[-1], (self.ends[order][:-1] - 1) % self.n])
+        a, b, common = at.copy(), before.copy(), np.zeros(len(at), np.int64)
+        live = b >= 0
+        for h, rank in reversed(power):  # as many symbols as agree
+            ok = np.flatnonzero(live & (np.maximum(a, b) < self.n))
+            same = ok[rank[a[ok]] == rank[b[ok]]]
+            a[same], b[same], common[same] = a[same] + h, b[same] + h, common[same] + h
+            if h == 4:  # up to three more
+                for _ in range(2):
+                    ok = np.flatnonzero(live & (np.maximum(a, b) < self.n))
+                    same = ok[power[0][1][a[ok]] == power[0][1][b[ok]]]
+                    a[same], b[same], common[same] = a[same] + 1, b[same] + 1, common[same] + 1
+        by = np.argsort(at)
+        self.at, self.before, self.common = at[by], before[by], common[by]
 
     @staticmethod
     def _ranks(key: np.ndarray) -> np.ndarray:
@@ -218,31 +234,30 @@ class RunLengthIndex:
         rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
         return rank
 
-    def lf(self, row: np.ndarray) -> np.ndarray:
-        run = np.searchsorted(self.starts, row, side="right") - 1
-        return self.base[run] + row - self.starts[run]
+    def statistics(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the positions [a, b): predecessors (-1: none), and common lengths."""
+        i = np.arange(a, b)
+        k = np.searchsorted(self.at, i)
+        step = self.at[k] - i
+        return np.where(self.before[k] < 0, -1, self.before[k] - step), np.where(self.before[k] < 0, 0, self.common[k] + step)
 
     def repeated(self, depth: int) -> list[np.ndarray]:
-        """For each text the starts of strings of ``depth`` bytes that also start earlier, streamed backwards in parallel."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        order = np.argsort(-self.lengths, kind="stable")
-        lengths = self.lengths[order]
-        row = np.arange(len(order))[order]  # the row of text i's mark is i
-        for step in range(1, int(lengths.max(initial=0)) + 1):
-            live = int(np.searchsorted(-lengths, -step, side="right"))
-            row = self.lf(row[:live])
-            start = lengths[:live] - step
-            if step >= depth:
-                hit = np.flatnonzero(self.smallest[self.interval[row]] < self.offsets[order[:live]] + start)
-                found.append((order[hit], start[hit]))
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(order)
-        if found:
-            text, start = (np.concatenate(x) for x in zip(*found, strict=True))
-            by = np.lexsort((start, text))
-            text, start = text[by], start[by]
-            cuts = np.searchsorted(text, np.arange(len(order) + 1))
-            out = [start[cuts[i] : cuts[i + 1]] for i in range(len(order))]
-        return out
+        """For each text the starts of strings of ``depth`` bytes that also start earlier."""
+        link = np.arange(self.n)
+        for a in range(0, self.n, 1 << 16):
+            before, common = self.statistics(a, min(a + (1 << 16), self.n))
+            long = common >= depth
+            link[a : a + len(long)][long] = before[long]
+        while True:  # to the head of each chain
+            further = link[link]
+            if (further == link).all():
+                break
+            link = further
+        least = np.arange(self.n)
+        np.minimum.at(least, link, np.arange(self.n))
+        hit = np.flatnonzero(least[link] < np.arange(self.n))
+        cuts = np.searchsorted(hit, self.offsets)
+        return [hit[x:y] - o for x, y, o in zip(cuts[:-1], cuts[1:], self.offsets[:-1], strict=True)]
 
 
 def _compare(runs: DataFrame, length: int) -> DataFrame:
@@ -251,7 +266,7 @@ def _compare(runs: DataFrame, length: int) -> DataFrame:
     def index(rows: list[tuple]) -> pa.RecordBatch:
         out = []
         texts = [r[4] for r in rows]
-        for (_, doc, th, s0, _), hit in zip(rows, RunLengthIndex(texts, length).repeated(length), strict=True):
+        for (_, doc, th, s0, _), hit in zip(rows, RunLengthIndex(texts).repeated(length), strict=True):
             if len(hit):
                 cut = np.flatnonzero(np.diff(hit) > 1)
                 for a, b in zip(hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])], strict=True):
@@ -283,23 +298,41 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(data).alias("th"), data.alias("bytes"))
 
 
+def _one_by_one(runs: DataFrame, length: int) -> DataFrame:
+    """As ``_compare``, for anchors with very many runs: strings meet by a hash of their bytes, so no key holds more than the copies of one string."""
+    each = runs.select("doc", "th", "s0", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("i"))
+    each = each.select(F.md5(F.expr(f"substring(bytes, i + 1, {length})")).alias("key"), F.struct("doc", "th", (F.col("s0") + F.col("i")).alias("s0")).alias("place"))
+    first = each.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    again = each.join(first, "key").where("place > first")
+    return again.select("place.doc", "place.th", "place.s0", F.col("place.s0").alias("s1"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, th, spans): of each document with repeats, [start, end) of byte runs to remove, maybe overlapping."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     met = materialize(_meet(_entries(keyed, buckets, length)), "runs")
-    asked = met.where("not removed").groupBy("doc", "th").agg(F.collect_set(F.struct("s0", "s1", "kh")).alias("asked"))
+    differ = met.where("not removed")
+    crowded = differ.groupBy("kh").agg(F.sum(F.col("s1") - F.col("s0") + length).alias("size")).where(F.col("size") > INDEX).select("kh", F.lit(True).alias("crowded"))
+    differ = differ.join(crowded, "kh", "left").withColumn("crowded", F.col("crowded").isNotNull())
+    asked = differ.groupBy("doc", "th").agg(F.collect_set(F.struct("s0", "s1", "kh", "crowded")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(x["kh"], doc, th, x["s0"], t[x["s0"] : x["s1"] + length]) for doc, th, t, xs in zip(column(b, "doc"), column(b, "th"), column(b, "bytes"), column(b, "asked"), strict=True) for x in xs]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["kh", "doc", "th", "s0", "bytes"])
-
-    fetched = keyed.join(asked, ["doc", "th"]).select("doc", "th", "bytes", "asked").mapInArrow(fetch, "kh long, doc long, th long, s0 long, bytes binary")
-    compared = _compare(fetched, length)
-    every = met.where("removed").select("doc", "th", "s0", "s1").unionByName(compared)
+            out = [(x["kh"], doc, th, x["s0"], t[x["s0"] : x["s1"] + length], x["crowded"]) for doc, th, t, xs in zip(column(b, "doc"), column(b, "th"), column(b, "bytes"), column(b, "asked"), strict=True) for x in xs]
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.bool_())], names=["kh", "doc", "th", "s0", "bytes", "crowded"])
+
+    fetched = keyed.join(asked, ["doc", "th"]).select("doc", "th", "bytes", "asked").mapInArrow(fetch, "kh long, doc long, th long, s0 long, bytes binary, crowded boolean")
+    found = [met.where("removed").select("doc", "th", "s0", "s1")]
+    if crowded.isEmpty():
+        found.append(_compare(fetched.drop("crowded"), length))
+    else:
+        fetched = materialize(fetched, "fetched")
+        found += [_compare(fetched.where("not crowded"), length), _one_by_one(fetched.where("crowded"), length)]
+    every = found[0].unionByName(found[1]) if len(found) == 2 else found[0].unionByName(found[1]).unionByName(found[2])
     return every.groupBy("doc", "th").agg(F.collect_list(F.struct("s0", (F.col("s1") + length).alias("s1"))).alias("spans"))
 
 
@@ -354,19 +387,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeats cut from text, as whole code points, and n_chars (if there) counted anew."""
     found = repeated_spans(docs, length)
-    data = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    rows = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__th": F.xxhash64(data)})
-    rows = rows.join(found.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__doc", "__th"], "left")
+    names = [f"__{i}" for i in range(len(docs.columns))]  # names of ours can't clash
     at = docs.columns.index("text")
+    data = F.coalesce(F.col(names[at]).cast("binary"), F.lit(b"").cast("binary"))
+    rows = docs.toDF(*names).withColumns({"__doc": F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(_LAST)), "__th": F.xxhash64(data)})
+    rows = rows.join(found.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__doc", "__th"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [t if t is None or not s else cut_text(t.encode("utf-8", "surrogatepass"), merged(s)) for t, s in zip(column(b, "text"), column(b, "__spans"), strict=True)]
+            out = [t if t is None or not s else cut_text(t.encode("utf-8", "surrogatepass"), merged(s)) for t, s in zip(column(b, names[at]), column(b, "__spans"), strict=True)]
             cols = list(b.columns[:-1])
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    cut_rows = rows.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+    kept = rows.select(*names, "__spans")
+    cut_rows = kept.mapInArrow(run, kept.drop("__spans").schema).toDF(*docs.columns)
     return cut_rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_rows
 
 

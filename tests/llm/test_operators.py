@@ -156,8 +156,9 @@ def brute_repeats(docs, length):
 
 
 def test_repeats_equal_brute_force(spark, monkeypatch):
-    for cut in (suffix.SLICE, 500):  # long texts are read in slices
+    for cut, index in ((suffix.SLICE, suffix.INDEX), (500, 300)):  # long texts are read in slices; crowded anchors string by string
         monkeypatch.setattr(suffix, "SLICE", cut)
+        monkeypatch.setattr(suffix, "INDEX", index)
         docs = corpus(spark, 50, 3)
         rows = sorted({(r["doc_id"], r["text"]) for r in docs.collect()}, key=lambda x: x[0])
         gone = brute_repeats(rows, 100)
@@ -206,9 +207,20 @@ def test_run_length_index_finds_earlier_strings():
                     hit.append(s)
                 seen.add(t[s : s + depth])
             want.append(hit)
-        index = suffix.RunLengthIndex(texts, depth)
+        index = suffix.RunLengthIndex(texts)
         assert [h.tolist() for h in index.repeated(depth)] == want
-        assert len(index.starts) == len(index.ends) <= sum(map(len, texts)) + len(texts)
+        assert len(index.starts) == len(index.ends) == len(index.at) <= index.n
+        data, place = [], []
+        for i, t in enumerate(texts):
+            data += [*((1, c) for c in t), (0, i)]
+        order = sorted(range(len(data)), key=lambda i: data[i:])
+        before, common = index.statistics(0, len(data))
+        for a, b in zip(order, order[1:], strict=False):
+            n = 0
+            while max(a, b) + n < len(data) and data[a + n] == data[b + n]:
+                n += 1
+            place.append((before[b], common[b]) == (a, n))
+        assert all(place) and before[order[0]] == -1
 
 
 # -- fingerprints -----------------------------------------------------------------------------
@@ -380,6 +392,7 @@ def test_sketch_estimates_likeness():
 def test_top_inner_products(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 50)
     monkeypatch.setattr(topk, "STEP", 16)
+    monkeypatch.setattr(topk, "QUERY_CELLS", 40)
     r = random.Random(4)
     rows = [(i, [r.gauss(0, 1 + i % 3) for _ in range(20)]) for i in range(300)] + [(300, [0.0] * 20), (301, None), (302, [float("nan")] * 20), (303, [None, 1.0]), (None, [1.0] * 20), (500, [1.0] * 20), (501, [1.0] * 20), (502, [1.0] * 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -392,6 +405,8 @@ def test_top_inner_products(spark, monkeypatch):
         best = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in ints if c != q)[:10]
         want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
     assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == sorted(want)
+    with pytest.raises(ValueError):
+        topk.top_inner_products(v, v.withColumn("v", F.expr("transform(v, x -> 1L << 40)")), 10)
     none = topk.integers(df.limit(0), "vec_id", "embedding")
     assert topk.top_inner_products(none, none, 10).count() == 0
 
