@@ -163,38 +163,53 @@ def fit(docs: DataFrame) -> KernelClassifier | None:
     return model
 
 
+def _predict(texts: list[str | None], m: KernelClassifier | None, spectrum: Spectrum | None) -> tuple[list[str], list[float]]:
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    parts = [(i, s) for i, t in enumerate(texts) for s in segments(t)] if m else []
+    total = np.zeros((len(texts), len(m.classes) if m else 1))
+    size = np.zeros(len(texts))
+    for a in range(0, len(parts), PIECE):
+        at = np.array([i for i, _ in parts[a : a + PIECE]])
+        n = np.array([len(s) for _, s in parts[a : a + PIECE]], float)
+        np.add.at(total, at, (spectrum.kernel([s for _, s in parts[a : a + PIECE]]) @ m.weights) * n[:, None])
+        np.add.at(size, at, n)
+    for i in np.flatnonzero(size):
+        e = np.exp(SHARPNESS * (total[i] - total[i].max()) / size[i])
+        lang[i], score[i] = m.classes[int(e.argmax())], float(e.max() / e.sum())
+    return lang, score
+
+
 def identify(docs: DataFrame, model: KernelClassifier | None) -> DataFrame:
     """``docs`` with lang_pred and score."""
+    from pyspark.sql import types as T
+
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(*[c for c in docs.columns if c in ("lang_pred", "score")])
 
-    def predict(texts: list[str | None], m: KernelClassifier | None, spectrum: Spectrum | None) -> tuple[list[str], list[float]]:
-        lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        parts = [(i, s) for i, t in enumerate(texts) for s in segments(t)] if m else []
-        total = np.zeros((len(texts), len(m.classes) if m else 1))
-        size = np.zeros(len(texts))
-        for a in range(0, len(parts), PIECE):
-            at = np.array([i for i, _ in parts[a : a + PIECE]])
-            n = np.array([len(s) for _, s in parts[a : a + PIECE]], float)
-            np.add.at(total, at, (spectrum.kernel([s for _, s in parts[a : a + PIECE]]) @ m.weights) * n[:, None])
-            np.add.at(size, at, n)
-        for i in np.flatnonzero(size):
-            e = np.exp(SHARPNESS * (total[i] - total[i].max()) / size[i])
-            lang[i], score[i] = m.classes[int(e.argmax())], float(e.max() / e.sum())
-        return lang, score
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         spectrum = Spectrum(m.landmarks) if m else None
         for b in batches:
-            lang, score = predict(column(b, "text"), m, spectrum)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
-
-    from pyspark.sql import types as T
+            lang, score = _predict(column(b, "text"), m, spectrum)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def reject_unclear(docs: DataFrame, model: KernelClassifier | None, least: float) -> DataFrame:
+    """Rows of ``docs`` whose language is predicted with a score of at least ``least``, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        spectrum = Spectrum(m.landmarks) if m else None
+        for b in batches:
+            lang, score = _predict(column(b, "text"), m, spectrum)
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), fit(docs))

@@ -15,7 +15,9 @@ cosine and by how many labelled rows an example stands for, so scores are calibr
 example nearest to the text is the evidence.
 
 Null and empty texts are scored as texts without terms.  Without any label the score is 0.
-Rows that repeat a doc_id are scored one by one; of several labels of an id the larger counts.
+Rows that repeat a doc_id are scored one by one; of several labels of an id the larger counts,
+and equal texts are one example, toxic if one of their rows is.  An empty table gives an empty
+result.  ``fit`` and ``score_rows`` ignore other columns, ``reject_toxic`` keeps them.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialize, table
+from .common import column, discard, materialize, table
 
 PER_CLASS, BLOCK, NEIGHBOURS, POWER, PRIOR = 3000, 64, 25, 4, 1.0
 LEAST_DF, LEAST_RATIO, LEAST_G = 5, 4.0, 15.0
@@ -51,6 +53,16 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def heads_of(terms: dict[str, int]) -> set[str]:
+    """How the terms begin: most words begin like none of them."""
+    return {t.rstrip("-")[: HEADS[0]] for t in terms}
+
+
+def counts_of(text: str | None, terms: dict[str, int], heads: set[str]) -> Counter:
+    """How often a text holds each term."""
+    return Counter(terms[t] for w in words(text) if w[: HEADS[0]] in heads for t in terms_of(w) if t in terms)
+
+
 @dataclass
 class Index:
     """Block-max inverted index of distinct example vectors (unit length)."""
@@ -146,7 +158,9 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]]:
     ids = materialize(known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) < limit), "sample")
     # about PER_CLASS ids of either label: a bounded broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
-    return materialize(rows.dropDuplicates(["text"]), "examples"), counts
+    out = materialize(rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "text"), "examples")
+    discard(ids)
+    return out, counts
 
 
 def _statistics(sample: DataFrame) -> DataFrame:
@@ -193,12 +207,11 @@ def _counted(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        heads = {t.rstrip("-")[: HEADS[0]] for t in known}  # most words begin like none of the terms
+        heads = heads_of(known)
         for b in batches:
             out = []
             for text in column(b, "text"):
-                n = Counter(known[t] for w in words(text) if w[: HEADS[0]] in heads for t in terms_of(w) if t in known)
-                out.append([t << 32 | c for t, c in sorted(n.items())])
+                out.append([t << 32 | c for t, c in sorted(counts_of(text, known, heads).items())])
             cols = list(b.columns)
             cols[at] = pa.array(out, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:at], "terms", *b.schema.names[at + 1 :]])
@@ -222,6 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame]:
     idf = [math.log(1 + total / max(df.get(i, 0), 1)) for i in range(len(terms))] + [math.log(2)]
     n = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     entries = examples.groupBy("terms").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("all"), F.min("doc_id").alias("example")).collect()  # the sample at most
+    discard(sample, examples)
     if not entries:
         return None, rows
     per = [counts[c] / max(n.get(c, 0), 1) for c in (0, 1)]
@@ -258,11 +272,9 @@ def reject_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        heads = heads_of(m.terms) if m else set()
         for b in batches:
-            keep = []
-            for text in column(b, "text"):
-                n = Counter(m.terms[t] for w in words(text) for t in terms_of(w) if t in m.terms) if m else {}
-                keep.append(m is None or m.score(dict(n))[0] < 0.5)
+            keep = [m is None or m.score(dict(counts_of(text, m.terms, heads)))[0] < 0.5 for text in column(b, "text")]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
