@@ -42,12 +42,27 @@ def event_rates(rows: DataFrame, by: list[str], label: str = "event_label") -> D
 
 
 def views(rows: DataFrame, exact: str, linked: str, group: str, path: str, query: str = "qid", channel: str = "channel") -> DataFrame:
-    """The inclusive view, and the primary one without trivial rows and later visual duplicates; ranks stay."""
+    """The inclusive view, and the primary one without trivial rows and later visual duplicates; ranks stay.
+
+    Both views come of one pass over ``rows``: a row is repeated for each view that it is in.
+    """
     base = rows.where(~F.coalesce("anchor_only", F.lit(False))) if "anchor_only" in rows.columns else rows
-    plain = base.where(~P.trivial(F.col(exact), F.col(linked))).withColumn("visual", P.visual_group(F.col(group), F.col(path)))
-    w = Window.partitionBy(channel, query, "visual").orderBy("rank", "cid")
-    primary = plain.withColumn("place", F.row_number().over(w)).where("place = 1").select(*base.columns)
-    return base.withColumn("view", F.lit("inclusive")).unionByName(primary.withColumn("view", F.lit("primary")))
+    marked = suppressed(base, exact, linked, group, path, query, channel)
+    both = F.when(F.col("__trivial") | F.col("is_later_duplicate"), F.array(F.lit("inclusive"))).otherwise(F.array(F.lit("inclusive"), F.lit("primary")))
+    return marked.select(*base.columns, F.explode(both).alias("view"))
+
+
+def suppressed(rows: DataFrame, exact: str, linked: str, group: str, path: str, query: str = "qid", channel: str = "channel") -> DataFrame:
+    """``rows`` with is_later_duplicate, true for rows whose visual group an earlier row of the query and channel shows."""
+    marked = rows.withColumn("__trivial", P.trivial(F.col(exact), F.col(linked))).withColumn("__visual", P.visual_group(F.col(group), F.col(path)))
+    w = Window.partitionBy(channel, query, "__trivial", "__visual").orderBy("rank", "cid")
+    return marked.withColumn("is_later_duplicate", ~F.col("__trivial") & (F.row_number().over(w) > 1)).drop("__visual")
+
+
+def subsets(rows: DataFrame, status: str = "review_status", needs_review: str = "needs_review") -> DataFrame:
+    """Every row as part of all reviewed rows, and those that aren't uncertain a second time."""
+    both = F.when(P.uncertain(F.col(status), F.col(needs_review)), F.array(F.lit("all_deep_reviewed"))).otherwise(F.array(F.lit("all_deep_reviewed"), F.lit("exclude_review")))
+    return rows.withColumn("subset", F.explode(both))
 
 
 def exclusions(rows: DataFrame, exact: str, linked: str, group: str, path: str, query: str = "qid", channel: str = "channel") -> DataFrame:
@@ -117,8 +132,8 @@ def first_rank(rows: DataFrame, positive: Column, query: str = "qid", channel: s
 
 def coverage_by_depth(first: DataFrame, depths: list[int], query: str = "qid", channel: str = "channel") -> DataFrame:
     """Queries with a positive up to each depth, by channel and over all channels."""
-    both = first.select(query, F.col(channel).alias("scope"), "first_rank").unionByName(first.select(query, F.lit("union").alias("scope"), "first_rank"))
-    at = both.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])))
+    scopes, at = F.explode(F.array(F.col(channel), F.lit("union"))), F.explode(F.array(*[F.lit(d) for d in depths]))
+    at = first.select(query, "first_rank", scopes.alias("scope")).select("*", at.alias("depth"))
     hit = F.count_distinct(F.when(F.col("first_rank") <= F.col("depth"), F.col(query)))
     return at.groupBy("scope", "depth").agg(F.count_distinct(query).alias("n_queries"), hit.alias("n_covered"), (hit.cast("double") / F.count_distinct(query)).alias("rate"))
 
@@ -165,10 +180,18 @@ def review_status(old: Column, new: Column, score: Column, flagged: Column) -> C
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFrame:
-    """Rows whose label differs between two states."""
+    """Rows whose label differs between two states."""
     return old.select(key, F.col(label).alias("old_label")).join(new.select(key, F.col(label).alias("new_label")), key).where(~F.col("old_label").eqNullSafe(F.col("new_label")))
 
 
+def high_audit(rows: DataFrame, changed: DataFrame, key: str, label: str, band: str, n: int, seed: int) -> DataFrame:
+    """The audited rows of HIGH confidence, ``n`` of each label in hash order, with the label they had before, if it changed."""
+    from evidrill.operators.sampling import per_group
+
+    drawn = per_group(rows.where(F.col(band) == "HIGH"), [label], key, n, seed)
+    return drawn.join(changed.select(key, "old_label"), key, "left").withColumn("was_changed", F.col("old_label").isNotNull())
+
+
 def progress(rows: DataFrame, status: str) -> DataFrame:
     """Rows labelled, under review, and open."""
     s = F.col(status)

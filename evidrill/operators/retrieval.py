@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -12,8 +14,6 @@ from pyspark.sql import functions as F
 from evidrill.functions import predicates as P
 from evidrill.operators.audit import count_if
 
-#: Corpus rows up to which the queries' side is compared by SQL alone.
-SMALL = 2_000
 #: Vectors in a block of either side.
 BLOCK = 4_096
 
@@ -24,38 +24,32 @@ def vector_contract(vectors: DataFrame, vec: str, tolerance: float = 1e-5) -> Da
     return v.agg(F.count("*").alias("n_vectors"), F.min("n").alias("min_norm"), F.avg("n").alias("mean_norm"), F.max("n").alias("max_norm"), count_if(F.col("bad") | F.col(vec).isNull()).alias("n_not_finite"), count_if(F.abs(F.col("n") - 1) > tolerance).alias("n_not_unit"))
 
 
-def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", cid: str = "cid", vec: str = "vec", method: str = "auto") -> DataFrame:
+def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", cid: str = "cid", vec: str = "vec", block: int = BLOCK) -> DataFrame:
     """(qid, cid, similarity, raw_rank), ties to the smaller cid.
 
-    sql: pairs by built-in functions; fit for small corpora.  block: both sides are cut in
-    blocks, a task multiplies one block by another and keeps its k best, so no side is
-    broadcast and a task holds two blocks, whatever the sizes.
+    Both sides are cut in blocks, a task multiplies one block by another and keeps its k best,
+    so no side is broadcast and a task holds two blocks, whatever the sizes.
     """
-    if method == "auto":
-        method = "sql" if corpus.limit(SMALL + 1).count() <= SMALL else "block"
     q, c = queries.select(F.col(qid).alias("qid"), F.col(vec).alias("qv")), corpus.select(F.col(cid).alias("cid"), F.col(vec).alias("cv"))
-    if method == "sql":
-        pairs = q.repartition("qid").crossJoin(F.broadcast(c)).select("qid", "cid", P.dot(F.col("qv"), F.col("cv")).alias("similarity"))  # c has at most SMALL rows
-    else:
-        nq, nc = (max(1, -(-d.count() // BLOCK)) for d in (q, c))
-        block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = q.select("qid", "qv", block("qid", nq).alias("qb"), every(nc).alias("cb"))
-        right = c.select("cid", "cv", every(nq).alias("qb"), block("cid", nc).alias("cb"))
-
-        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"qid": [], "cid": [], "similarity": []})
-            b = b.sort_values("cid")
-            x, y = (np.stack(s.to_numpy()).astype(np.float64) for s in (a["qv"], b["cv"]))
-            sim = np.zeros((len(a), len(b)))
-            for d in range(x.shape[1]):  # term by term, so sums are those of a fold
-                sim += x[:, d, None] * y[None, :, d]
-            at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), at.shape[1]), "cid": b["cid"].to_numpy()[at].ravel(), "similarity": np.take_along_axis(sim, at, 1).ravel()})
-
-        kinds = dict(q.dtypes) | dict(c.dtypes)
-        pairs = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, f"qid {kinds['qid']}, cid {kinds['cid']}, similarity double")
+    nq, nc = (max(1, -(-d.count() // block)) for d in (q, c))
+    of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("qid", "qv", of("qid", nq).alias("qb"), every(nc).alias("cb"))
+    right = c.select("cid", "cv", every(nq).alias("qb"), of("cid", nc).alias("cb"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qid": [], "cid": [], "similarity": []})
+        b = b.sort_values("cid")
+        x, y = (np.stack(s.to_numpy()).astype(np.float64) for s in (a["qv"], b["cv"]))
+        sim = np.zeros((len(a), len(b)))
+        for d in range(x.shape[1]):  # term by term, so sums are those of a fold
+            sim += x[:, d, None] * y[None, :, d]
+        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), at.shape[1]), "cid": b["cid"].to_numpy()[at].ravel(), "similarity": np.take_along_axis(sim, at, 1).ravel()})
+
+    kinds = dict(q.dtypes) | dict(c.dtypes)
+    pairs = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, f"qid {kinds['qid']}, cid {kinds['cid']}, similarity double")
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "cid")
     return pairs.withColumn("raw_rank", F.row_number().over(w)).where(F.col("raw_rank") <= k)
 
@@ -67,6 +61,45 @@ def pool_size(queries: DataFrame, corpus: DataFrame, text: str, k: int) -> DataF
     return most.crossJoin(corpus.agg(F.count("*").alias("size"))).select(F.least(F.lit(k) + F.col("most"), F.col("size")).cast("long").alias("pool"))
 
 
+def candidate_flags(rows: DataFrame, duplicates: list[tuple[str, str]]) -> DataFrame:
+    """Seven flags of (query, candidate) rows; ``duplicates``: pairs of paths that are known to hold the same bytes.
+
+    Columns: query_image_path, submitted_caption, caption_id, image_id; evidence_image_path, evidence_id, evidence_caption.
+    """
+    q, e = F.col("query_image_path"), F.col("evidence_image_path")
+    same_image, same_caption = F.col("evidence_id").eqNullSafe(F.col("image_id")), F.col("evidence_id").eqNullSafe(F.col("caption_id"))
+    other, group = F.lit(False), F.lit(None).cast("string")
+    for i, (a, b) in enumerate(duplicates, 1):
+        other = other | ((q == a) & (e == b)) | ((q == b) & (e == a))
+        group = F.when(e.isin(a, b), f"known_pair_{i}").otherwise(group)
+    return rows.withColumns({
+        "is_exact_path": e.eqNullSafe(q), "is_same_image_id": same_image, "is_caption_provenance": same_caption, "is_query_provenance": same_image | same_caption,
+        "is_exact_caption": F.col("evidence_caption").eqNullSafe(F.col("submitted_caption")), "is_known_duplicate": other, "known_duplicate_group": group,
+    })
+
+
+FLAGS = ["is_exact_path", "is_same_image_id", "is_caption_provenance", "is_query_provenance", "is_exact_caption", "is_known_duplicate", "known_duplicate_group"]
+
+
+def exclusion_mask(channel: Column) -> Column:
+    """What each channel's filtered ranking leaves out."""
+    image = F.col("is_exact_path") | F.col("is_same_image_id") | F.col("is_known_duplicate")
+    return F.when(channel == "image_to_image", image).when(channel == "text_to_text", F.col("is_exact_caption")).otherwise(False)
+
+
+def flag_contract(rows: DataFrame, duplicates: list[tuple[str, str]], queries: DataFrame, evidence: DataFrame, filtered: bool = False) -> DataFrame:
+    """Flags that differ when computed again, query and evidence columns that differ from their tables, rows of unknown ids, excluded rows in a filtered ranking."""
+    flags = [(~F.col(f"__{f}").eqNullSafe(F.col(f))).alias(f"flag:{f}") for f in FLAGS]
+    marked = candidate_flags(rows.select("*", *[F.col(f).alias(f"__{f}") for f in FLAGS]), duplicates)
+    side = lambda df, s: df.select(*[F.col(c).alias(f"__{s}_{c}") for c in df.columns], F.lit(True).alias(f"__in_{s}"))
+    marked = marked.join(side(queries, "q"), F.col("query_id") == F.col("__q_query_id"), "left").join(side(evidence, "e"), F.col("evidence_id") == F.col("__e_evidence_id"), "left")
+    wrong = lambda df, s: reduce(or_, [~F.col(c).eqNullSafe(F.col(f"__{s}_{c}")) for c in df.columns])
+    rules = [*flags, (F.col("__in_q").isNull() | wrong(queries, "q")).alias("query_columns"), (F.col("__in_e").isNull() | wrong(evidence, "e")).alias("evidence_columns")]
+    rules += [exclusion_mask(F.col("channel")).alias("excluded_kept")] if filtered else []
+    counted = marked.select(*rules)
+    return counted.agg(*[count_if(F.col(f"`{c}`")).alias(c) for c in counted.columns])
+
+
 def refill(ranked: DataFrame, excluded: Column, k: int, query: str = "qid") -> DataFrame:
     """Ranks after exclusion; places that are freed are taken by what comes next in the pool."""
     kept = ranked.where(~F.coalesce(excluded, F.lit(False)))

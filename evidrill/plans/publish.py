@@ -35,12 +35,49 @@ def publish(df: DataFrame, path: str, rules: dict | None = None, codec: str = "z
     except contracts.ContractError:
         fs.delete(source, True)
         raise
+    _put_in_place(spark, aside, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _put_in_place(spark: SparkSession, aside: str, path: str) -> None:
+    """The old one is moved away, not deleted, until the new one is in place; ``recovered`` finds it after a crash in between."""
+    fs, source = _fs(spark, aside)
     _, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
+    _, old = _fs(spark, f"{path}.old")
+    recovered(spark, path)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved away")
     if not fs.rename(source, target):
+        if fs.exists(old):
+            fs.rename(old, target)
         raise OSError(f"{aside} can't be put in place")
-    return spark.read.schema(df.schema).parquet(path)
+    fs.delete(old, True)
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Moves what a crash has left aside back to ``path``; whether anything is there."""
+    fs, target = _fs(spark, path)
+    _, old = _fs(spark, f"{path}.old")
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        elif not fs.rename(old, target):
+            raise OSError(f"{path}.old can't be moved back")
+    return fs.exists(target)
+
+
+def write_file(path: str, writer, validator) -> None:
+    """E5: a file of the driver: ``writer`` fills it aside, ``validator`` raises if it isn't right, then it takes its place."""
+    import os
+
+    aside = f"{path}.{uuid.uuid4().hex}"
+    try:
+        writer(aside)
+        validator(aside)
+        os.replace(aside, path)
+    finally:
+        if os.path.exists(aside):
+            os.unlink(aside)
 
 
 def freeze_or_verify(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
@@ -76,15 +113,23 @@ def write_json(spark: SparkSession, x, path: str) -> None:
     out = fs.create(source)
     out.write(text.encode())
     out.close()
-    _, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(source, target)
+    _put_in_place(spark, aside, path)
+
+
+def read_json(spark: SparkSession, path: str):
+    """What ``write_json`` has put at ``path``; None if nothing is there."""
+    if not recovered(spark, path):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """K8: one CSV with a header, for a report's few rows; read back by ``csv_strings``."""
+    """K8: one CSV with a header, for a report's few rows; its round trip by ``csv_strings`` is checked."""
+    from evidrill.sources.readers import csv_strings
+
     df.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
+    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    contracts.enforce(contracts.same_table(text, csv_strings(df.sparkSession, path)))
 
 
 def append_failures(df: DataFrame, path: str) -> None:
@@ -98,6 +143,24 @@ def frozen_hashes(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+class Frozen:
+    """``with Frozen(spark, path):`` raises if a file below the path is another one after a stage than before."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _now(self) -> list:
+        return sorted(map(tuple, frozen_hashes(self.spark, self.path).collect()))
+
+    def __enter__(self) -> Frozen:
+        self.before = self._now()
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None and self._now() != self.before:
+            raise contracts.ContractError(f"files below {self.path} have changed")
+
+
 def duplicate_files(hashes: DataFrame, path: str = "image_path") -> DataFrame:
     """Files that share their bytes: a group's first path and its size."""
     return hashes.groupBy("sha256").agg(F.count("*").alias("n_files"), F.min(path).alias("first_path")).where("n_files > 1")
@@ -115,12 +178,16 @@ def asset_summary(checked: DataFrame) -> DataFrame:
 def merge_chunks(chunks: DataFrame, expected: DataFrame, key: str = "metadata_id") -> DataFrame:
     """Rows of all chunks by ascending key, numbered from 0; a missing, unknown or repeated key is an error.
 
-    Rows are numbered by range partitions and their counts, so no window sees all of them.
+    Rows are numbered within ranges of the key with fixed bounds, from the counts of the ranges
+    before, so no window sees all of them and numbers don't depend on how tasks are dealt.
     """
     contracts.enforce(contracts.unique(chunks, [key]).unionByName(contracts.contained(expected, chunks, [key])).unionByName(contracts.contained(chunks, expected, [key])))
-    placed = chunks.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    counts = placed.groupBy("part").agg(F.min(key).alias("low"), F.count("*").alias("n"))
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "start")  # one row a partition
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted({int(x) for x in chunks.approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []  # n - 1 numbers
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    placed = chunks.withColumn("part", part)
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "start")  # one row a range
     w = Window.partitionBy("part").orderBy(key)
     return placed.join(F.broadcast(starts), "part").withColumn("embedding_row", F.col("start") + F.row_number().over(w) - 1).drop("part", "start")
 

@@ -4,6 +4,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from evidrill.operators.contracts import ContractError
 from evidrill.streaming import archive
 
 
@@ -34,7 +35,7 @@ def test_members_resume_at_every_boundary(form):
     names = ["a/1", "x" * 150 + "/2", "a/é"]
     data = tar(names, form, **({"pax_headers": {"comment": "c"}} if form == tarfile.PAX_FORMAT else {}))
     whole = list(archive.members(Bytes(data), 0, 99))
-    assert [m[0] for m in whole] == names and all(m[3] % 512 == 0 for m in whole)
+    assert [m[0] for m in whole] == names and [m[1] for m in whole] == [2 * (300 * i + 1) for i in range(3)] and all(m[3] % 512 == 0 for m in whole)
     at, pax, again = 0, {}, []
     for _ in names:
         (m,) = archive.members(Bytes(data), at, 1, pax)
@@ -120,12 +121,71 @@ def test_stream_chunks_resume_and_failures(spark, tmp_path):
     first = archive.status(spark, out, want).first()
     assert (first["n_done"], first["n_missing"]) == (1, 5)
     for _ in range(2):  # the second call has nothing left to do
-        archive.embed_archive(spark, str(tmp_path / "a.tar"), want, out, decode, encoder, members_per_batch=2, strip="root/")
+        with pytest.raises(archive.MissingTargets, match="without 1 targets"):
+            archive.embed_archive(spark, str(tmp_path / "a.tar"), want, out, decode, encoder, members_per_batch=2, strip="root/")
         s = archive.status(spark, out, want).first()
         assert (s["n_done"], s["n_failed"], s["n_missing"]) == (4, 1, 1)
     rows = spark.read.parquet(f"{out}/chunks").collect()
     assert sorted(r["metadata_id"] for r in rows) == [0, 1, 3, 4]
     assert all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-5 for r in rows)
+    assert archive.validated_chunks(spark, out).count() == 4
+    # a record that failed is read again by its range once it decodes
+    archive.embed_archive(spark, str(tmp_path / "a.tar"), want, out, lambda data: 1.0, encoder, members_per_batch=2, strip="root/", require_all=False)
+    s = archive.status(spark, out, want).first()
+    assert (s["n_done"], s["n_failed"]) == (5, 0) and archive.validated_chunks(spark, out).count() == 5
+    spark.read.parquet(f"{out}/chunks/chunk=0").unionByName(spark.read.parquet(f"{out}/chunks/chunk=1")).write.mode("append").parquet(f"{out}/chunks/chunk=0")
+    with pytest.raises(ContractError, match="not_as_marked"):
+        archive.validated_chunks(spark, out)
+
+
+def test_a_source_that_changes_between_sessions_stops_the_stream(spark, tmp_path):
+    names, out, path = [f"a/{i}.jpg" for i in range(6)], str(tmp_path / "out"), tmp_path / "a.tar"
+    path.write_bytes(tar(names))
+    run = lambda **how: archive.embed_archive(spark, str(path), targets(spark, 6), out, decode, encoder, members_per_batch=2, strip="root/", **how)
+    run(once=True)
+    path.write_bytes(tar(names, payload=lambda i: b"other"))
+    with pytest.raises(Exception, match="has changed"):
+        run()
+
+
+def test_lock_state_layout_and_repeats(spark, tmp_path):
+    out, path = str(tmp_path / "out"), tmp_path / "a.tar"
+    path.write_bytes(tar(["a/0.jpg", "a/1.jpg"]))
+    run = lambda o=out, **how: archive.embed_archive(spark, str(path), targets(spark, 2), o, decode, encoder, **({"strip": "root/"} | how))
+    with archive.writer_lock(spark, out), pytest.raises(RuntimeError, match="another writer"):
+        run()
+    run()
+    with pytest.raises(ContractError, match="another archive, encoder"):
+        run(contract=archive.EncoderContract("m", 2))
+    state = tmp_path / "out/state.json"
+    (tmp_path / "out/.state.json.crc").unlink(missing_ok=True)
+    state.write_text(state.read_text().replace('"streak": 0', '"streak": 1'))
+    with pytest.raises(ContractError, match="checksum"):
+        run()
+    with pytest.raises(Exception, match="layout"):
+        run(str(tmp_path / "other"), strip="", layout_limit=2)
+    path.write_bytes(tar(["a/0.jpg", "a/1.jpg", "./a/0.jpg"]))
+    with pytest.raises(Exception, match="comes twice"):
+        run(str(tmp_path / "twice"))
+    path.write_bytes(tar(["a/0.jpg", "a/1.jpg"]))
+    with pytest.raises(Exception, match="2 dimensions instead of 3"):
+        run(str(tmp_path / "dim"), contract=archive.EncoderContract("m", 3))
+
+
+def test_failures_in_a_row_stop_the_stream(spark, tmp_path):
+    (tmp_path / "a.tar").write_bytes(tar([f"a/{i}.jpg" for i in range(9)], payload=lambda i: b"broken" if 2 <= i < 7 else b"x"))
+    with pytest.raises(Exception, match="5 in a row"):  # over three batches
+        archive.embed_archive(spark, str(tmp_path / "a.tar"), targets(spark, 9), str(tmp_path / "out"), decode, encoder, members_per_batch=2, strip="root/")
+
+
+def test_oversize_members_are_failures(spark, tmp_path):
+    from unittest import mock
+
+    (tmp_path / "a.tar").write_bytes(tar(["a/0.jpg"], payload=lambda i: b"x" * 100))
+    rows = spark.createDataFrame([(0, "p", 100, 512, None)], "id long, image_path string, size long, data_offset long, identity string").na.fill("null")
+    with mock.patch.object(archive, "SIZE_LIMIT", 10):
+        got = archive.decode_and_encode(archive.fetched(rows, str(tmp_path / "a.tar"), limit=10), decode, encoder).first()
+    assert got["vec"] is None and "bytes" in got["error"]
 
 
 def test_many_failures_stop_the_stream(spark, tmp_path):
