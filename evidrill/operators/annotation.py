@@ -161,6 +161,15 @@ def deep_queue(rows: DataFrame, score: str, key: str) -> DataFrame:
     return rows.orderBy(F.col(score).asc_nulls_first(), key)
 
 
+def numbered_in_order(rows: DataFrame, first: str, key: str, values: int) -> DataFrame:
+    """``rows`` with their place, from 0, by ``first`` (nulls first) and ``key``; ``first`` has few values (at most ``values``), so places come of counts by value and of ranks within."""
+    counts = rows.groupBy(first).agg(F.count("*").alias("__n"))
+    w = Window.orderBy(F.col(first).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # ``values`` rows
+    starts = counts.select(F.col(first).alias("__f"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start"))
+    placed = rows.join(F.broadcast(starts.limit(values)), F.col(first).eqNullSafe(F.col("__f")))
+    return placed.select(*rows.columns, (F.col("__start") + F.row_number().over(Window.partitionBy(first).orderBy(key)) - 1).cast("long").alias("place"))
+
+
 def next_batch(rows: DataFrame, pending: Column, query: str, place: str, n: int) -> DataFrame:
     """The first n queries, by first appearance, that still have pending rows."""
     return rows.where(pending).groupBy(query).agg(F.min(place).alias("first")).orderBy("first", query).limit(n)

@@ -25,20 +25,20 @@ def split_counts(rows: DataFrame, expected: dict[str, int], split: str = "split"
 
 
 def class_balance(rows: DataFrame, falsified: str = "falsified", split: str = "split") -> DataFrame:
-    """A2: classes of each split with their percentage, and whether the split is balanced."""
-    by = rows.groupBy(split, P.class_label(F.col(falsified)).alias("class")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(split)
-    of = lambda c: F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))).over(w), F.lit(0))
-    return by.select(
-        split, "class", "n", (F.col("n") * 100.0 / F.sum("n").over(w)).alias("pct"), ((of("pristine") == of("falsified")) & (of("pristine") > 0) & (of("INVALID_OR_MISSING") == 0)).alias("balanced")
-    )
+    """The three classes of each split, absent ones with 0, their percentage, and whether the split is balanced."""
+    label = P.class_label(F.col(falsified))
+    names = ("pristine", "falsified", "INVALID_OR_MISSING")
+    per = rows.groupBy(split).agg(*[count_if(label == c).alias(c) for c in names], F.count("*").alias("total"))
+    balanced = (F.col("pristine") == F.col("falsified")) & (F.col("pristine") > 0) & (F.col("INVALID_OR_MISSING") == 0)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).alias("n")) for c in names]))
+    return per.select(split, "total", balanced.alias("balanced"), cells.alias("x")).select(split, "x.class", "x.n", (F.col("x.n") * 100.0 / F.col("total")).alias("pct"), "balanced")
 
 
 def field_profile(rows: DataFrame, json: str, split: str = "split") -> DataFrame:
     """A3: of each key of JSON objects: value types, missing, null, distinct values by type and form."""
     objects = rows.select(split, F.monotonically_increasing_id().alias("row"), F.try_parse_json(json).alias("v")).where(F.col("v").isNotNull())
-    objects.createOrReplaceTempView("audit_objects")
-    cells = rows.sparkSession.sql(f"SELECT o.{split}, x.key AS field, schema_of_variant(x.value) AS type, to_json(x.value) AS form, is_variant_null(x.value) AS is_null FROM audit_objects o, LATERAL variant_explode(o.v) x")
+    each = objects.select(split, F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("field", "value"))
+    cells = each.select(split, "field", F.schema_of_variant("value").alias("type"), F.to_json("value").alias("form"), F.is_variant_null("value").alias("is_null"))
     n = objects.groupBy(split).agg(F.count("*").alias("n_objects"))
     per = cells.groupBy(split, "field").agg(F.count("*").alias("present"), count_if(F.col("is_null")).alias("n_null"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types_seen"), F.count_distinct(F.when(~F.col("is_null"), F.struct("type", "form"))).alias("n_distinct"))
     return per.join(F.broadcast(n), split).select(split, "field", "types_seen", (F.col("n_objects") - F.col("present")).alias("n_missing"), "n_null", (F.col("n_objects") - F.col("present") + F.col("n_null")).alias("missing_or_null"), "n_distinct")
@@ -75,13 +75,18 @@ def score_summary(rows: DataFrame, score: str, by: list[str]) -> DataFrame:
 
 
 def scoreboard(rows: DataFrame, checks: dict[str, Column], splits: list[str], split: str = "split") -> DataFrame:
-    """How often each check fails in each split, with one column a split."""
+    """How often each check fails in each split, with one column a split."""
     counted = rows.groupBy(split).agg(*[count_if(c).alias(name) for name, c in checks.items()])
     long = counted.select(split, F.explode(F.create_map(*[x for name in checks for x in (F.lit(name), F.col(name))])).alias("check", "n"))
     wide = long.groupBy("check").pivot(split, splits).agg(F.sum("n")).na.fill(0)
     return wide.withColumn("anomaly", sum((F.col(s) for s in splits[1:]), F.col(splits[0])) > 0)
 
 
+def suffixes(rows: DataFrame, path: str, split: str = "split") -> DataFrame:
+    """Rows of each lower-case suffix."""
+    return histogram(rows.where(P.has_text(F.col(path))), split=F.col(split), suffix=P.suffix_of(F.col(path)))
+
+
 def path_stats(rows: DataFrame, path: str, split: str = "split") -> DataFrame:
     """Missing, blank, distinct, repeated, malformed paths."""
     p = F.col(path)
@@ -122,7 +127,7 @@ def timestamp_profile(rows: DataFrame, text: str, split: str = "split") -> DataF
 
 
 def array_profile(rows: DataFrame, array: str, split: str = "split") -> DataFrame:
-    """Missing and empty arrays, entries, lengths of entries, the smallest example."""
+    """Missing and empty arrays, entries, lengths of entries, the smallest example."""
     a = F.col(array)
     return rows.groupBy(split).agg(
         count_if(a.isNull()).alias("n_missing"), count_if(F.size(a) == 0).alias("n_empty"), F.min(F.when(F.size(a) > 0, F.size(a))).alias("min_entries"), F.max(F.when(F.size(a) >= 0, F.size(a))).alias("max_entries"), F.max(F.array_max(F.transform(a, F.char_length))).alias("longest_entry"), F.min(F.array_min(a)).alias("least_entry")

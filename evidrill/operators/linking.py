@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrill.functions import predicates as P
@@ -15,12 +15,18 @@ def link(pairs: DataFrame, records: DataFrame, carried: list[str], caption: str
     ``records`` has one row an id.  captions_equal is null unless both records are there; two
     null captions are equal.
     """
-    side = lambda role: records.select(F.col("id").alias(f"{role}_key"), *[F.col(c).alias(f"{role}_{c}") for c in carried], F.lit(True).alias(f"{role}_found"))
+    side = lambda role: records.select(F.col("id").alias(f"{role}_key"), *[F.col(c).alias(f"{role}_{c}") for c in carried], F.lit(True).alias(f"{role}_found"), _print(F.col(caption)).alias(f"{role}_print"))
     both = pairs.join(side("caption"), F.col("id") == F.col("caption_key"), "left").join(side("image"), F.col("image_id") == F.col("image_key"), "left")
     both = both.withColumns({f"{r}_found": F.coalesce(f"{r}_found", F.lit(False)) for r in ("caption", "image")})
     found = F.col("caption_found") & F.col("image_found")
-    same = F.when(found, F.col(f"caption_{caption}").eqNullSafe(F.col(f"image_{caption}")))
-    return both.drop("caption_key", "image_key").withColumns({"same_record": F.coalesce(F.col("id") == F.col("image_id"), F.lit(False)), "both_found": found, "captions_equal": same})
+    same = F.when(found, F.col("caption_print").eqNullSafe(F.col("image_print")))
+    out = both.drop("caption_key", "image_key").withColumns({"same_record": F.coalesce(F.col("id") == F.col("image_id"), F.lit(False)), "both_found": found, "captions_equal": same})
+    return out.drop("caption_print", "image_print")
+
+
+def _print(text: Column) -> Column:
+    """128 bits that stand for a text, so that comparing texts doesn't carry them through a shuffle."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"), text.isNull().alias("null"))
 
 
 def coverage(linked: DataFrame, by: list[str]) -> DataFrame:
@@ -93,3 +99,30 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], columns: list[st
         same = x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False)) if kinds[c] in ("double", "float") else x.eqNullSafe(y)
         cells.append(F.struct(F.lit(c).alias("column"), x.cast("string").alias("left"), y.cast("string").alias("right"), (F.col("__a").isNotNull() & F.col("__b").isNotNull() & ~same).alias("differs")))
     return both.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], F.explode(F.array(*cells)).alias("x")).where("x.differs").select(*keys, "x.column", "x.left", "x.right")
+
+
+#: Passages whose anchors are sent to every task; more are joined by a shuffle.
+SENT = 100_000
+
+
+def contained_passages(texts: DataFrame, passages: DataFrame, text: str, passage: str) -> DataFrame:
+    """Rows of ``texts`` beside each of ``passages`` that they contain, each pair once.
+
+    A passage is known by the hash of its second to fourth word, which any text that contains it
+    has between blanks too; whole passages are compared where such hashes meet.  Passages of fewer
+    than five words are compared with every text; more than 10,000 of those are an error.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    known = passages.where(F.length(passage) > 0).withColumn("__w", words(F.col(passage)))
+    long = known.where(F.size("__w") >= 5).withColumn("__h", gram(F.col("__w"), F.lit(1))).drop("__w")
+    short = known.where(F.size("__w") < 5).drop("__w")
+    rows = texts.where(F.col(text).isNotNull())
+    cut = rows.withColumn("__w", words(F.col(text)))
+    grams = F.when(F.size("__w") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("__w") - 3), lambda i: gram(F.col("__w"), i)))).otherwise(F.array().cast("array<bigint>"))
+    cut = cut.select(*texts.columns, F.explode(grams).alias("__h"))
+    found = cut.join(F.broadcast(long) if long.limit(SENT + 1).count() <= SENT else long, "__h").where(F.contains(text, passage)).select(*texts.columns, *passages.columns)
+    few = short.limit(10_001).count()
+    if few > 10_000:
+        raise ValueError("too many passages of fewer than five words")
+    return found.unionByName(rows.join(F.broadcast(short), F.contains(text, passage)).select(*texts.columns, *passages.columns)) if few else found

@@ -84,7 +84,6 @@ def pair_scoreboard(rows: DataFrame, json: str, names: DataFrame, expected: dict
         F.sum(total(_kind(get(f)) == "VOID" for f in PAIR_KINDS)).alias("null_fields"),
         F.sum(total(_odd(f, k, False) for f, k in PAIR_KINDS.items())).alias("unexpected_types"),
         count_if(_other_keys(PAIR_KINDS)).alias("unexpected_or_absent_fields"),
-        F.lit(0).alias("empty_structures"),
         count_if(~(_kind(get("falsified")) == "BOOLEAN") | get("falsified").isNull()).alias("invalid_booleans"),
         count_if(score == "NaN").alias("nan_scores"),
         count_if(score.endswith("Infinity")).alias("infinite_scores"),
@@ -100,6 +99,7 @@ def pair_scoreboard(rows: DataFrame, json: str, names: DataFrame, expected: dict
         _beyond_first(r, [form], split, "duplicate_rows"),
         _beyond_first(r, [F.to_json(get("id")), F.to_json(get("image_id"))], split, "duplicate_combinations"),
         names.groupBy(split).agg(count_if(~(F.col("key").rlike("^[0-9]+$") & P.has_text(F.col("name")))).alias("n")).select(split, F.lit("invalid_lookup_entries").alias("check"), "n"),
+        sizes.join(names.groupBy(split).agg(F.count("*").alias("n_names")), split, "left").select(split, F.lit("empty_structures").alias("check"), (F.col("c").isNull().cast("long") + F.col("n_names").isNull().cast("long")).alias("n")),
         sizes.select(split, F.lit("size_differs").alias("check"), (F.coalesce("c", F.lit(0)) != F.col("expected")).cast("long").alias("n")),
     ]
     return _pivoted(reduce(DataFrame.unionByName, parts), list(expected), split)

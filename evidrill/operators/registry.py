@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidrill.functions import predicates as P
-from evidrill.operators import annotation, audit, contracts, linking, retrieval, sampling
+from evidrill.operators import annotation, audit, contracts, linking, quality, retrieval, sampling
 
 SPLITS = ["train", "val", "test"]
 NAMES = {"0": "alpha", "1": "beta", "2": "gamma", "3": "delta"}
@@ -43,6 +43,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        # Spark 4.1 may take a union's parts to be partitioned alike where they are not, and then groups one key twice
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -72,9 +74,9 @@ class Tables:
 
     @property
     def claims(self) -> DataFrame:
-        """Every 25th vector is a claim; it looks for itself or for its successor."""
+        """Every vector is a claim; it looks for itself or for its successor."""
         v = F.col("vec_id")
-        return self.vectors().where("vec_id % 25 = 0").select(v.alias("qid"), "vec", F.col("label").alias("q_label"), (v % 2 == 0).alias("falsified"), (F.col("label") % 4).alias("category"), (v + v % 2).alias("target"))
+        return self.vectors().select(v.alias("qid"), "vec", F.col("label").alias("q_label"), (v % 2 == 0).alias("falsified"), (F.col("label") % 4).alias("category"), (v + v % 2).alias("target"))
 
     def ranked(self, turn: bool = False, k: int = POOL) -> DataFrame:
         corpus = self.vectors(turn).select(F.col("vec_id").alias("cid"), "vec")
@@ -106,7 +108,7 @@ WITH pairs AS (
     CASE WHEN c.id IS NOT NULL AND i.id IS NOT NULL THEN c.caption IS NOT DISTINCT FROM i.caption END AS captions_equal
   FROM pairs p LEFT JOIN records c ON p.id = c.id LEFT JOIN records i ON p.image_id = i.id
 ), claims AS (
-  SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS q_label, vec_id % 2 = 0 AS falsified, label % 4 AS category, vec_id + vec_id % 2 AS target FROM embeddings WHERE vec_id % 25 = 0
+  SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS q_label, vec_id % 2 = 0 AS falsified, label % 4 AS category, vec_id + vec_id % 2 AS target FROM embeddings
 ), sims AS (
   SELECT 'a' AS channel, qid, vec_id AS cid, list_dot_product(qv, embedding::DOUBLE[]) AS similarity FROM claims, embeddings
   UNION ALL SELECT 'b', qid, vec_id, list_dot_product(qv, (embedding[2:] || embedding[1:1])::DOUBLE[]) FROM claims, embeddings
@@ -137,28 +139,34 @@ _CLASS = "CASE WHEN falsified IS NULL THEN 'INVALID_OR_MISSING' WHEN falsified T
 # -- audits ---------------------------------------------------------------------------------
 
 
-@query("audit_split_counts", "SELECT split, count(*) AS n_rows, CASE split WHEN 'train' THEN 334 ELSE 333 END::BIGINT AS expected, count(*) = CASE split WHEN 'train' THEN 334 ELSE 333 END AS as_expected FROM pairs GROUP BY split")
+_EXPECTED = {"train": 334, "val": 300, "test": 333, "extra": 5}
+
+
+@query("audit_split_counts", ", e AS (SELECT * FROM (VALUES ('train', 334), ('val', 300), ('test', 333), ('extra', 5)) v(split, expected)), n AS (SELECT split, count(*) AS n FROM pairs GROUP BY split) SELECT split, coalesce(n, 0) AS n_rows, expected::BIGINT AS expected, coalesce(n = expected, false) AS as_expected FROM e FULL JOIN n USING (split)")
 def _(t: Tables) -> DataFrame:
-    return audit.split_counts(t.pairs, {"train": 334, "val": 333, "test": 333})
+    return audit.split_counts(t.pairs, _EXPECTED)
 
 
 @query(
     "audit_class_balance",
-    f"""SELECT split, class, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY split), 6) AS pct,
-    (coalesce(sum(n) FILTER (WHERE class = 'pristine') OVER (PARTITION BY split), 0) = coalesce(sum(n) FILTER (WHERE class = 'falsified') OVER (PARTITION BY split), 0)) AND coalesce(sum(n) FILTER (WHERE class = 'pristine') OVER (PARTITION BY split), 0) > 0 AS balanced
-    FROM (SELECT split, {_CLASS} AS class, count(*) AS n FROM pairs GROUP BY ALL)""",
+    """, c AS (SELECT split, unnest(['pristine', 'falsified', 'INVALID_OR_MISSING']) AS class FROM (SELECT DISTINCT split FROM pairs)), p AS (SELECT split, CASE WHEN id % 5 = 0 AND split = 'val' THEN NULL ELSE falsified END AS falsified FROM pairs),
+    n AS (SELECT split, CASE WHEN falsified IS NULL THEN 'INVALID_OR_MISSING' WHEN falsified THEN 'falsified' ELSE 'pristine' END AS class, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT split, class, coalesce(n, 0) AS n FROM c LEFT JOIN n USING (split, class)),
+    b AS (SELECT split, sum(n) AS total, sum(n) FILTER (WHERE class = 'pristine') = sum(n) FILTER (WHERE class = 'falsified') AND sum(n) FILTER (WHERE class = 'pristine') > 0 AND sum(n) FILTER (WHERE class = 'INVALID_OR_MISSING') = 0 AS balanced FROM m GROUP BY split)
+    SELECT split, class, n, round(n * 100.0::DOUBLE / total, 6) AS pct, balanced FROM m JOIN b USING (split)""",
 )
 def _(t: Tables) -> DataFrame:
-    return audit.class_balance(t.pairs)
+    odd = F.when((F.col("id") % 5 == 0) & (F.col("split") == "val"), F.lit(None)).otherwise(F.col("falsified"))
+    return audit.class_balance(t.pairs.withColumn("falsified", odd))
 
 
 @query(
     "audit_field_profile",
     """, cells AS (SELECT event_type AS split, event_id, unnest(json_keys(props)) AS field, props FROM events), v AS (SELECT split, field, json_extract(props, '$."' || field || '"') AS value FROM cells), n AS (SELECT event_type AS split, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY ALL)
-    SELECT v.split, field, (any_value(n.n) - count(*))::BIGINT AS n_missing, count(*) FILTER (WHERE json_type(value) = 'NULL') AS n_null, (any_value(n.n) - count(*) + count(*) FILTER (WHERE json_type(value) = 'NULL'))::BIGINT AS missing_or_null, count(DISTINCT value::VARCHAR) FILTER (WHERE json_type(value) <> 'NULL') AS n_distinct FROM v JOIN n ON v.split = n.split GROUP BY ALL""",
+    SELECT v.split, field, (any_value(n.n) - count(*))::BIGINT AS n_missing, count(*) FILTER (WHERE json_type(value) = 'NULL') AS n_null, (any_value(n.n) - count(*) + count(*) FILTER (WHERE json_type(value) = 'NULL'))::BIGINT AS missing_or_null, count(DISTINCT value::VARCHAR) FILTER (WHERE json_type(value) <> 'NULL') AS n_distinct,
+      array_to_string(list_sort(list(DISTINCT CASE json_type(value) WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'NULL' THEN 'VOID' ELSE json_type(value) END)), ',') AS types_seen FROM v JOIN n ON v.split = n.split GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
-    return audit.field_profile(t.read("events").select(F.col("event_type").alias("split"), "props"), "props").drop("types_seen")
+    return audit.field_profile(t.read("events").select(F.col("event_type").alias("split"), "props"), "props")
 
 
 def _repeats_sql(table: str, columns: list[str]) -> str:
@@ -210,9 +218,17 @@ def _(t: Tables) -> DataFrame:
     return audit.missing_share(t.records, ["title", "topic", "image_path"])
 
 
-@query("meta_path_stats", "SELECT split, 0::BIGINT AS n_missing, 0::BIGINT AS n_blank, count(DISTINCT image_path) AS n_distinct, count(*) - count(DISTINCT image_path) AS repeated_rows, 0::BIGINT AS n_malformed FROM records GROUP BY split")
+_ODD_PATH = "CASE id % 9 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN '/' || image_path WHEN 3 THEN 'a/../b.jpg' WHEN 4 THEN 'a/b' WHEN 5 THEN 'a/B.JPG' ELSE image_path END"
+
+
+@query("meta_path_stats", f", p AS (SELECT split, id, {_ODD_PATH} AS p FROM records) SELECT split, count(*) - count(p) AS n_missing, count(*) FILTER (WHERE trim(p) = '') AS n_blank, count(DISTINCT p) AS n_distinct, count(p) - count(DISTINCT p) AS repeated_rows, count(*) FILTER (WHERE id % 9 IN (2, 3, 4)) AS n_malformed FROM p GROUP BY split")
 def _(t: Tables) -> DataFrame:
-    return audit.path_stats(t.records, "image_path")
+    return audit.path_stats(t.records.withColumn("image_path", F.expr(_ODD_PATH)), "image_path")
+
+
+@query("meta_path_suffixes", f", p AS (SELECT split, {_ODD_PATH} AS p FROM records) SELECT split, CASE WHEN p = 'a/b' THEN '' ELSE lower(regexp_extract(p, '[^/]([.][^./]+)$', 1)) END AS suffix, count(*) AS n FROM p WHERE p IS NOT NULL AND trim(p) <> '' GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return audit.suffixes(t.records.withColumn("image_path", F.expr(_ODD_PATH)), "image_path")
 
 
 @query("meta_path_prefixes", "SELECT split_part(image_path, '/', 1) || '/' || split_part(image_path, '/', 2) || '/' || split_part(image_path, '/', 3) || '/' || split_part(image_path, '/', 4) AS prefix, source, '.jpg' AS suffix, count(*) AS n FROM records GROUP BY ALL")
@@ -248,10 +264,10 @@ def _(t: Tables) -> DataFrame:
     return audit.timestamp_profile(t.read("events").select(F.col("event_type").alias("split"), x.alias("x")), "x")
 
 
-@query("meta_array_profile", ", w AS (SELECT split, CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 = 1 THEN [] ELSE string_split(caption, '. ') END AS a FROM records) SELECT split, count(*) FILTER (WHERE a IS NULL) AS n_missing, count(*) FILTER (WHERE len(a) = 0) AS n_empty, min(len(a)) FILTER (WHERE len(a) > 0)::INTEGER AS min_entries, max(len(a))::INTEGER AS max_entries, max(list_max(list_transform(a, lambda x: length(x))))::INTEGER AS longest_entry FROM w GROUP BY split")
+@query("meta_array_profile", ", w AS (SELECT split, CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 = 1 THEN [] ELSE string_split(caption, '. ') END AS a FROM records) SELECT split, count(*) FILTER (WHERE a IS NULL) AS n_missing, count(*) FILTER (WHERE len(a) = 0) AS n_empty, min(len(a)) FILTER (WHERE len(a) > 0)::INTEGER AS min_entries, max(len(a))::INTEGER AS max_entries, max(list_max(list_transform(a, lambda x: length(x))))::INTEGER AS longest_entry, min(list_min(a)) AS least_entry FROM w GROUP BY split")
 def _(t: Tables) -> DataFrame:
     a = F.when(F.col("id") % 10 == 1, F.array().cast("array<string>")).when(F.col("id") % 10 != 0, F.split("caption", r"\. "))
-    return audit.array_profile(t.records.withColumn("a", a), "a").drop("least_entry")
+    return audit.array_profile(t.records.withColumn("a", a), "a")
 
 
 @query("meta_oldest3", "SELECT event_type AS split, event_id, place FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)::INTEGER AS place FROM events) WHERE place <= 3")
@@ -363,11 +379,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("benchmark_matches", "SELECT b.item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    # the benchmark is a fixed list of passages; its size is checked before it is sent to every task
-    items = t.read("benchmark").select("item_id", F.col("text").alias("passage"))
-    if items.limit(10_001).count() > 10_000:
-        raise ValueError("too many passages to compare with every text")
-    return t.read("documents").join(F.broadcast(items), F.contains("text", "passage")).groupBy("item_id").agg(F.count("*").alias("n"))
+    return linking.contained_passages(t.read("documents").select("doc_id", "text"), t.read("benchmark").select("item_id", F.col("text").alias("passage")), "text", "passage").groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 # -- samples --------------------------------------------------------------------------------
@@ -404,9 +416,10 @@ def _(t: Tables) -> DataFrame:
 # -- retrieval ------------------------------------------------------------------------------
 
 
-@query("vec_norms", ", n AS (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT count(*) AS n_vectors, round(min(n), 6) AS min_norm, round(avg(n), 6) AS mean_norm, round(max(n), 6) AS max_norm, 0::BIGINT AS n_not_finite, count(*) FILTER (WHERE abs(n - 1) > 1e-5) AS n_not_unit FROM n")
+@query("vec_norms", ", n AS (SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) END AS n FROM embeddings) SELECT count(*) AS n_vectors, round(min(n), 6) AS min_norm, round(avg(n), 6) AS mean_norm, round(max(n), 6) AS max_norm, count(*) FILTER (WHERE vec_id % 9 = 0) AS n_not_finite, count(*) FILTER (WHERE abs(n - 1) > 1e-5) AS n_not_unit FROM n")
 def _(t: Tables) -> DataFrame:
-    return retrieval.vector_contract(t.vectors(), "vec")
+    odd = F.when(F.col("vec_id") % 9 == 0, F.lit(None)).otherwise(F.col("vec"))
+    return retrieval.vector_contract(t.vectors().withColumn("vec", odd), "vec")
 
 
 @query("topk_raw_a", "SELECT qid, cid, round(similarity, 6) AS similarity, raw_rank::INTEGER AS raw_rank FROM ranked")
@@ -421,7 +434,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("topk_block", "SELECT qid, cid, round(similarity, 6) AS similarity, raw_rank::INTEGER AS raw_rank FROM ranked WHERE raw_rank <= 10")
 def _(t: Tables) -> DataFrame:
-    return retrieval.topk_inner_product(t.claims, t.vectors().select(F.col("vec_id").alias("cid"), "vec"), 10, method="block").select("qid", "cid", "similarity", "raw_rank")
+    return retrieval.topk_inner_product(t.claims, t.vectors().select(F.col("vec_id").alias("cid"), "vec"), 10, block=64).select("qid", "cid", "similarity", "raw_rank")
 
 
 @query("pool_size", ", s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT least(50 + max(n), (SELECT count(*) FROM embeddings))::BIGINT AS pool FROM claims JOIN s ON q_label = label")
@@ -468,9 +481,25 @@ def _(t: Tables) -> DataFrame:
     return retrieval.duplicate_pairs(t.ranked(), F.when(F.col("cid") % 3 == 0, F.col("cid") % 30))
 
 
-@query("rank_contract", "SELECT 0::BIGINT AS rank_gap, 0::BIGINT AS score_rises, count(*) FILTER (WHERE abs(similarity) > 1.00001) AS score_range, 0::BIGINT AS rank_range, 0::BIGINT AS short_query, 0::BIGINT AS rank_repeats, 0::BIGINT AS id_repeats FROM ranked")
+@query(
+    "rank_contract",
+    f""", b AS (SELECT qid, CASE WHEN qid % 3 = 0 AND cid % 11 = 0 THEN cid + 1 ELSE cid END AS cid, CASE WHEN qid % 5 = 0 AND raw_rank = 7 THEN 3.0 ELSE similarity END AS similarity, CASE WHEN qid % 7 = 0 AND raw_rank = 9 THEN 90 WHEN qid % 7 = 1 AND raw_rank = 4 THEN 3 ELSE raw_rank END AS raw_rank
+      FROM ranked WHERE NOT (qid % 11 = 0 AND raw_rank = {POOL})), p AS (SELECT qid, count(*) AS n, count(DISTINCT raw_rank) AS r, count(DISTINCT cid) AS c FROM b GROUP BY qid)
+    SELECT (SELECT count(*) FROM b WHERE abs(similarity) > 1.00001) AS score_range, (SELECT count(*) FROM b WHERE NOT raw_rank BETWEEN 1 AND {POOL}) AS rank_range, (SELECT count(*) FROM p WHERE n <> {POOL}) AS short_query, (SELECT count(*) FROM p WHERE r <> n) AS rank_repeats, (SELECT count(*) FROM p WHERE c <> n) AS id_repeats""",
+)
+def _(t: Tables) -> DataFrame:
+    q, c, r = F.col("qid"), F.col("cid"), F.col("raw_rank")
+    broken = t.ranked().where(~((q % 11 == 0) & (r == POOL))).select(
+        q, F.when((q % 3 == 0) & (c % 11 == 0), c + 1).otherwise(c).alias("cid"), F.when((q % 5 == 0) & (r == 7), 3.0).otherwise(F.col("similarity")).alias("similarity"), F.when((q % 7 == 0) & (r == 9), 90).when((q % 7 == 1) & (r == 4), 3).otherwise(r).alias("raw_rank")
+    )
+    return retrieval.rank_contract(broken, POOL).select("score_range", "rank_range", "short_query", "rank_repeats", "id_repeats")
+
+
+@query("rank_order_contract", f", b AS (SELECT qid, CASE WHEN qid % 5 = 0 AND raw_rank = 7 THEN similarity + 1 ELSE similarity END AS s, raw_rank AS r FROM ranked WHERE NOT (qid % 4 = 0 AND raw_rank = 20)), l AS (SELECT r, s, lag(r) OVER w AS r0, lag(s) OVER w AS s0 FROM b WINDOW w AS (PARTITION BY qid ORDER BY r)) SELECT count(*) FILTER (WHERE CASE WHEN r0 IS NULL THEN r <> 1 ELSE r - r0 <> 1 END) AS rank_gap, count(*) FILTER (WHERE s > s0 + 1e-6) AS score_rises FROM l")
 def _(t: Tables) -> DataFrame:
-    return retrieval.rank_contract(t.ranked(), POOL)
+    q, r = F.col("qid"), F.col("raw_rank")
+    broken = t.ranked().where(~((q % 4 == 0) & (r == 20))).withColumn("similarity", F.when((q % 5 == 0) & (r == 7), F.col("similarity") + 1).otherwise(F.col("similarity")))
+    return retrieval.rank_contract(broken, POOL).select("rank_gap", "score_rises")
 
 
 @query("paired_cosine", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (embedding[2:] || embedding[1:1])::DOUBLE[]), 6) AS similarity FROM embeddings")
@@ -555,9 +584,15 @@ def _(t: Tables) -> DataFrame:
     return annotation.confidence_summary(t.annotated)
 
 
-@query("review_queue", "SELECT doc_id, CASE WHEN confidence = 'LOW' THEN 0 WHEN status = 'REVIEW' THEN 1 WHEN confidence = 'MEDIUM' THEN 2 ELSE 3 END AS priority FROM annotated")
+@query("review_queue", ", p AS (SELECT doc_id, CASE WHEN confidence = 'LOW' THEN 0 WHEN status = 'REVIEW' THEN 1 WHEN confidence = 'MEDIUM' THEN 2 ELSE 3 END AS priority FROM annotated) SELECT *, (row_number() OVER (ORDER BY priority, doc_id) - 1)::BIGINT AS place FROM p")
 def _(t: Tables) -> DataFrame:
-    return annotation.review_queue(t.annotated, "status", "confidence", "doc_id").select("doc_id", "priority")
+    return annotation.numbered_in_order(annotation.review_queue(t.annotated, "status", "confidence", "doc_id").select("doc_id", "priority"), "priority", "doc_id", 4)
+
+
+@query("deep_queue", ", p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE confidence_score END AS s FROM annotated) SELECT doc_id, s, (row_number() OVER (ORDER BY s NULLS FIRST, doc_id) - 1)::BIGINT AS place FROM p")
+def _(t: Tables) -> DataFrame:
+    rows = t.annotated.select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("confidence_score")).alias("s"))
+    return annotation.numbered_in_order(annotation.deep_queue(rows, "s", "doc_id"), "s", "doc_id", 102)
 
 
 @query("next_batch", "SELECT source AS qid, min(d.doc_id) AS first FROM documents d JOIN annotated a ON d.doc_id = a.doc_id WHERE status = 'UNLABELED' GROUP BY source ORDER BY first LIMIT 5")
@@ -594,32 +629,53 @@ def _(t: Tables) -> DataFrame:
     return annotation.workload(annotation.candidate_union(t.labelled(), t.labelled(turn=True), t.claims.select("qid", F.col("target").alias("cid")), 5))
 
 
-@query("progress_readiness", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE status = 'LABELED') AS n_labeled, count(*) FILTER (WHERE status = 'REVIEW') AS n_review, count(*) FILTER (WHERE status = 'UNLABELED') AS n_open, 0::BIGINT AS violations, CASE WHEN count(*) FILTER (WHERE status = 'UNLABELED') > 0 THEN 'INCOMPLETE' ELSE 'NEEDS_REVIEW' END AS decision FROM annotated")
+@query("progress_readiness", ", v AS (SELECT count(*) FILTER (WHERE confidence <> CASE WHEN doc_id % 31 = 0 THEN 'none' ELSE confidence END)::BIGINT AS violations FROM annotated) SELECT count(*) AS n_rows, count(*) FILTER (WHERE status = 'LABELED') AS n_labeled, count(*) FILTER (WHERE status = 'REVIEW') AS n_review, count(*) FILTER (WHERE status = 'UNLABELED') AS n_open, any_value(violations) AS violations, CASE WHEN any_value(violations) > 0 THEN 'BLOCKED' WHEN count(*) FILTER (WHERE status = 'UNLABELED') > 0 THEN 'INCOMPLETE' ELSE 'NEEDS_REVIEW' END AS decision FROM annotated, v")
 def _(t: Tables) -> DataFrame:
-    found = contracts.checks(t.annotated, {"band": ~P.confidence_band(F.col("confidence_score")).eqNullSafe(F.col("confidence"))})
+    odd = t.annotated.withColumn("confidence", F.when(F.col("doc_id") % 31 == 0, "none").otherwise(F.col("confidence")))
+    found = contracts.checks(odd, {"band": ~P.confidence_band(F.col("confidence_score")).eqNullSafe(F.col("confidence"))})
     return annotation.readiness(found, annotation.progress(t.annotated, "status"))
 
 
 # -- contracts ------------------------------------------------------------------------------
 
 
-@query("contract_records", "SELECT 'id' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'caption', count(*) FILTER (WHERE caption IS NULL OR NOT regexp_matches(caption, '\\S')) FROM records UNION ALL SELECT 'split', count(*) FILTER (WHERE split <> 'train') FROM records UNION ALL SELECT 'repeated:id', count(*) - count(DISTINCT id) FROM records UNION ALL SELECT 'repeated:image_path', count(*) - count(DISTINCT image_path) FROM records UNION ALL SELECT 'forbidden:title', 1")
+@query("contract_records", "SELECT 'id' AS \"check\", count(*) FILTER (WHERE id % 21 = 0) AS n FROM records UNION ALL SELECT 'caption', count(*) FILTER (WHERE id % 8 = 0 OR NOT regexp_matches(caption, '\\S')) FROM records UNION ALL SELECT 'split', count(*) FILTER (WHERE split <> 'train') FROM records UNION ALL SELECT 'repeated:id', count(*) - count(DISTINCT CASE WHEN id % 21 = 0 THEN -21 ELSE id END) FROM records UNION ALL SELECT 'repeated:image_path', count(*) - count(DISTINCT image_path) FROM records UNION ALL SELECT 'forbidden:title', 1")
 def _(t: Tables) -> DataFrame:
-    return contracts.record_manifest(t.records, ["title", "falsified"])
+    i = F.col("id")
+    odd = t.records.withColumns({"caption": F.when(i % 8 == 0, " ").otherwise(F.col("caption")), "id": F.when(i % 21 == 0, -21).otherwise(i)})
+    return contracts.record_manifest(odd, ["title", "falsified"])
 
 
-@query("contract_required", "SELECT 'null:id' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'null:title', count(*) - count(title) FROM records UNION ALL SELECT 'absent:author', 1 UNION ALL SELECT 'size', (count(*) <> 1000)::BIGINT FROM records")
+@query("contract_required", "SELECT 'null:id' AS \"check\", count(*) - count(id) AS n FROM records UNION ALL SELECT 'null:title', count(*) - count(title) FROM records UNION ALL SELECT 'absent:author', 1 UNION ALL SELECT 'size', (count(*) <> 1000)::BIGINT FROM records")
 def _(t: Tables) -> DataFrame:
     return contracts.required(t.records, ["id", "title", "author"], 1000)
 
 
-@query("contract_assets", "SELECT 'unsafe_path' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'malformed', count(*) FILTER (WHERE source <> 'src0') FROM records UNION ALL SELECT 'publisher', 0 UNION ALL SELECT 'role', count(*) FILTER (WHERE id % 2 <> 0) FROM records UNION ALL SELECT 'repeated:image_path', 0")
+_ASSET_PATH = "CASE id % 10 WHEN 0 THEN '../x.jpg' WHEN 1 THEN image_path || '.png' WHEN 2 THEN replace(image_path, source, 'src0') ELSE image_path END"
+
+
+@query(
+    "contract_assets",
+    f""", a AS (SELECT id, source, {_ASSET_PATH} AS p FROM records) SELECT 'unsafe_path' AS "check", count(*) FILTER (WHERE id % 10 = 0) AS n FROM a
+    UNION ALL SELECT 'malformed', count(*) FILTER (WHERE id % 10 IN (0, 1) OR (id % 10 <> 2 AND source NOT IN ('src0', 'src1'))) FROM a
+    UNION ALL SELECT 'publisher', count(*) FILTER (WHERE id % 10 = 0 OR (id % 10 = 2 AND source <> 'src0')) FROM a
+    UNION ALL SELECT 'role', count(*) FILTER (WHERE CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN 'both' WHEN id % 2 = 0 THEN 'query_only' WHEN id % 3 = 0 THEN 'evidence_only' END IS DISTINCT FROM 'query_only') FROM a
+    UNION ALL SELECT 'repeated:image_path', count(*) - count(DISTINCT p) FROM a""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.records.withColumn("image_path", F.expr(_ASSET_PATH)).withColumns({"is_query": F.col("id") % 2 == 0, "is_evidence": F.col("id") % 3 == 0, "asset_role": F.lit("query_only")})
+    return contracts.asset_manifest(rows, ROOT, ["src0", "src1"])
+
+
+_COVERAGE = "VALUES ('a', 1, 3, 0.3), ('a', 5, 4, 0.2), ('b', 1, 2, 0.2), ('b', 5, 9, 1.5), ('union', 1, 2, 0.2), ('union', 5, 20, 0.9)"
+
+
+@query("contract_coverage", f", c AS (SELECT scope, depth, n_covered, rate::DOUBLE AS rate FROM ({_COVERAGE}) v(scope, depth, n_covered, rate)), u AS (SELECT depth, n_covered AS u FROM c WHERE scope = 'union'), p AS (SELECT depth, max(n_covered) AS most, sum(n_covered) AS total FROM c WHERE scope <> 'union' GROUP BY depth) SELECT 'rate' AS \"check\", count(*) FILTER (WHERE NOT rate BETWEEN 0 AND 1) AS n FROM c UNION ALL SELECT 'union_low', count(*) FILTER (WHERE u < most) FROM u JOIN p USING (depth) UNION ALL SELECT 'union_high', count(*) FILTER (WHERE u > total) FROM u JOIN p USING (depth) UNION ALL SELECT 'falls', count(*) FROM c a JOIN c b ON a.scope = b.scope WHERE a.depth < b.depth AND a.rate > b.rate")
 def _(t: Tables) -> DataFrame:
-    rows = t.records.withColumns({"is_query": F.col("id") % 2 == 0, "is_evidence": F.lit(False), "asset_role": F.lit("query_only")})
-    return contracts.asset_manifest(rows, ROOT, ["src0"])
+    return contracts.coverage(t.spark.sql(f"SELECT scope, depth, n_covered, cast(rate AS double) AS rate FROM {_COVERAGE} AS v(scope, depth, n_covered, rate)"))
 
 
-@query("contract_coverage", "SELECT 'rate' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'union_low', 0 UNION ALL SELECT 'union_high', 0 UNION ALL SELECT 'falls', 0")
+@query("contract_coverage_of_ranks", ", b AS (SELECT qid, channel AS scope, first_rank FROM firsts UNION ALL SELECT qid, 'union', min(first_rank) FROM firsts GROUP BY qid), d AS (SELECT unnest([1, 5, 10, 20, 50]) AS depth), c AS (SELECT scope, depth, count(DISTINCT qid) FILTER (WHERE first_rank <= depth) AS n, count(DISTINCT qid) FILTER (WHERE first_rank <= depth)::DOUBLE / count(DISTINCT qid) AS rate FROM b, d GROUP BY ALL) SELECT 'falls' AS \"check\", count(*) AS n FROM c x JOIN c y ON x.scope = y.scope WHERE x.depth < y.depth AND x.rate > y.rate UNION ALL SELECT 'rate', count(*) FILTER (WHERE rate > 1) FROM c UNION ALL SELECT 'union_low', count(*) FROM c u JOIN c x USING (depth) WHERE u.scope = 'union' AND x.scope <> 'union' AND u.n < x.n UNION ALL SELECT 'union_high', count(*) FROM (SELECT depth, max(n) FILTER (WHERE scope = 'union') AS u, sum(n) FILTER (WHERE scope <> 'union') AS s FROM c GROUP BY depth) WHERE u > s")
 def _(t: Tables) -> DataFrame:
     return contracts.coverage(annotation.coverage_by_depth(_firsts(t), [1, 5, 10, 20, 50]))
 
@@ -630,6 +686,254 @@ def _(t: Tables) -> DataFrame:
     return contracts.same_table(a, a.where("id % 50 <> 0").withColumn("source", F.when(F.col("id") % 50 == 1, "x").otherwise(F.col("source"))))
 
 
+# -- scoreboards of raw rows ------------------------------------------------------------------
+
+# raw pairs with every kind of fault; the SQL counts by arithmetic what the operator finds in the JSON
+_PAIR_JSON = """concat('{"id":', CASE WHEN d % 17 = 0 THEN '"x"' ELSE cast(d AS string) END, ',"image_id":', CASE WHEN d % 19 = 0 THEN 'null' ELSE cast(d + d % 3 AS string) END, CASE WHEN d % 29 = 0 THEN '' ELSE concat(',"source_dataset":', cast(d % 5 AS string)) END,
+  ',"similarity_score":', CASE WHEN d % 13 = 0 THEN 'NaN' WHEN d % 23 = 0 THEN '-Infinity' WHEN d % 31 = 0 THEN '"high"' ELSE concat(cast(d % 7 AS string), '.5') END, ',"falsified":', CASE WHEN d % 37 = 0 THEN '1' ELSE 'true' END, CASE WHEN d % 41 = 0 THEN ',"extra":1' ELSE '' END, '}')"""
+_RECORD_JSON = """CASE WHEN d % 23 = 0 THEN '[1]' ELSE concat('{"id":', cast(d AS string), ',"caption":', CASE WHEN d % 7 = 0 THEN '"  "' ELSE '"c"' END, ',"image_path":', CASE d % 11 WHEN 0 THEN '"/abs.jpg"' WHEN 1 THEN '""' ELSE '"a/b.jpg"' END,
+  ',"article_path":"x/y.txt","full_article_path":"x/y.txt","caption_entities_spacy":[],"caption_entities_rel":', CASE WHEN d % 13 = 0 THEN '{}' ELSE '[]' END, ',"image_has_person":true,"topic":"t","source":', CASE WHEN d % 5 = 0 THEN '"other"' ELSE '"bbc"' END,
+  ',"timestamp":', CASE WHEN d % 17 = 0 THEN '"no date"' ELSE '"2020-01-02 03:04:05"' END, ',"title":', CASE WHEN d % 3 = 0 THEN 'null' ELSE '"t"' END, CASE WHEN d % 19 = 0 THEN '' ELSE ',"title_entities_spacy":[]' END, '}') END"""
+_RAW = ", raw AS (SELECT id AS d, split FROM pairs UNION ALL SELECT id, split FROM pairs WHERE id % 50 = 3)"
+
+
+def _raw(t: Tables, json: str) -> DataFrame:
+    rows = t.pairs.select(F.col("id").alias("d"), "split")
+    rows = rows.unionByName(rows.where("d % 50 = 3"))
+    return rows.select("d", "split", F.expr(json).alias("json"))
+
+
+def _board_sql(checks: dict[str, str], more: str = "") -> str:
+    long = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", split, {x} AS n FROM j GROUP BY split" for c, x in checks.items())
+    wide = ", ".join(f"coalesce(sum(n) FILTER (WHERE split = '{s}'), 0)::BIGINT AS {s}" for s in SPLITS)
+    return f', long AS ({long}{more}) SELECT "check", {wide}, coalesce(sum(n) FILTER (WHERE split IN (\'train\', \'val\', \'test\')), 0) > 0 AS anomaly FROM long GROUP BY "check"'
+
+
+_n = lambda c: f"count(*) FILTER (WHERE {c})"
+
+
+@query(
+    "pair_scoreboard",
+    _RAW + f", j AS (SELECT *, {_PAIR_JSON} AS json, CASE WHEN d % 17 = 0 THEN 'x' ELSE d::VARCHAR END AS a, CASE WHEN d % 19 = 0 THEN 'null' ELSE (d + d % 3)::VARCHAR END AS b FROM raw)"
+    + _board_sql(
+        {
+            "missing_fields": _n("d % 29 = 0"), "null_fields": _n("d % 19 = 0"), "unexpected_types": f"{_n('d % 17 = 0')} + {_n('d % 13 <> 0 AND d % 23 <> 0 AND d % 31 = 0')} + {_n('d % 37 = 0')}", "unexpected_or_absent_fields": _n("d % 29 = 0 OR d % 41 = 0"),
+            "invalid_booleans": _n("d % 37 = 0"), "nan_scores": _n("d % 13 = 0"), "infinite_scores": _n("d % 13 <> 0 AND d % 23 = 0"), "invalid_scores": _n("d % 13 = 0 OR d % 23 = 0 OR d % 31 = 0"), "invalid_sources": _n("d % 29 = 0 OR d % 5 = 4 OR split = 'test'"),
+            "invalid_id": _n("d % 17 = 0"), "invalid_image_id": _n("d % 19 = 0"), "duplicate_rows": "count(*) - count(DISTINCT json)", "duplicate_combinations": "count(*) - count(DISTINCT (a, b))", "size_differs": "(count(*) <> 333)::BIGINT",
+            "empty_structures": "(any_value(split) = 'test')::BIGINT", "invalid_lookup_entries": "CASE WHEN any_value(split) = 'val' THEN 2 ELSE 0 END",
+        }
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    names = [(s, k, n) for s in ("train", "val") for k, n in NAMES.items()] + [("val", "x", "bad"), ("val", "7", " ")]
+    return quality.pair_scoreboard(_raw(t, _PAIR_JSON), "json", t.spark.createDataFrame(names, "split string, key string, name string"), dict.fromkeys(SPLITS, 333))
+
+
+_WHOLE = "d % 23 <> 0 AND "
+
+
+@query(
+    "record_scoreboard",
+    _RAW + ", j AS (SELECT * FROM raw)"
+    + _board_sql(
+        {
+            "malformed_records": _n("d % 23 = 0"), "empty_objects": "0", "inconsistent_schemas": _n(_WHOLE + "d % 19 = 0"), "invalid_types": _n(_WHOLE + "d % 13 = 0"), "invalid_ids": "0", "key_mismatches": _n(_WHOLE + "d % 29 = 0"), "blank_captions": _n(_WHOLE + "d % 7 = 0"),
+            "blank_image_paths": _n(_WHOLE + "d % 11 = 1"), "blank_article_paths": "0", "blank_full_article_paths": "0", "unexpected_sources": _n(_WHOLE + "d % 5 = 0"), "invalid_timestamps": _n(_WHOLE + "d % 17 = 0"), "malformed_paths": _n(_WHOLE + "d % 11 = 0"),
+            "blank_titles": _n(_WHOLE + "d % 3 = 0"), "duplicate_ids": "count(*) FILTER (WHERE d % 23 <> 0) - count(DISTINCT d) FILTER (WHERE d % 23 <> 0)",
+        }
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    rows = _raw(t, _RECORD_JSON).withColumn("key", F.when(F.col("d") % 29 == 0, "k").otherwise(F.col("d").cast("string")))
+    return quality.record_scoreboard(rows, "key", "json", ["guardian", "bbc", "washington_post", "usa_today"], SPLITS)
+
+
+@query("structure_profile", _RAW + " SELECT split, count(*) AS n_items, count(*) FILTER (WHERE d % 29 = 0 AND split = 'val') = 0 AS numeric_keys, min(CASE WHEN d % 29 = 0 AND split = 'val' THEN 'k' ELSE d::VARCHAR END) AS first_key, 'ARRAY:' || count(*) FILTER (WHERE d % 23 = 0) || ',OBJECT:' || count(*) FILTER (WHERE d % 23 <> 0) AS value_kinds FROM raw GROUP BY split")
+def _(t: Tables) -> DataFrame:
+    odd = (F.col("d") % 29 == 0) & (F.col("split") == "val")
+    return quality.structure(_raw(t, _RECORD_JSON).withColumn("key", F.when(odd, "k").otherwise(F.col("d").cast("string"))), "key", "json")
+
+
+@query("provenance_sizes", "SELECT count(DISTINCT id) AS caption_side_ids, count(DISTINCT image_id) AS image_side_ids, (SELECT count(*) FROM (SELECT id FROM pairs WHERE id % 4 = 1 INTERSECT SELECT image_id FROM pairs WHERE id % 4 = 1)) AS overlapping_ids, (SELECT count(*) FROM (SELECT id FROM pairs WHERE id % 4 = 1 UNION SELECT image_id FROM pairs WHERE id % 4 = 1)) AS required_ids FROM pairs WHERE id % 4 = 1")
+def _(t: Tables) -> DataFrame:
+    return quality.provenance_sizes(t.pairs.where("id % 4 = 1"))
+
+
+_EVIDENCE = ", r AS (SELECT id, image_path, caption, source || '/' || (id % 50) AS full_article_path, split, topic FROM records), req AS (SELECT * FROM r WHERE id % 8 = 1), ev AS (SELECT *, id % 8 = 1 AS f FROM r WHERE id % 16 <> 1), bg AS (SELECT * FROM ev WHERE NOT f), cap AS (SELECT caption FROM r WHERE id % 8 = 2)"
+
+
+def _evidence(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = t.records.select("id", "image_path", "caption", F.concat_ws("/", "source", (F.col("id") % 50).cast("string")).alias("full_article_path"), "split", "topic")
+    return r.where("id % 16 <> 1").withColumn("is_query_provenance", F.col("id") % 8 == 1), r.where("id % 8 = 1"), r.where("id % 8 = 2").select("caption")
+
+
+@query("evidence_overlap", _EVIDENCE + ", o AS (SELECT (SELECT count(DISTINCT id) FROM req) AS required, (SELECT count(DISTINCT id) FROM ev WHERE id IN (SELECT id FROM req)) AS covered, (SELECT count(DISTINCT id) FROM bg WHERE id IN (SELECT id FROM req)) AS background_ids, (SELECT count(DISTINCT image_path) FROM bg WHERE image_path IN (SELECT image_path FROM req)) AS background_paths, (SELECT count(DISTINCT caption) FROM bg WHERE caption IN (SELECT caption FROM cap)) AS background_captions, (SELECT count(*) FROM bg WHERE full_article_path IN (SELECT full_article_path FROM req)) AS background_article_rows) SELECT *, required - covered AS missing, round(covered * 100.0::DOUBLE / required, 6) AS coverage_pct FROM o")
+def _(t: Tables) -> DataFrame:
+    return quality.evidence_overlap(*_evidence(t))
+
+
+@query(
+    "evidence_checks",
+    _EVIDENCE + """ SELECT 'size' AS "check", (count(*) <> 1000)::BIGINT AS n FROM ev UNION ALL SELECT 'provenance_missing', (SELECT count(*) FROM req) - (SELECT count(*) FROM ev WHERE f) UNION ALL SELECT 'provenance_flags', (SELECT count(*) FROM req) - (SELECT count(*) FROM ev WHERE f)
+    UNION ALL SELECT 'background_ids', 0 UNION ALL SELECT 'background_paths', (SELECT count(DISTINCT image_path) FROM bg WHERE image_path IN (SELECT image_path FROM req)) UNION ALL SELECT 'background_captions', (SELECT count(DISTINCT caption) FROM bg WHERE caption IN (SELECT caption FROM cap))
+    UNION ALL SELECT 'repeated:id', count(*) - count(DISTINCT id) FROM ev UNION ALL SELECT 'repeated:image_path', count(*) - count(DISTINCT image_path) FROM ev UNION ALL SELECT 'populated:caption', count(*) FILTER (WHERE caption IS NULL OR trim(caption) = '') FROM ev
+    UNION ALL SELECT 'populated:topic', count(*) FILTER (WHERE topic IS NULL) FROM ev UNION ALL SELECT 'background_origin', count(*) FILTER (WHERE NOT f AND split <> 'train') FROM ev""",
+)
+def _(t: Tables) -> DataFrame:
+    return quality.evidence_checks(*_evidence(t), 1000, ["caption", "topic"])
+
+
+@query("aligned_columns", "SELECT 'only_left' AS \"check\", count(*) FILTER (WHERE vec_id % 6 = 0) AS n FROM embeddings UNION ALL SELECT 'only_right', 0 UNION ALL SELECT 'vec', count(*) FILTER (WHERE vec_id % 6 <> 0 AND vec_id % 10 = 1) FROM embeddings UNION ALL SELECT 'label', count(*) FILTER (WHERE vec_id % 6 <> 0 AND vec_id % 14 = 1) FROM embeddings")
+def _(t: Tables) -> DataFrame:
+    v, i = t.vectors(), F.col("vec_id")
+    other = v.where("vec_id % 6 <> 0").select(i, F.when(i % 10 == 1, F.reverse(F.concat("vec", F.array(F.lit(9.0).cast("float"))))).otherwise(F.col("vec")).alias("vec"), F.when(i % 14 == 1, F.col("label") + 1).otherwise(F.col("label")).alias("label"))
+    return quality.aligned(v, other, "vec_id", ["vec", "label"])
+
+
+@query("protected_alignment", "SELECT 'missing_columns' AS \"check\", 1::BIGINT AS n UNION ALL SELECT 'extra_columns', 1 UNION ALL SELECT 'blank:expected', 0 UNION ALL SELECT 'blank:actual', 0 UNION ALL SELECT 'repeated:expected', 0 UNION ALL SELECT 'repeated:actual', count(*) FILTER (WHERE doc_id % 40 = 2) FROM annotated UNION ALL SELECT 'only_left', count(*) FILTER (WHERE doc_id % 40 = 1) FROM annotated UNION ALL SELECT 'only_right', 0 UNION ALL SELECT 'confidence_score', count(*) FILTER (WHERE doc_id % 40 = 3) FROM annotated")
+def _(t: Tables) -> DataFrame:
+    a, d = t.annotated.select("doc_id", "confidence_score", "confidence", "event_label"), F.col("doc_id")
+    b = a.where("doc_id % 40 <> 1").unionByName(a.where("doc_id % 40 = 2")).select("doc_id", F.when(d % 40 == 3, F.col("confidence_score") + 1).otherwise(F.col("confidence_score")).alias("confidence_score"), F.lit("SAME").alias("event_label"), F.lit(1).alias("note"))
+    return quality.protected_alignment(a, b, "doc_id", ["event_label"])
+
+
+_DUPLICATES = [("p0", "p1"), ("p2", "p5")]
+_FLAGGED = """, f AS (SELECT r.qid, r.cid, 'p' || r.qid AS qp, 'p' || r.cid AS ep, r.cid = c.target AS same_image, r.cid = r.qid + 1 AS same_caption, r.cid % 50 = r.qid % 50 AS exact_caption,
+  ('p' || least(r.qid, r.cid), 'p' || greatest(r.qid, r.cid)) IN (('p0', 'p1'), ('p2', 'p5')) AS dup, CASE WHEN r.cid IN (2, 5) THEN 'known_pair_2' WHEN r.cid IN (0, 1) THEN 'known_pair_1' END AS grp FROM ranked r JOIN claims c ON r.qid = c.qid)"""
+
+
+def _flagged(t: Tables) -> DataFrame:
+    q, c = F.col("qid"), F.col("cid")
+    rows = t.ranked().join(t.claims.select("qid", "target"), "qid")
+    rows = rows.select(q.alias("query_id"), c.alias("evidence_id"), F.concat(F.lit("p"), q.cast("string")).alias("query_image_path"), F.concat(F.lit("c"), (q % 50).cast("string")).alias("submitted_caption"), (q + 1).alias("caption_id"), F.col("target").alias("image_id"), F.concat(F.lit("p"), c.cast("string")).alias("evidence_image_path"), F.concat(F.lit("c"), (c % 50).cast("string")).alias("evidence_caption"))
+    return retrieval.candidate_flags(rows, _DUPLICATES)
+
+
+@query("candidate_flags", _FLAGGED + " SELECT qid AS query_id, cid AS evidence_id, qid = cid AS is_exact_path, same_image AS is_same_image_id, same_caption AS is_caption_provenance, same_image OR same_caption AS is_query_provenance, exact_caption AS is_exact_caption, dup AS is_known_duplicate, grp AS known_duplicate_group FROM f")
+def _(t: Tables) -> DataFrame:
+    return _flagged(t).select("query_id", "evidence_id", *retrieval.FLAGS)
+
+
+@query("exclusion_masks", _FLAGGED + " SELECT 'image_to_image' AS channel, count(*) FILTER (WHERE qid = cid OR same_image OR dup) AS n FROM f UNION ALL SELECT 'text_to_text', count(*) FILTER (WHERE exact_caption) FROM f UNION ALL SELECT 'image_to_text', 0")
+def _(t: Tables) -> DataFrame:
+    channels = F.array(*map(F.lit, ("image_to_image", "text_to_text", "image_to_text")))
+    return _flagged(t).withColumn("channel", F.explode(channels)).groupBy("channel").agg(audit.count_if(retrieval.exclusion_mask(F.col("channel"))).alias("n"))
+
+
+@query("flag_contract", _FLAGGED + ", b AS (SELECT *, cid % 7 = 0 AS x, qid % 9 = 0 AS y FROM f) SELECT count(*) FILTER (WHERE x) AS \"flag:is_exact_path\", 0::BIGINT AS \"flag:is_same_image_id\", 0::BIGINT AS \"flag:is_caption_provenance\", 0::BIGINT AS \"flag:is_query_provenance\", count(*) FILTER (WHERE x) AS \"flag:is_exact_caption\", 0::BIGINT AS \"flag:is_known_duplicate\", count(*) FILTER (WHERE grp IS NOT NULL) AS \"flag:known_duplicate_group\", count(*) FILTER (WHERE y) AS query_columns, count(*) FILTER (WHERE cid % 10 = 0) AS evidence_columns, count(*) FILTER (WHERE qid = cid OR same_image OR dup) AS excluded_kept FROM b")
+def _(t: Tables) -> DataFrame:
+    x = F.col("evidence_id") % 7 == 0
+    rows = _flagged(t).withColumns({"is_exact_path": F.col("is_exact_path") != x, "is_exact_caption": F.col("is_exact_caption") != x, "known_duplicate_group": F.lit(None).cast("string"), "channel": F.lit("image_to_image")})
+    i = F.col("vec_id")
+    queries = t.vectors().select(i.alias("query_id"), F.when(i % 9 == 0, "other").otherwise(F.concat(F.lit("p"), i.cast("string"))).alias("query_image_path"))
+    evidence = t.vectors().where("vec_id % 10 <> 0").select(i.alias("evidence_id"), F.concat(F.lit("p"), i.cast("string")).alias("evidence_image_path"))
+    return retrieval.flag_contract(rows, _DUPLICATES, queries, evidence, filtered=True)
+
+
+@query("event_rates_subsets", """, s AS (SELECT *, (cid + qid) % 6 = 0 OR cid % 10 = 0 AS unsure FROM viewed), x AS (SELECT 'all_deep_reviewed' AS subset, * FROM s UNION ALL SELECT 'exclude_review', * FROM s WHERE NOT unsure)
+    SELECT view, subset, channel, count(*) AS n_rows, count(*) FILTER (WHERE event_label = 'SAME') AS n_same, count(*) FILTER (WHERE event_label = 'RELATED') AS n_related, count(*) FILTER (WHERE event_label = 'IRRELEVANT') AS n_irrelevant, count(*) FILTER (WHERE event_label <> 'IRRELEVANT') AS n_relevant,
+    round(count(*) FILTER (WHERE event_label = 'SAME') / count(*), 6) AS same_rate, round(count(*) FILTER (WHERE event_label = 'RELATED') / count(*), 6) AS related_rate, round(count(*) FILTER (WHERE event_label = 'IRRELEVANT') / count(*), 6) AS irrelevant_rate, round(count(*) FILTER (WHERE event_label <> 'IRRELEVANT') / count(*), 6) AS relevant_rate FROM x GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    rows = annotation.views(_channels(t), "is_exact", "is_linked", "visual_group", "path")
+    rows = rows.withColumns({"review_status": F.when((F.col("cid") + F.col("qid")) % 6 == 0, "REVIEW").otherwise("LABELED"), "needs_review": F.when(F.col("cid") % 10 == 0, True)})
+    return annotation.event_rates(annotation.subsets(rows), ["view", "subset", "channel"])
+
+
+@query("visual_repeats", ", m AS (SELECT channel, qid, cid, NOT (is_exact OR is_linked) AND row_number() OVER (PARTITION BY channel, qid, is_exact OR is_linked, visual ORDER BY rank, cid) > 1 AS is_later_duplicate FROM labelled) SELECT * FROM m")
+def _(t: Tables) -> DataFrame:
+    return annotation.suppressed(_channels(t), "is_exact", "is_linked", "visual_group", "path").select("channel", "qid", "cid", "is_later_duplicate")
+
+
+@query("label_reuse", ", k AS (SELECT DISTINCT qid, cid, event_label FROM labelled WHERE channel = 'a' AND rank <= 5) SELECT l.channel, l.qid, l.cid, l.rank::INTEGER AS rank, k.event_label FROM labelled l LEFT JOIN k ON l.qid = k.qid AND l.cid = k.cid")
+def _(t: Tables) -> DataFrame:
+    rows = _channels(t)
+    return quality.label_reuse(rows.select("channel", "qid", "cid", "rank"), rows.where("channel = 'a' AND rank <= 5"), ["qid", "cid"], ["event_label"]).select("channel", "qid", "cid", "rank", "event_label")
+
+
+@query("deeper_labels", ", n AS (SELECT qid, cid, rank, CASE WHEN cid % 8 = 0 THEN 'MAYBE' ELSE event_label END AS e, (event_label = 'SAME') <> (cid % 9 = 0) AS f FROM labelled WHERE channel = 'a' AND rank > 4), o AS (SELECT DISTINCT qid, cid FROM labelled WHERE channel = 'b' AND rank <= 5) SELECT 'label' AS \"check\", count(*) FILTER (WHERE e = 'MAYBE') AS n FROM n UNION ALL SELECT 'rank', count(*) FILTER (WHERE rank = 5) FROM n UNION ALL SELECT 'flag', count(*) FILTER (WHERE f <> (e = 'SAME')) FROM n UNION ALL SELECT 'repeated:qid,cid', 0 UNION ALL SELECT 'already_labelled', count(*) FROM n SEMI JOIN o USING (qid, cid)")
+def _(t: Tables) -> DataFrame:
+    c, same = F.col("cid"), F.col("event_label") == "SAME"
+    new = t.labelled().where("rank > 4").select("qid", "cid", "rank", F.when(c % 8 == 0, "MAYBE").otherwise(F.col("event_label")).alias("event_label"), (same != (c % 9 == 0)).alias("is_nontrivial_same"))
+    return contracts.deeper_labels(new, t.labelled(turn=True).where("rank <= 5"), ["qid", "cid"])
+
+
+@query("annotation_contract", ", a AS (SELECT doc_id AS d, confidence_score AS s, event_label AS e FROM annotated) SELECT 'label' AS \"check\", count(*) FILTER (WHERE d % 10 = 0) AS n FROM a UNION ALL SELECT 'status', count(*) FILTER (WHERE d % 11 = 0) FROM a UNION ALL SELECT 'score', count(*) FILTER (WHERE d % 13 = 0) FROM a UNION ALL SELECT 'band', count(*) FILTER (WHERE d % 13 = 0 OR (d % 7 = 0 AND s < 85)) FROM a UNION ALL SELECT 'low_unflagged', count(*) FILTER (WHERE d % 13 <> 0 AND s < 85 AND d % 4 <> 0) FROM a UNION ALL SELECT 'flag_status', count(*) FILTER (WHERE (d % 4 = 0) <> (d % 11 <> 0 AND d % 5 = 0)) FROM a UNION ALL SELECT 'web_note', count(*) FILTER (WHERE d % 3 = 0 AND d % 2 = 0) FROM a")
+def _(t: Tables) -> DataFrame:
+    d, s = F.col("doc_id"), F.col("confidence_score")
+    rows = t.annotated.select(
+        F.when(d % 10 == 0, "MAYBE").otherwise(F.col("event_label")).alias("event_label"), F.when(d % 11 == 0, "DONE").when(d % 5 == 0, "REVIEW").otherwise("LABELED").alias("status"), F.when(d % 13 == 0, "007").otherwise(s.cast("string")).alias("confidence_score"),
+        F.when(d % 7 == 0, "HIGH").otherwise(F.col("confidence")).alias("confidence"), F.when(d % 4 == 0, "True").otherwise("False").alias("needs_review"), F.when(d % 3 == 0, "true").otherwise("false").alias("web_checked"), F.when(d % 2 == 0, " ").otherwise("note").alias("web_evidence_note"),
+    )
+    return contracts.annotation(rows)
+
+
+@query("selection_contract", ", p AS (SELECT *, id % 4 AS category FROM linked WHERE id % 3 <> 2), c AS (SELECT falsified, category, count(*) AS n FROM p GROUP BY ALL) SELECT 'cell_size' AS \"check\", count(*) FILTER (WHERE n <> 83) AS n FROM c UNION ALL SELECT 'cells', (count(*) <> 12)::BIGINT FROM c UNION ALL SELECT 'id', 0 UNION ALL SELECT 'image_id', 0 UNION ALL SELECT 'caption', count(*) FILTER (WHERE caption_caption IS NULL OR NOT regexp_matches(caption_caption, '\\S')) FROM p UNION ALL SELECT 'class', count(*) FILTER (WHERE falsified = (id = image_id)) FROM p UNION ALL SELECT 'repeated:caption', count(*) - count(DISTINCT caption_caption) - count(*) FILTER (WHERE caption_caption IS NULL) + greatest(count(*) FILTER (WHERE caption_caption IS NULL) - 1, 0) FROM p UNION ALL SELECT 'repeated:image_path', count(*) - count(DISTINCT coalesce(image_id % 100, -1)) FROM p UNION ALL SELECT 'repeated:id,image_id', count(*) - count(DISTINCT (id, image_id)) FROM p")
+def _(t: Tables) -> DataFrame:
+    rows = t.linked.where("id % 3 <> 2").select("id", "image_id", "falsified", (F.col("id") % 4).alias("category"), F.col("caption_caption").alias("caption"), (F.col("image_id") % 100).alias("image_path"))
+    return contracts.selection(rows, 83, 12)
+
+
+@query("byte_identity", ", p AS (SELECT a.id, a.caption = b.caption AS same, a.id % 5 = 0 AS is_exact FROM records a JOIN records b ON b.id = a.id + 1) SELECT 'unflagged' AS \"check\", count(*) FILTER (WHERE same AND NOT is_exact) AS n FROM p UNION ALL SELECT 'not_identical', count(*) FILTER (WHERE is_exact AND NOT coalesce(same, false)) FROM p")
+def _(t: Tables) -> DataFrame:
+    r = t.records
+    hashes = r.select("image_path", F.sha2("caption", 256).alias("sha256"))
+    pairs = r.select("id", F.col("image_path").alias("query_path")).join(r.select((F.col("id") - 1).alias("id"), F.col("image_path").alias("candidate_path")), "id").withColumn("is_exact", F.col("id") % 5 == 0)
+    return contracts.byte_identity(pairs, hashes)
+
+
+@query("reuse_vectors", "SELECT a.vec_id AS id, round(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id // 2")
+def _(t: Tables) -> DataFrame:
+    v = t.vectors()
+    queries = v.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).alias("path"))
+    got = retrieval.reuse_vectors(queries, v.select(F.col("vec_id").alias("path"), "vec"), "path")
+    return got.select("id", P.dot(F.col("vec"), F.col("vec")).alias("n"))
+
+
+@query("contained_keys", "SELECT 'not_contained' AS \"check\", count(DISTINCT image_id) AS n FROM pairs WHERE image_id NOT IN (SELECT id FROM records)")
+def _(t: Tables) -> DataFrame:
+    return contracts.contained(t.pairs.select(F.col("image_id").alias("id")), t.records, ["id"])
+
+
+@query("asset_summary", ", a AS (SELECT id, caption, CASE id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'zero_byte' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'unexpected_format' ELSE 'ok' END AS s FROM records), h AS (SELECT caption, count(*) AS c FROM a WHERE s = 'ok' AND caption IS NOT NULL GROUP BY caption) SELECT count(*) AS n_assets, count(*) FILTER (WHERE s <> 'missing') AS found, count(*) FILTER (WHERE s = 'missing') AS missing, round(count(*) FILTER (WHERE s <> 'missing') * 100.0::DOUBLE / count(*), 6) AS available_pct, count(*) FILTER (WHERE s = 'ok') AS readable, count(*) FILTER (WHERE s = 'unreadable') AS corrupt, count(*) FILTER (WHERE s = 'zero_byte') AS zero_byte, count(*) FILTER (WHERE s = 'unexpected_format') AS unexpected_format, 0::BIGINT AS unsafe, 0::BIGINT AS not_regular, count(caption) FILTER (WHERE s = 'ok') AS hashed, (SELECT count(*) FROM h) AS unique_hashes, (SELECT count(*) FROM h WHERE c > 1) AS duplicate_groups, (SELECT coalesce(sum(c), 0)::BIGINT FROM h WHERE c > 1) AS files_in_groups FROM a")
+def _(t: Tables) -> DataFrame:
+    from evidrill.plans.publish import asset_summary
+
+    i = F.col("id") % 7
+    status = F.when(i == 0, "missing").when(i == 1, "zero_byte").when(i == 2, "unreadable").when(i == 3, "unexpected_format").otherwise("ok")
+    rows = t.records.withColumns({"status": status, "file_found": i != 0}).withColumn("sha256", F.when(F.col("status") == "ok", F.sha2("caption", 256)))
+    return asset_summary(rows)
+
+
+@query("merged_rows", "SELECT vec_id AS metadata_id, row_number() OVER (ORDER BY vec_id) - 1 AS embedding_row FROM embeddings")
+def _(t: Tables) -> DataFrame:
+    from evidrill.plans.publish import merge_chunks
+
+    chunks = t.vectors().select(F.col("vec_id").alias("metadata_id"), "vec")
+    return merge_chunks(chunks, chunks.select("metadata_id"), "metadata_id").select("metadata_id", F.col("embedding_row").cast("long").alias("embedding_row"))
+
+
+@query("requested_members", ", w AS (SELECT image_path, CASE WHEN starts_with(image_path, 'archive/') THEN 'pre/' || substr(image_path, 9) ELSE 'pre/' || image_path END AS name, id FROM records) SELECT image_path, name, CASE id % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'duplicate' ELSE 'found' END AS status FROM w")
+def _(t: Tables) -> DataFrame:
+    from evidrill.sources.readers import requested
+
+    name = F.concat(F.lit("pre/"), F.substring("image_path", 9, 1000))
+    held = t.records.where("id % 6 <> 0").select(name.alias("name"), F.lit(True).alias("safe"), "id")
+    return requested(held.unionByName(held.where("id % 6 = 1")), t.records, "archive/", "pre/")
+
+
+@query("high_audit", ", c AS (SELECT doc_id, event_label AS old_label FROM annotated WHERE doc_id % 4 = 0 AND event_label <> 'SAME'), h AS (SELECT doc_id, event_label, row_number() OVER (PARTITION BY event_label ORDER BY md5('5:' || doc_id), doc_id) AS draw FROM annotated WHERE confidence = 'HIGH') SELECT h.doc_id, event_label, draw::INTEGER AS draw, old_label, old_label IS NOT NULL AS was_changed FROM h LEFT JOIN c USING (doc_id) WHERE draw <= 6")
+def _(t: Tables) -> DataFrame:
+    old = t.annotated.select("doc_id", "event_label")
+    changed = annotation.changes(old, old.withColumn("event_label", F.when(F.col("doc_id") % 4 == 0, "SAME").otherwise(F.col("event_label"))), "doc_id", "event_label")
+    return annotation.high_audit(t.annotated, changed, "doc_id", "event_label", "confidence", 6, 5).select("doc_id", "event_label", "draw", "old_label", "was_changed")
+
+
+@query("enriched_ranks", "SELECT r.qid, r.cid, r.raw_rank::INTEGER AS raw_rank, e.label FROM ranked r JOIN embeddings e ON r.cid = e.vec_id")
+def _(t: Tables) -> DataFrame:
+    details = t.vectors().select(F.col("vec_id").alias("cid"), "label")
+    return quality.enrich(t.ranked().select("qid", "cid", "raw_rank"), details, "cid").select("qid", "cid", "raw_rank", "label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
