@@ -272,7 +272,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
     from pyspark.sql import types as T
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return arrow_map(kept, run, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -286,7 +286,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
     from pyspark.sql import types as T
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
+    return arrow_map(kept, run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def _digest_batches(path: str):

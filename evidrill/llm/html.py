@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, table
+from .common import arrow_map, column, table
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
@@ -402,7 +402,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None, html: str = "html"
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.text(x) for x in column(b, html)], pa.string())], names=[*b.schema.names, out])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
+    return arrow_map(kept, run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

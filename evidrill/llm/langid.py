@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialize, table
+from .common import arrow_map, column, discard, materialize, table
 
 SEGMENT, SPECTRUM = 4000, 3
 PER_CLASS, PER_TEXT, TRAIN, LEAST_TRAIN, LANDMARKS, LEAST_MARKS = 400, 64, 4096, 256, 128, 4
@@ -68,15 +68,17 @@ class Spectrum:
     def __init__(self, landmarks: list[bytes]):
         own = [[np.unique(c) for _, c in _grams(x)] for x in landmarks]
         self.sizes = np.array([sum(map(len, x)) for x in own], float)
-        self.at, self.seen, known = [], [], 0
+        every = [np.unique(np.concatenate([x[n] for x in own])) for n in range(SPECTRUM)]
+        self.known = sum(map(len, every))
+        kind = np.uint16 if self.known < 1 << 16 else np.int32
+        self.at, self.seen, first = [], [], 0
         for n in range(SPECTRUM):
-            every = np.unique(np.concatenate([x[n] for x in own]))
-            at = np.full(256 ** (n + 1), -1, np.int32)
-            at[every] = np.arange(known, known + len(every))
-            known += len(every)
+            at = np.full(256 ** (n + 1), self.known, kind)  # not in any landmark
+            at[every[n]] = np.arange(first, first + len(every[n]))
+            first += len(every[n])
             self.at.append(at)
             self.seen.append(np.zeros(256 ** (n + 1), np.uint16))
-        self.has = np.zeros((known, len(landmarks)), np.uint8)  # which n-gram is in which landmark
+        self.has = np.zeros((self.known, len(landmarks)), np.uint8)  # which n-gram is in which landmark
         for i, x in enumerate(own):
             for n in range(SPECTRUM):
                 self.has[self.at[n][x[n]], i] = 1
@@ -93,7 +95,7 @@ class Spectrum:
                 code = code[seen[code] == place]  # each n-gram once, where it comes last
                 total += len(code)
                 at = self.at[n - 1][code]
-                rows.append(at[at >= 0])
+                rows.append(at[at < self.known])
             out[i] = np.add.reduce(self.has[np.concatenate(rows)], axis=0, dtype=np.uint16) / np.sqrt(total * self.sizes)
         return out
 
@@ -148,7 +150,7 @@ def fit(docs: DataFrame) -> KernelClassifier | None:
                     yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array([lang] * len(parts))], names=["part", "lang"])
 
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("part"), "part")
-    ranked = sample.mapInArrow(run, "part binary, lang string").withColumn("place", F.row_number().over(by_hash))
+    ranked = arrow_map(sample, run, "part binary, lang string").withColumn("place", F.row_number().over(by_hash))
     found = materialize(ranked.where(F.col("place") <= max(TRAIN, LEAST_TRAIN)), "segments")
     classes = found.where("place = 1").count()
     if not classes:
@@ -193,7 +195,7 @@ def identify(docs: DataFrame, model: KernelClassifier | None) -> DataFrame:
             lang, score = _predict(column(b, "text"), m, spectrum)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return arrow_map(kept, run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def reject_unclear(docs: DataFrame, model: KernelClassifier | None, least: float) -> DataFrame:
@@ -207,7 +209,7 @@ def reject_unclear(docs: DataFrame, model: KernelClassifier | None, least: float
             lang, score = _predict(column(b, "text"), m, spectrum)
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialize, table
+from .common import arrow_map, column, discard, materialize, table
 from .hashing import blocks, mix, shingles, words
 
 _U = np.uint64
@@ -96,7 +96,7 @@ def _sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n", "sig1", "sig2", "bands"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, bands array<long>")
+    found = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, sig1 long, sig2 long, bands array<long>")
     return found.select("doc_id", "n", F.when(F.col("n") > 0, _class_id()).alias("c"), "bands")
 
 
@@ -112,7 +112,7 @@ def _with_sets(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in kept), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*kept, "n", "sig1", "sig2", "h"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("label", "c", "rep"), "rep")
-    found = texts.select("label", "c", "rep", "text").mapInArrow(run, "label long, c long, rep long, n long, sig1 long, sig2 long, h binary")
+    found = arrow_map(texts.select("label", "c", "rep", "text"), run, "label long, c long, rep long, n long, sig1 long, sig2 long, h binary")
     return found.where(F.col("c") == _class_id()).select("label", "c", "rep", "n", "h")  # rows that repeat an id may have another text
 
 
@@ -201,7 +201,7 @@ def _by_unit(rows: DataFrame, names: list[str], work, schema: str) -> DataFrame:
             out.extend(work(list(zip(*held, strict=True))))
         yield batch()
 
-    return rows.select("unit", *names).repartition("unit").sortWithinPartitions("unit", "c").mapInArrow(run, schema)
+    return arrow_map(rows.select("unit", *names).repartition("unit").sortWithinPartitions("unit", "c"), run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

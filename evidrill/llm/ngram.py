@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, table
+from .common import arrow_map, column, table, trim
 from .hashing import _BLANK, blocks, mix, words
 
 _U = np.uint64
@@ -87,7 +87,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         yield from out(ids, texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "block long, ids array<long>, lengths binary, vocabulary binary, numbers binary")
+    return arrow_map(rows, run, "block long, ids array<long>, lengths binary, vocabulary binary, numbers binary")
 
 
 def _grams(lengths: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,13 +121,14 @@ def _tables(packed: DataFrame, ranges: int) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "gram", "block", "hashes", "counts"])
 
-    return packed.mapInArrow(run, "part int, gram int, block long, hashes binary, counts binary")
+    return arrow_map(packed, run, "part int, gram int, block long, hashes binary, counts binary")
 
 
 def _summed(tables: DataFrame) -> DataFrame:
     """(block, gram, part, totals): the counts over all blocks of what a block has sent, in its order."""
 
     def run(t: pa.Table) -> pa.Table:
+        trim()
         hashes = [np.cumsum(unplanes(x, _U)) for x in t.column("hashes").to_pylist()]
         counts = [unplanes(x, np.uint32) for x in t.column("counts").to_pylist()]
         gram, at = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -141,6 +142,7 @@ def _summed(tables: DataFrame) -> DataFrame:
 
 def _scores(packed: DataFrame, totals: DataFrame, n_words: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         ids = left.column("ids").to_pylist()[0]
         lengths = unplanes(left.column("lengths")[0].as_py(), np.int64)
         word = np.frombuffer(left.column("vocabulary")[0].as_py(), _U)[unplanes(left.column("numbers")[0].as_py(), np.uint32)]
@@ -185,7 +187,7 @@ def _n_words(docs: DataFrame) -> int:
                     n += int((blank[:-1] & ~blank[1:]).sum()) + int(a == 0 and not blank[0])
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    return arrow_map(docs.select(F.col("text").cast("binary").alias("text")), count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def score(docs: DataFrame) -> DataFrame:

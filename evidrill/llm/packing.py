@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BYTE_VOCAB, Recent, TreeEncoder, texts_to_bytes, vocabulary
-from .common import column, materialize, table
+from .common import arrow_map, column, materialize, table
 
 CAPACITY = 1024
 END = 2
@@ -185,7 +185,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "r"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -210,7 +210,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence[k] + r - first[k]), pa.array(offset[k])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    packed = short.select("doc_id", "piece", "start", "length", "ids_crc32", "r").mapInArrow(run, schema)
+    packed = arrow_map(short.select("doc_id", "piece", "start", "length", "ids_crc32", "r"), run, schema)
     full = pieces.where(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.lit(1 << 62) + F.col("part").cast("long") * F.lit(1 << 36) + F.col("r")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

@@ -13,7 +13,7 @@ index: the run-compressed Burrows-Wheeler transform with the text positions samp
 of its runs.  From these samples alone the matching statistics are streamed over the text: for
 each position, the lexicographic predecessor and how many bytes it has in common with it.
 Matches of at least ``length`` bytes chain equal strings together, and a string is removed if
-its chain has an earlier start.  An anchor with more bytes around it than ``INDEX`` isn't one
+its chain has an earlier start.  An anchor with more bytes around it than ``CROWDED`` isn't one
 task's work: its strings meet one by one, by a 128-bit hash of their bytes.
 
 Texts are UTF-8 bytes; null is empty.  Rows with the same doc_id and text are one document
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialize, table
+from .common import arrow_map, column, materialize, table, trim
 from .hashing import blocks, mix, prefix, spans, windows
 
 _U = np.uint64
@@ -44,8 +44,8 @@ _LOW = _U((1 << _POS) - 1)
 SLICE = 1 << 22
 #: Bytes of text whose runs a task collapses and sends together.
 FLUSH = 24 << 20
-#: Bytes of runs in one index.
-INDEX = 1 << 20
+#: Bytes of runs in one index, about, and around one anchor at most.
+INDEX, CROWDED = 1 << 18, 1 << 20
 #: Bytes of text whose runs meet in one bucket, about.
 BUCKET = 24 << 20
 _ENTRY = np.dtype([("kh", "<u8"), ("ch", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("s0", "<i4"), ("off", "u1"), ("n", "u1")])
@@ -142,13 +142,14 @@ def _entries(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         if parts:
             yield out(parts)
 
-    return docs.mapInArrow(run, "bucket int, kind int, blob binary")
+    return arrow_map(docs, run, "bucket int, kind int, blob binary")
 
 
 def _meet(entries: DataFrame) -> DataFrame:
     """(doc, th, s0, s1, p, kh, removed): runs that repeat, and those whose bytes must be compared."""
 
     def run(t: pa.Table) -> pa.Table:
+        trim()
         kind, blob = t.column("kind").to_pylist(), t.column("blob").to_pylist()
         known = np.frombuffer(b"".join([x for x, k in zip(blob, kind, strict=True) if k]), _ENTRY)
         e = _earlier_first(np.frombuffer(b"".join([x for x, k in zip(blob, kind, strict=True) if not k]), _ENTRY))
@@ -290,7 +291,7 @@ def _compare(runs: DataFrame, length: int) -> DataFrame:
             yield index(rows)
 
     ordered = runs.repartition("kh").sortWithinPartitions("kh", "doc", "th", "s0")
-    return ordered.mapInArrow(run, "doc long, th long, s0 long, s1 long")
+    return arrow_map(ordered, run, "doc long, th long, s0 long, s1 long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -315,7 +316,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     met = materialize(_meet(_entries(keyed, buckets, length)), "runs")
     differ = met.where("not removed")
-    crowded = differ.groupBy("kh").agg(F.sum(F.col("s1") - F.col("s0") + length).alias("size")).where(F.col("size") > INDEX).select("kh", F.lit(True).alias("crowded"))
+    crowded = differ.groupBy("kh").agg(F.sum(F.col("s1") - F.col("s0") + length).alias("size")).where(F.col("size") > CROWDED).select("kh", F.lit(True).alias("crowded"))
     differ = differ.join(crowded, "kh", "left").withColumn("crowded", F.col("crowded").isNotNull())
     asked = differ.groupBy("doc", "th").agg(F.collect_set(F.struct("s0", "s1", "kh", "crowded")).alias("asked"))
 
@@ -325,7 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.bool_())], names=["kh", "doc", "th", "s0", "bytes", "crowded"])
 
-    fetched = keyed.join(asked, ["doc", "th"]).select("doc", "th", "bytes", "asked").mapInArrow(fetch, "kh long, doc long, th long, s0 long, bytes binary, crowded boolean")
+    fetched = arrow_map(keyed.join(asked, ["doc", "th"]).select("doc", "th", "bytes", "asked"), fetch, "kh long, doc long, th long, s0 long, bytes binary, crowded boolean")
     found = [met.where("removed").select("doc", "th", "s0", "s1")]
     if crowded.isEmpty():
         found.append(_compare(fetched.drop("crowded"), length))
@@ -381,7 +382,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(parts, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _keyed(docs).join(found, ["doc", "th"], "left").select(F.when(F.col("doc") < _LAST, F.col("doc")).alias("doc_id"), "bytes", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -401,7 +402,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
     kept = rows.select(*names, "__spans")
-    cut_rows = kept.mapInArrow(run, kept.drop("__spans").schema).toDF(*docs.columns)
+    cut_rows = arrow_map(kept, run, kept.drop("__spans").schema).toDF(*docs.columns)
     return cut_rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_rows
 
 

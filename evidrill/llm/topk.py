@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import arrow_map, discard, materialize, table
 
 SCALE = 1024
 HEAD = 16
@@ -64,7 +64,7 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
         i, j = np.divmod(np.arange(dim * dim), dim)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "x"])
 
-    cells = vectors.select("v").mapInArrow(run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    cells = arrow_map(vectors.select("v"), run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
     gram = np.zeros((dim, dim))
     for r in cells:
         gram[r["i"], r["j"]] = r["x"]

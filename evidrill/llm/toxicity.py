@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialize, table
+from .common import arrow_map, column, discard, materialize, table
 
 PER_CLASS, BLOCK, NEIGHBOURS, POWER, PRIOR = 3000, 64, 25, 4, 1.0
 LEAST_DF, LEAST_RATIO, LEAST_G = 5, 4.0, 15.0
@@ -176,7 +176,7 @@ def _statistics(sample: DataFrame) -> DataFrame:
             t = terms[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array([df[1][x] for x in t], pa.int64()), pa.array([df[0][x] for x in t], pa.int64())], names=["term", "bad", "good"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return arrow_map(sample.select("text", "toxic"), run, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def _g(a: int, b: int, n1: int, n0: int) -> float:
@@ -220,7 +220,7 @@ def _counted(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
 
     fields = list(docs.schema.fields)
     fields[at] = T.StructField("terms", T.ArrayType(T.LongType()))
-    return docs.mapInArrow(run, T.StructType(fields))
+    return arrow_map(docs, run, T.StructType(fields))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame]:
@@ -263,7 +263,7 @@ def score_rows(rows: DataFrame, model: Model | None) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.LongType())]))
+    return arrow_map(rows, run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.LongType())]))
 
 
 def reject_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -277,7 +277,7 @@ def reject_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
             keep = [m is None or m.score(dict(counts_of(text, m.terms, heads)))[0] < 0.5 for text in column(b, "text")]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,9 +156,9 @@ def brute_repeats(docs, length):
 
 
 def test_repeats_equal_brute_force(spark, monkeypatch):
-    for cut, index in ((suffix.SLICE, suffix.INDEX), (500, 300)):  # long texts are read in slices; crowded anchors string by string
+    for cut, index in ((suffix.SLICE, suffix.CROWDED), (500, 300)):  # long texts are read in slices; crowded anchors string by string
         monkeypatch.setattr(suffix, "SLICE", cut)
-        monkeypatch.setattr(suffix, "INDEX", index)
+        monkeypatch.setattr(suffix, "CROWDED", index)
         docs = corpus(spark, 50, 3)
         rows = sorted({(r["doc_id"], r["text"]) for r in docs.collect()}, key=lambda x: x[0])
         gone = brute_repeats(rows, 100)
