@@ -145,8 +145,9 @@ def _entries(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     return arrow_map(docs, run, "bucket int, kind int, blob binary")
 
 
-def _meet(entries: DataFrame) -> DataFrame:
-    """(doc, th, s0, s1, p, kh, removed): runs that repeat, and those whose bytes must be compared."""
+def _meet(entries: DataFrame, length: int) -> DataFrame:
+    """(doc, th, s0, s1, p, kh, removed, crowded): runs that repeat, and those whose bytes must be compared; all runs around an anchor meet here."""
+    most = CROWDED
 
     def run(t: pa.Table) -> pa.Table:
         trim()
@@ -160,12 +161,18 @@ def _meet(entries: DataFrame) -> DataFrame:
             same = one["kh"][1:] == one["kh"][:-1]
             differ[1:] |= same
             differ[:-1] |= same
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            size = np.add.reduceat(one["n"].astype(np.int64) + length, first)
+            around = np.repeat(size, np.diff(np.concatenate([first, [len(one)]])))
+        else:
+            around = np.zeros(0, np.int64)
         rows = np.concatenate([known, e[again], one[differ]])
         removed = np.arange(len(rows)) < len(rows) - int(differ.sum())
+        crowded = np.concatenate([np.zeros(len(rows) - int(differ.sum()), bool), around[differ] > most])
         s0 = rows["s0"].astype(np.int64)
-        return pa.table({"doc": rows["doc"], "th": rows["th"], "s0": s0, "s1": s0 + rows["n"], "p": s0 + rows["off"], "kh": rows["kh"].view(np.int64), "removed": removed})
+        return pa.table({"doc": rows["doc"], "th": rows["th"], "s0": s0, "s1": s0 + rows["n"], "p": s0 + rows["off"], "kh": rows["kh"].view(np.int64), "removed": removed, "crowded": crowded})
 
-    return entries.groupBy("bucket").applyInArrow(run, "doc long, th long, s0 long, s1 long, p long, kh long, removed boolean")
+    return entries.groupBy("bucket").applyInArrow(run, "doc long, th long, s0 long, s1 long, p long, kh long, removed boolean, crowded boolean")
 
 
 # -- the index --------------------------------------------------------------------------
@@ -314,25 +321,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = _keyed(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
-    met = materialize(_meet(_entries(keyed, buckets, length)), "runs")
-    differ = met.where("not removed")
-    crowded = differ.groupBy("kh").agg(F.sum(F.col("s1") - F.col("s0") + length).alias("size")).where(F.col("size") > CROWDED).select("kh", F.lit(True).alias("crowded"))
-    differ = differ.join(crowded, "kh", "left").withColumn("crowded", F.col("crowded").isNotNull())
-    asked = differ.groupBy("doc", "th").agg(F.collect_set(F.struct("s0", "s1", "kh", "crowded")).alias("asked"))
+    met = materialize(_meet(_entries(keyed, buckets, length), length), "runs")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(x["kh"], doc, th, x["s0"], t[x["s0"] : x["s1"] + length], x["crowded"]) for doc, th, t, xs in zip(column(b, "doc"), column(b, "th"), column(b, "bytes"), column(b, "asked"), strict=True) for x in xs]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.bool_())], names=["kh", "doc", "th", "s0", "bytes", "crowded"])
-
-    fetched = arrow_map(keyed.join(asked, ["doc", "th"]).select("doc", "th", "bytes", "asked"), fetch, "kh long, doc long, th long, s0 long, bytes binary, crowded boolean")
-    found = [met.where("removed").select("doc", "th", "s0", "s1")]
-    if crowded.isEmpty():
-        found.append(_compare(fetched.drop("crowded"), length))
-    else:
-        fetched = materialize(fetched, "fetched")
-        found += [_compare(fetched.where("not crowded"), length), _one_by_one(fetched.where("crowded"), length)]
+            out = [(x["kh"], doc, th, x["s0"], t[x["s0"] : x["s1"] + length]) for doc, th, t, xs in zip(column(b, "doc"), column(b, "th"), column(b, "bytes"), column(b, "asked"), strict=True) for x in xs]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["kh", "doc", "th", "s0", "bytes"])
+
+    def fetched(runs: DataFrame) -> DataFrame:
+        asked = runs.groupBy("doc", "th").agg(F.collect_set(F.struct("s0", "s1", "kh")).alias("asked"))
+        return arrow_map(keyed.join(asked, ["doc", "th"]).select("doc", "th", "bytes", "asked"), fetch, "kh long, doc long, th long, s0 long, bytes binary")
+
+    differ = met.where("not removed")
+    found = [met.where("removed").select("doc", "th", "s0", "s1"), _compare(fetched(differ.where("not crowded")), length)]
+    if not met.where("crowded").isEmpty():
+        found.append(_one_by_one(fetched(differ.where("crowded")), length))
     every = found[0].unionByName(found[1]) if len(found) == 2 else found[0].unionByName(found[1]).unionByName(found[2])
     return every.groupBy("doc", "th").agg(F.collect_list(F.struct("s0", (F.col("s1") + length).alias("s1"))).alias("spans"))
 
