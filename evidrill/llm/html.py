@@ -361,7 +361,7 @@ def training_pages(n: int = 400, seed: int = 7) -> list[tuple[Page, list[int]]]:
     def content() -> str:
         parts = [f"<h1>{words(2, 14)}</h1>"] if r.random() < 0.9 else []
         for _ in range(r.randint(1, 12)):
-            parts.append(r.choices([para, lambda: f"<h2>{words(1, 8)}</h2>", lambda: "<ul>" + "".join(f"<li>{words(2, 20)}</li>" for _ in range(r.randint(2, 5))) + "</ul>", lambda: f"<blockquote>{para()}</blockquote>", lambda: f"<pre>{words(3, 20)}</pre>", lambda: f"<figure><figcaption>{words(2, 12, '.')}</figcaption></figure>", lambda: f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", lambda: f"<div>{words(10, 60, '.')}</div>", lambda: f"<section>{para()}{para()}</section>"], [14, 2, 1, 1, 1, 1, 1, 1, 1])[0]())
+            parts.append(r.choices([para, lambda: f"<h2>{words(1, 8)}</h2>", lambda: f"<{(t := r.choice(['ul', 'ul', 'ol']))}>" + "".join(f"<li>{words(1, r.choice([4, 8, 20]), r.choice(['', '', '.']))}</li>" for _ in range(r.randint(2, 7))) + f"</{t}>", lambda: f"<blockquote>{para()}</blockquote>", lambda: f"<pre>{words(3, 20)}</pre>", lambda: f"<figure><figcaption>{words(2, 12, '.')}</figcaption></figure>", lambda: f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", lambda: f"<div>{words(10, 60, '.')}</div>", lambda: f"<section>{para()}{para()}</section>"], [14, 2, 3, 1, 1, 1, 1, 1, 1])[0]())
             if r.random() < 0.08:
                 parts.append(noise(r.choice(["ad", "side", "share", "join", "notice"])))
         return "".join(parts)

@@ -542,3 +542,78 @@ def test_messages_give_exact_marginals():
         for i, x in enumerate(s):
             mass[i][x] += w
     assert np.allclose(model.marginals(page), [m[1] / sum(m) for m in mass])
+
+
+# -- answers against plain versions -----------------------------------------------------------
+
+
+def brute_entries(text):
+    import regex
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    tokens = []
+    for run in regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\t\n\x0b\f\r ]+", (text or "").lower()):
+        tokens += [run] if len(run) <= 16 else [run[i : i + 16] for i in range(len(run) - 15)]
+    each = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+
+    def grams(n):
+        out = []
+        for i in range(len(each) - n + 1):
+            h = 42
+            for x in each[i : i + n]:
+                h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+            out.append(signed((h & ~0xFFFFFF & (1 << 64) - 1) | (0xFFFFFF - i)))
+        return out
+
+    if len(each) < 2 * (winnow.W + winnow.K - 1):
+        return [e for n in range(1, winnow.K + 1) for e in grams(n)]
+    g = grams(winnow.K)
+    return list(dict.fromkeys(min(g[i : i + winnow.W]) for i in range(len(g) - winnow.W + 1)))
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, tmp_path):
+    docs = corpus(spark, 30, 5).where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: -r[0])
+    got = {r["doc_id"]: r for r in winnow.op5_winnowing(spark, str(tmp_path)).collect()}
+    printed = lambda es: " ".join(f"{(e >> 24) & (1 << 40) - 1:X}@{0xFFFFFF - (e & 0xFFFFFF):X}" for e in es)
+    hashes = lambda es: {(e >> 24) & (1 << 40) - 1 for e in es}
+    for i, (doc, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        m = len(t) // 3
+        own, new, other = brute_entries(t), brute_entries(t[: len(t) - m] + after[:m]), brute_entries(after)
+        like = lambda a, b: len(hashes(a) & hashes(b)) / len(hashes(a) | hashes(b)) if a or b else 1.0
+        g = got[doc]
+        assert (g["fingerprint"], g["edited_fingerprint"]) == (printed(own), printed(new))
+        assert abs(g["near_edited"] - like(own, new)) < 1e-12 and abs(g["near_next"] - like(own, other)) < 1e-12
+
+
+def test_string_kernel_equals_sets():
+    r = random.Random(6)
+    parts = [" ".join("".join(r.choice("abcdéñ") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 80))).encode() for _ in range(30)]
+    sets = [{p[i : i + n] for n in range(1, langid.SPECTRUM + 1) for i in range(len(p) - n + 1)} for p in parts]
+    kernel = langid.Spectrum(parts[:7]).kernel(parts)
+    want = [[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets[:7]] for a in sets]
+    assert np.allclose(kernel, want)
+    assert langid.segments("½ ² ① Ⅷ 12") == [] and langid.segments("1 é 2") == ["é".encode().join([b" ", b" "])]
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    model, n = html.TreeModel.fit(html.training_pages(60)), 60_000
+    for source in ("<a " * n, "<span>" * n + "x</p>" * n, "<a '>' " * n, "<p><td>" + "<span>" * n + "<h1></h1>" * n, "<div>" * n + "x" + "</div>" * n, '<a "' * n + ">", "<li>" * n, "<b><p>" * n, "<form>" * n + "t"):
+        began = time.process_time()
+        model.text(source)
+        assert time.process_time() - began < 10, source[:20]
+
+
+def test_pages_that_no_generator_wrote():
+    model = html.TreeModel.fit(html.training_pages())
+    wrapped = "<html><body><form action=x id=aspnet><input type=hidden value=1><div class=header><a href=/>Home</a></div><div class=content><h1>River levels fall</h1><p>The river fell by two metres over the dry summer, the agency said.</p><p>Boats can't pass the lock until the rain comes back in autumn.</p></div></form></body></html>"
+    assert model.text(wrapped) == "River levels fall\n\nThe river fell by two metres over the dry summer, the agency said.\n\nBoats can't pass the lock until the rain comes back in autumn."
+    blog = """<body><header><h2>My blog</h2></header><nav><a href=1>About</a> <a href=2>Archive</a></nav><main><article><h1>Bread</h1><p>Mix flour &amp; water, and wait for a whole day before baking.</p><ul><li>500 g of flour</li><li>350 g of water</li></ul>
+      <form><p>Get our letter every week, free of charge.</p><input name=mail></form></article><section class="comments"><h3>3 comments</h3><div class="comment"><p>Great recipe, thanks a lot!</p></div></section></main>
+      <aside class="sidebar"><h3>Popular</h3><ul><li><a href=3>Cake</a></li></ul></aside><div class="cookie-notice">We use cookies.</div><footer>&copy; 2024</footer></body>"""
+    assert model.text(blog) == "Bread\n\nMix flour & water, and wait for a whole day before baking.\n\n500 g of flour\n\n350 g of water"
