@@ -934,6 +934,24 @@ def _(t: Tables) -> DataFrame:
     return quality.enrich(t.ranked().select("qid", "cid", "raw_rank"), details, "cid").select("qid", "cid", "raw_rank", "label")
 
 
+@query("scalar_rules", """SELECT doc_id, CASE WHEN doc_id < 10000 THEN 'Q' || lpad(doc_id::VARCHAR, 4, '0') ELSE 'Q' || doc_id END AS number, '{"a":"' || doc_id || '","b":"x"}' AS form, 'https://x/?q=a%26' || doc_id AS url, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 101)::INTEGER END AS score, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, 'm/' || doc_id AS member FROM documents""")
+def _(t: Tables) -> DataFrame:
+    d = F.col("doc_id")
+    text = d.cast("string")
+    score = F.when(d % 7 == 0, F.concat(F.lit("0"), (d % 101).cast("string"))).otherwise((d % 101).cast("string"))
+    flag = F.when(d % 3 == 0, " TRUE").when(d % 3 == 1, "False ").otherwise("maybe")
+    return t.read("documents").select(
+        d, P.numbered("Q", d).alias("number"), P.canonical_json(F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), text)).alias("form"), P.search_url("https://x/?q=", F.concat(F.lit("a&"), text)).alias("url"),
+        P.whole_score(score).alias("score"), P.flag(flag).alias("flag"), P.member_name(F.concat(F.lit("././m/"), text)).alias("member"),
+    )
+
+
+@query("unit_vectors", ", n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT vec_id, round(e[1] / n, 6) AS first, round(e[len(e)] / n, 6) AS last FROM n")
+def _(t: Tables) -> DataFrame:
+    u = P.unit(F.col("vec"))
+    return t.vectors().select("vec_id", F.get(u, F.lit(0)).alias("first"), F.element_at(u, -1).alias("last"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

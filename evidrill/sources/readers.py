@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import tarfile
@@ -148,10 +149,12 @@ def image_check(rows: DataFrame, path: str = "image_path", content: str = "conte
                             out.append((p, True, "ok" if image.format == "JPEG" else "unexpected_format", image.format, *image.size))
                     except Exception:  # noqa: BLE001 - any decoder error makes the file unreadable
                         out.append((p, True, "unreadable", None, None, None))
-            yield pd.DataFrame(out, columns=[path, "file_found", "status", "format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
+            found = pd.DataFrame(out, columns=[path, "file_found", "status", "format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
+            found["size_bytes"] = pd.array([None if x is None else len(x) for x in b[content]], "Int64")
+            found["sha256"] = [None if x is None else hashlib.sha256(x).hexdigest() for x in b[content]]
+            yield found
 
-    checked = rows.select(path, content).mapInPandas(run, f"{path} string, file_found boolean, status string, format string, width int, height int")
-    return checked.join(rows.select(path, F.length(content).cast("long").alias("size_bytes"), F.sha2(content, 256).alias("sha256")), path)
+    return rows.select(path, content).mapInPandas(run, f"{path} string, file_found boolean, status string, format string, width int, height int, size_bytes long, sha256 string")
 
 
 def config(path: str) -> dict:
