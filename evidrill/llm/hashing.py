@@ -10,7 +10,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once; a longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ K = 32
 _POS = 24
 _LOW = _U((1 << _POS) - 1)
 #: Bytes of one text hashed at once; a longer text is cut, with overlap.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Bytes of text whose runs a task collapses and sends together.
 FLUSH = 24 << 20
 #: Bytes of runs in one index, about, and around one anchor at most.
