@@ -8,14 +8,17 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrill.functions import predicates as P
 from evidrill.operators.audit import count_if
 
-#: Vectors in a block of either side.
-BLOCK = 4_096
+#: Queries of a task at most, and vectors of either side in one product.
+QUERIES, BLOCK = 24_576, 512
+#: Candidates that give the first floors; pairs held between two scorings, and scored at once.
+FIRST, HELD, PAIRS = 8_192, 1 << 21, 1 << 10
 
 
 def vector_contract(vectors: DataFrame, vec: str, tolerance: float = 1e-5) -> DataFrame:
@@ -27,31 +30,202 @@ def vector_contract(vectors: DataFrame, vec: str, tolerance: float = 1e-5) -> Da
 def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", cid: str = "cid", vec: str = "vec", block: int = BLOCK) -> DataFrame:
     """(qid, cid, similarity, raw_rank), ties to the smaller cid.
 
-    Both sides are cut in blocks, a task multiplies one block by another and keeps its k best,
-    so no side is broadcast and a task holds two blocks, whatever the sizes.
+    Every query meets every vector.  A task holds a part of the queries with their k best, and the
+    corpus streams by in batches, so no side is broadcast or whole in one place, and only the k best
+    leave a task.  Of equal vectors the k with the smallest cids take part: no others can be among
+    the k best.  The corpus goes by in hash order, so that few candidates pass for a while only.
     """
-    q, c = queries.select(F.col(qid).alias("qid"), F.col(vec).alias("qv")), corpus.select(F.col(cid).alias("cid"), F.col(vec).alias("cv"))
-    nq, nc = (max(1, -(-d.count() // block)) for d in (q, c))
-    of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select("qid", "qv", of("qid", nq).alias("qb"), every(nc).alias("cb"))
-    right = c.select("cid", "cv", every(nq).alias("qb"), of("cid", nc).alias("cb"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"qid": [], "cid": [], "similarity": []})
-        b = b.sort_values("cid")
-        x, y = (np.stack(s.to_numpy()).astype(np.float64) for s in (a["qv"], b["cv"]))
-        sim = np.zeros((len(a), len(b)))
-        for d in range(x.shape[1]):  # term by term, so sums are those of a fold
-            sim += x[:, d, None] * y[None, :, d]
-        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), at.shape[1]), "cid": b["cid"].to_numpy()[at].ravel(), "similarity": np.take_along_axis(sim, at, 1).ravel()})
-
+    q, c = queries.select(F.col(qid).alias("qid"), F.col(vec).alias("v")), corpus.select(F.col(cid).alias("cid"), F.col(vec).alias("v"))
+    n, cores = q.count(), q.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(-(-n // block), cores * -(-n // (QUERIES * cores))))
+    w = Window.partitionBy(F.xxhash64("v"), "v").orderBy("cid")
+    c = c.withColumn("copy", F.row_number().over(w)).where(F.col("copy") <= k)
     kinds = dict(q.dtypes) | dict(c.dtypes)
-    pairs = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, f"qid {kinds['qid']}, cid {kinds['cid']}, similarity double")
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "cid")
-    return pairs.withColumn("raw_rank", F.row_number().over(w)).where(F.col("raw_rank") <= k)
+    asked = q.select(F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("side"), F.xxhash64("qid").alias("at"), "qid", F.lit(None).cast(kinds["cid"]).alias("cid"), "v")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    found = c.select(every.alias("part"), F.lit(1).alias("side"), F.xxhash64("cid").alias("at"), F.lit(None).cast(kinds["qid"]).alias("qid"), "cid", "v")
+    dealt = asked.unionByName(found).repartitionById(parts, "part").sortWithinPartitions("side", "at").select("side", "qid", "cid", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, best = [], [], None
+        for b in batches:
+            side = b.column(0).to_numpy(zero_copy_only=False)
+            split = int(np.searchsorted(side, 1))
+            if split:
+                ids.append(_ids(b.column(1)[:split]))
+                vectors.append(_matrix(b.column(3)[:split]))
+            if split < len(side) and ids:
+                best = best or Best(np.concatenate(ids), _stacked(vectors), k, block)
+                best.meet(_ids(b.column(2)[split:]), _matrix(b.column(3)[split:]))
+        if best is None:
+            return
+        names, types = ["qid", "cid", "similarity", "raw_rank"], [b.schema.field(1).type, b.schema.field(2).type, pa.float64(), pa.int32()]
+        columns = best.result()
+        for a in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)], t) for x, t in zip(columns, types, strict=True)], names=names)
+
+    return dealt.mapInArrow(run, f"qid {kinds['qid']}, cid {kinds['cid']}, similarity double, raw_rank int")
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    if column.null_count:
+        raise ValueError("an id is null")
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    ends = column.offsets.to_numpy()
+    widths = np.diff(ends)
+    flat = column.flatten()
+    if column.null_count or flat.null_count or (widths != widths[0]).any():
+        raise ValueError("a vector is null, holds null or differs in its number of components")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _stacked(parts: list[np.ndarray]) -> np.ndarray:
+    if len({x.shape[1] for x in parts}) > 1:
+        raise ValueError("vectors differ in their number of components")
+    return np.concatenate(parts)
+
+
+class Best:
+    """The k best candidates of some queries, as candidates come by.
+
+    Products in single precision only pass candidates over: those whose product, with the most that
+    rounding can take from it, stays below the k-th score so far.  All others are scored term by
+    term in double precision, so sums are those of a fold.  Where single precision may overflow, or
+    a vector isn't finite, nothing is passed over.  NaN is above all numbers, as in SQL.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, block: int):
+        self.ids, self.exact, self.k, self.block = ids, vectors, k, block
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.single, self.norm = vectors.astype(np.float32), _norms(vectors)
+        self.floor = np.full(len(ids), -np.inf)  # at most the k-th score
+        self.rows, self.scores, self.found = np.empty(0, np.int64), np.empty(0), None
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting, self.fresh = 0, True
+
+    def _slack(self, norm: np.ndarray, most: float) -> np.ndarray:
+        """What rounding can add to a product or take from it."""
+        dim = self.exact.shape[1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = norm * most
+            slack = (dim + 8) * 2.0**-24 * size + dim * 2e-38 * (1 + norm + most)
+        return np.where((size < 1e37) & (norm < 1e37) & (most < 1e37), slack, np.inf)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if vectors.shape[1] != self.exact.shape[1]:
+            raise ValueError("vectors differ in their number of components")
+        with np.errstate(over="ignore", invalid="ignore"):
+            single, norm = vectors.astype(np.float32), _norms(vectors)
+            if self.fresh and len(ids) > self.k:
+                self._first(single[:FIRST], norm[:FIRST].max())
+            self.fresh = False
+            held, hits = 0, []
+            n, step = len(self.ids), self.block
+            buffer, below = np.empty(step * step, np.float32), np.empty(step * step, bool)
+            for c in range(0, len(ids), step):
+                side, floor = np.ascontiguousarray(single[c : c + step].T), None
+                width, most = side.shape[1], norm[c : c + step].max()
+                for q in range(0, n, step):
+                    if floor is None:
+                        floor = np.nextafter((self.floor - self._slack(self.norm, most)).astype(np.float32), np.float32(-np.inf))[:, None]
+                    some = self.single[q : q + step]
+                    product, low = (x[: len(some) * width].reshape(len(some), width) for x in (buffer, below))
+                    np.matmul(some, side, out=product)
+                    np.less(product, floor[q : q + step], out=low)
+                    at = _not_set(below[: len(some) * width])
+                    if len(at):
+                        row, col = np.divmod(at, width)
+                        hits.append((row + q, col + c))
+                        held += len(at)
+                    if held > HELD:
+                        self._score(hits, ids, vectors)
+                        held, hits, floor = 0, [], None
+            if hits:
+                self._score(hits, ids, vectors)
+
+    def _first(self, single: np.ndarray, most: float) -> None:
+        """Floors that k of the first candidates reach."""
+        slack, k, side = self._slack(self.norm, most), self.k, np.ascontiguousarray(single.T)
+        if len(single) < k:
+            return
+        step = max(1, min(self.block, (1 << 22) // len(single)))
+        for q in range(0, len(self.ids), step):
+            kth = np.partition(self.single[q : q + step] @ side, len(single) - k, axis=1)[:, len(single) - k]
+            ok = np.isfinite(kth) & np.isfinite(slack[q : q + step])
+            self.floor[q : q + step] = np.where(ok, kth - slack[q : q + step], -np.inf)
+
+    def _score(self, hits: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, vectors: np.ndarray) -> None:
+        rows, cols = (np.concatenate(x) for x in zip(*hits, strict=True))
+        for a in range(0, len(rows), PAIRS):
+            r, c = rows[a : a + PAIRS], cols[a : a + PAIRS]
+            score = np.cumsum(np.multiply(self.exact[r], vectors[c], dtype=np.float64), axis=1)[:, -1]  # a fold, unlike a sum
+            keep = ~(score < self.floor[r])
+            self.pending.append((r[keep], score[keep], ids[c[keep]]))
+            self.waiting += len(self.pending[-1][0])
+        if self.waiting >= min(len(self.ids) * self.k // 4, HELD):
+            self._settle()
+
+    def _settle(self) -> None:
+        if not self.pending:
+            return
+        old = [] if self.found is None else [(self.rows, self.scores, self.found)]
+        rows, scores, found = (np.concatenate(x) for x in zip(*old, *self.pending, strict=True))
+        self.pending, self.waiting = [], 0
+        rank, (self.rows, self.scores, self.found) = _ranked(rows, scores, found, self.k)
+        last = rank == self.k
+        self.floor[self.rows[last]] = self.scores[last]
+
+    def result(self) -> tuple[np.ndarray, ...]:
+        """(qid, cid, similarity, rank); rows that share a qid are one query."""
+        self._settle()
+        if self.found is None:
+            return np.empty(0, self.ids.dtype), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32)
+        names, of = np.unique(self.ids, return_inverse=True)
+        rank, (rows, scores, found) = _ranked(of[self.rows], self.scores, self.found, self.k)
+        return names[rows], found, scores, rank.astype(np.int32)
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths; infinite where they aren't numbers."""
+    n = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
+    return np.where(np.isnan(n), np.inf, n)
+
+
+def _not_set(flags: np.ndarray) -> np.ndarray:
+    """The places of False in contiguous flags that are mostly True; eight are looked at at once."""
+    if len(flags) % 8:
+        return np.flatnonzero(~flags)
+    words = np.flatnonzero(flags.view(np.uint64) != 0x0101010101010101)
+    word, byte = np.nonzero(~flags.reshape(-1, 8)[words])
+    return words[word] * 8 + byte
+
+
+def _ranked(rows: np.ndarray, scores: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best of each row by descending score, then id, with their ranks from 1; in order of rows."""
+    if len(rows) and rows.max() < 1 << 16 and np.isfinite(scores).all():
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
+        rows, scores, found = rows[order], scores[order], found[order]
+        n = np.bincount(rows)
+        start, width = np.cumsum(n) - n, n.max()
+        if len(n) * width <= 4 * len(rows) + (1 << 20):
+            wide = np.full((len(n), width), np.inf)
+            wide[rows, np.arange(len(rows)) - start[rows]] = -scores
+            at = np.argsort(wide, axis=1)
+            top = np.take_along_axis(wide, at[:, : k + 1], 1)
+            if not ((top[:, 1:] == top[:, :-1]) & np.isfinite(top[:, 1:])).any():
+                row, place = np.nonzero(np.arange(min(k, width)) < n[:, None])
+                take = start[row] + at[row, place]
+                return place + 1, (row, scores[take], found[take])
+    nan = np.isnan(scores)
+    order = np.lexsort((found, np.where(nan, 0, -scores), ~nan, rows) if nan.any() else (found, -scores, rows))
+    rows, scores, found = rows[order], scores[order], found[order]
+    start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, np.int64)
+    rank = np.arange(1, len(rows) + 1) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
+    keep = rank <= k
+    return rank[keep], (rows[keep], scores[keep], found[keep])
 
 
 def pool_size(queries: DataFrame, corpus: DataFrame, text: str, k: int) -> DataFrame:

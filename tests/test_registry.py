@@ -1,9 +1,12 @@
 import os
 from collections import defaultdict
+from functools import reduce
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from evidrill.operators import registry, sampling
+from evidrill.operators import registry, retrieval, sampling
 from tests.oracle import assert_same, connect
 
 SF = "/root/testdata/sf0.01"
@@ -49,3 +52,57 @@ def test_entry_imports_without_the_optional_parts(spark):
 
     assert set(registry.queries()) <= set(e.queries())
     assert e.entry(spark).count() == 1
+
+
+def _plain(q, c, k):
+    """(qid, cid, similarity, rank) by comparing all with all, sums as folds."""
+    out = []
+    for qid, x in q:
+        scored = sorted((-reduce(lambda s, ab: s + float(ab[0]) * float(ab[1]), zip(x, y, strict=True), 0.0), cid) for cid, y in c)[:k]
+        out += [(qid, cid, -s, i) for i, (s, cid) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def _vectors(spark, rows, key):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], f"{key} long, vec array<float>")
+
+
+@pytest.mark.parametrize("block", [8, 33, 1024])
+def test_search_equals_all_pairs(spark, block):
+    rng = np.random.default_rng(3)
+    v = (rng.normal(size=(300, 9)) * rng.choice([1e-6, 1, 1e4], 300)[:, None]).astype(np.float32)
+    v[40:90] = v[7]  # more copies than k, and near copies
+    v[90:110] = v[7] * np.float32(1 + 2**-22)
+    v[110:120] = 0
+    rows = [(int(i), x) for i, x in zip(rng.permutation(1000)[:300], v, strict=True)]
+    asked = rows[:60] + [(5000 + i, x) for i, x in rows[200:230]]
+    got = retrieval.topk_inner_product(_vectors(spark, asked, "qid"), _vectors(spark, rows, "cid"), 12, block=block).collect()
+    assert sorted(tuple(r) for r in got) == _plain(asked, rows, 12)
+
+
+def test_search_of_long_and_infinite_vectors_passes_nothing_over(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * s]) for i, s in enumerate([1e25, 1, 1e-25, 1e30] * 50)]
+    rows[9] = (9, [float("inf"), 0.5, 0.5, 0.5])
+    make = lambda key: spark.createDataFrame(rows, f"{key} long, vec array<double>")
+    got = retrieval.topk_inner_product(make("qid"), make("cid"), 7, block=16).collect()
+    assert sorted(tuple(r) for r in got if r["qid"] != 9) == [r for r in _plain(rows, rows, 7) if r[0] != 9]
+
+
+def test_search_keeps_what_ids_share_and_names_that_are_text(spark):
+    q = spark.createDataFrame([("x", [1.0, 0.0]), ("x", [0.0, 1.0]), ("y", [1.0, 1.0])], "qid string, vec array<double>")
+    c = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 3.0])], "cid string, vec array<double>")
+    got = retrieval.topk_inner_product(q, c, 2).orderBy("qid", "raw_rank").collect()
+    assert [tuple(r) for r in got] == [("x", "c", 3.0, 1), ("x", "a", 1.0, 2), ("y", "c", 3.0, 1), ("y", "a", 1.0, 2)]
+    assert retrieval.topk_inner_product(q, c.limit(0), 2).count() == 0 == retrieval.topk_inner_product(q.limit(0), c, 2).count()
+    with pytest.raises(Exception, match="null"):
+        retrieval.topk_inner_product(q, spark.createDataFrame([("a", None)], "cid string, vec array<double>"), 2).collect()
+
+
+def test_only_the_best_leave_a_search_task_whatever_the_blocks(spark):
+    rows = spark.range(3_000).select(F.col("id").alias("qid"), F.array(*[F.rand(i) for i in range(4)]).alias("vec"))
+    found = retrieval.topk_inner_product(rows, rows.withColumnRenamed("qid", "cid"), 3, block=16)
+    assert "MapInArrow" in found._jdf.queryExecution().sparkPlan().toString().splitlines()[0]
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    seen = found.groupBy("qid").agg(F.count("*").alias("n")).agg(F.count("*"), F.min("n"), F.max("n")).first()
+    assert tuple(seen) == (3_000, 3, 3)
