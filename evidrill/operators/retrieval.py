@@ -305,20 +305,28 @@ def score_summary(ranked: DataFrame, rank: str = "raw_rank") -> DataFrame:
     return ranked.agg(F.avg(top).alias("top1_mean"), F.median(top).alias("top1_median"), F.min(top).alias("top1_min"), F.max(top).alias("top1_max"), F.avg(at(5)).alias("top5_mean"), F.avg(at(10)).alias("top10_mean"))
 
 
-def filter_diagnostics(filtered: DataFrame, ranked: DataFrame, excluded: Column, k: int, query: str = "qid") -> DataFrame:
-    """How many rows exclusion took, how many queries were refilled, rows left by query."""
-    lost = ranked.agg(count_if(excluded).alias("n_excluded"), count_if(excluded & (F.col("raw_rank") <= k)).alias("n_excluded_top"))
-    per = filtered.groupBy(query).agg(F.count("*").alias("n"), count_if(F.col("raw_rank") > k).alias("refilled"))
-    return lost.crossJoin(per.agg(F.count("*").alias("n_queries"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.sum("refilled").alias("n_refilled"), count_if(F.col("refilled") > 0).alias("queries_refilled")))
+def filter_diagnostics(ranked: DataFrame, excluded: Column, k: int, query: str = "qid") -> DataFrame:
+    """How many rows exclusion took, how many queries ``refill`` refilled, rows left by query; ``ranked`` is read once."""
+    marked = ranked.select(query, "raw_rank", F.coalesce(excluded, F.lit(False)).alias("gone"))
+    marked = marked.withColumn("place", F.row_number().over(Window.partitionBy(query, "gone").orderBy("raw_rank")))
+    gone, left, deep = F.col("gone"), ~F.col("gone") & (F.col("place") <= k), F.col("raw_rank") > k
+    per = marked.groupBy(query).agg(count_if(gone).alias("lost"), count_if(gone & ~deep).alias("lost_top"), count_if(left).alias("n"), count_if(left & deep).alias("refilled"))
+    kept = F.when(F.col("n") > 0, F.col("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(total("lost").alias("n_excluded"), total("lost_top").alias("n_excluded_top"), F.count(kept).alias("n_queries"), F.min(kept).alias("fewest"), F.max(kept).alias("most"), F.sum(F.when(F.col("n") > 0, F.col("refilled"))).alias("n_refilled"), count_if(F.col("refilled") > 0).alias("queries_refilled"))
 
 
 def rank_contract(ranked: DataFrame, k: int, query: str = "qid") -> DataFrame:
-    """Violations of rank order, continuity, uniqueness and score bounds."""
+    """Violations of rank order, continuity, uniqueness and score bounds; ``ranked`` is read once."""
     w = Window.partitionBy(query).orderBy("raw_rank")
     r = ranked.withColumns({"before": F.lag("raw_rank").over(w), "higher": F.lag("similarity").over(w)})
-    per = ranked.groupBy(query).agg(F.count("*").alias("n"), F.count_distinct("raw_rank").alias("ranks"), F.count_distinct("cid").alias("ids"))
-    rows = r.agg(count_if(F.coalesce(F.col("raw_rank") - F.col("before") != 1, F.col("raw_rank") != 1)).alias("rank_gap"), count_if(F.col("similarity") > F.col("higher") + 1e-6).alias("score_rises"), count_if(F.abs("similarity") > 1.00001).alias("score_range"), count_if(~F.col("raw_rank").between(1, k)).alias("rank_range"))
-    return rows.crossJoin(per.agg(count_if(F.col("n") != k).alias("short_query"), count_if(F.col("ranks") != F.col("n")).alias("rank_repeats"), count_if(F.col("ids") != F.col("n")).alias("id_repeats")))
+    rows = {
+        "rank_gap": F.coalesce(F.col("raw_rank") - F.col("before") != 1, F.col("raw_rank") != 1), "score_rises": F.col("similarity") > F.col("higher") + 1e-6,
+        "score_range": F.abs("similarity") > 1.00001, "rank_range": ~F.col("raw_rank").between(1, k),
+    }
+    different = lambda c: F.size(F.collect_set(c))  # noqa: E731  # a query has few rows
+    per = r.groupBy(query).agg(F.count("*").alias("n"), different("raw_rank").alias("ranks"), different("cid").alias("ids"), *[count_if(x).alias(c) for c, x in rows.items()])
+    return per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows], count_if(F.col("n") != k).alias("short_query"), count_if(F.col("ranks") != F.col("n")).alias("rank_repeats"), count_if(F.col("ids") != F.col("n")).alias("id_repeats"))
 
 
 def duplicate_pairs(ranked: DataFrame, group: Column, query: str = "qid") -> DataFrame:

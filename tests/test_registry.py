@@ -106,3 +106,17 @@ def test_only_the_best_leave_a_search_task_whatever_the_blocks(spark):
     assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     seen = found.groupBy("qid").agg(F.count("*").alias("n")).agg(F.count("*"), F.min("n"), F.max("n")).first()
     assert tuple(seen) == (3_000, 3, 3)
+
+
+@pytest.mark.parametrize("name", ["rank_contract", "rank_order_contract", "filter_diagnostics"])
+def test_ranks_are_searched_once(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_rank_reports_of_no_and_of_excluded_rows(spark):
+    rows = spark.createDataFrame([(1, 5, 0.9, 1), (1, 6, 0.8, 2), (1, 7, 0.7, 3), (2, 5, 0.9, 1), (3, 5, 0.4, 1), (3, 5, 0.5, 1)], "qid long, cid long, similarity double, raw_rank int")
+    got = retrieval.filter_diagnostics(rows, F.when(F.col("cid") != 7, (F.col("cid") == 5) & (F.col("qid") < 3)), 2).first()
+    assert tuple(got) == (2, 2, 2, 2, 2, 1, 1)
+    assert tuple(retrieval.rank_contract(rows, 3).drop("score_rises").first()) == (1, 0, 0, 2, 1, 1)  # the order of equal ranks is open
+    assert tuple(retrieval.rank_contract(rows.limit(0), 3).first()) == (0,) * 7
