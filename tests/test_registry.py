@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidrill.operators import registry, retrieval, sampling
+from evidrill.operators import annotation, contracts, quality, registry, retrieval, sampling
 from tests.oracle import assert_same, connect
 
 SF = "/root/testdata/sf0.01"
@@ -120,3 +120,26 @@ def test_rank_reports_of_no_and_of_excluded_rows(spark):
     assert tuple(got) == (2, 2, 2, 2, 2, 1, 1)
     assert tuple(retrieval.rank_contract(rows, 3).drop("score_rises").first()) == (1, 0, 0, 2, 1, 1)  # the order of equal ranks is open
     assert tuple(retrieval.rank_contract(rows.limit(0), 3).first()) == (0,) * 7
+
+
+def test_similarity_by_label_of_odd_scores(spark):
+    rng = np.random.default_rng(5)
+    groups = {"one": [0.25], "two": [0.25, -1e9], "none": [None, None], "some": [None, 3.0, 1.0, 2.0], "far": [1e6 + x for x in rng.normal(size=501) * 1e-3], "same": [0.5] * 40, "wide": list(rng.normal(size=1000) * 1e17), "nan": [1.0, float("nan"), float("nan")], "inf": [float("-inf"), 1.0, 2.0, 3.0]}
+    rows = spark.createDataFrame([("a", g, None if x is None else float(x)) for g, v in groups.items() for x in v], "channel string, event_label string, similarity double")
+    got = {r["event_label"]: r for r in annotation.similarity_by_label(rows, ["channel"]).collect()}
+    want = rows.groupBy("event_label").agg(F.count("*").alias("n_rows"), F.avg("similarity").alias("mean_sim"), F.median("similarity").alias("median_sim"), F.stddev_samp("similarity").alias("std_sim"), F.min("similarity").alias("min_sim"), F.max("similarity").alias("max_sim")).collect()
+    assert len(want) == len(got) == len(groups)
+    for r in want:
+        for c in r.asDict():
+            assert got[r["event_label"]][c] == (r[c] if r[c] is None or isinstance(r[c], str) else pytest.approx(r[c], rel=1e-7, nan_ok=True)), (r["event_label"], c)
+
+
+def test_no_task_of_similarity_by_label_holds_a_map_of_scores(spark):
+    plan = registry.queries()["similarity_by_label"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in plan and "percentile" not in plan
+
+
+@pytest.mark.parametrize("name", ["similarity_by_label"])
+def test_each_channel_is_searched_once(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
