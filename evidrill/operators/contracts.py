@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +75,13 @@ def annotation(rows: DataFrame) -> DataFrame:
 
 
 def deeper_labels(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys unique and not among the old; labels allowed; ranks beyond 5; the flag of a positive as its label says."""
-    again = new.join(old.select(*keys).distinct(), keys, "left_semi").agg(F.count("*").alias("n")).select(F.lit("already_labelled").alias("check"), "n")
+    """Keys unique and not among the old; labels allowed; ranks beyond 5; the flag of a positive as its label says.  Either table is read once."""
     rules = {"label": ~F.coalesce(F.col("event_label").isin("SAME", "RELATED", "IRRELEVANT"), F.lit(False)), "rank": F.coalesce(F.col("rank") <= 5, F.lit(True)), "flag": ~F.col("is_nontrivial_same").eqNullSafe(F.col("event_label") == "SAME")}
-    return checks(new, rules).unionByName(unique(new, keys)).unionByName(again)
+    both = new.select(*keys, F.lit(True).alias("__new"), *[r.alias(f"__{c}") for c, r in rules.items()]).unionByName(old.select(*keys, F.lit(False).alias("__new")), allowMissingColumns=True)
+    per = both.groupBy(*keys).agg(count_if(F.col("__new")).alias("n"), count_if(~F.col("__new")).alias("n_old"), *[count_if(F.col(f"__{c}")).alias(c) for c in rules])
+    met = reduce(and_, [F.col(k).isNotNull() for k in keys], F.col("n_old") > 0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return long(per.agg(*[total(c).alias(c) for c in rules], total(F.when(F.col("n") > 0, F.col("n") - 1)).alias("repeated:" + ",".join(keys)), total(F.when(met, F.col("n"))).alias("already_labelled")))
 
 
 def coverage(table: DataFrame) -> DataFrame:

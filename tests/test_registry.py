@@ -139,7 +139,15 @@ def test_no_task_of_similarity_by_label_holds_a_map_of_scores(spark):
     assert "median(" not in plan and "percentile" not in plan
 
 
-@pytest.mark.parametrize("name", ["similarity_by_label"])
+@pytest.mark.parametrize("name", ["similarity_by_label", "deeper_labels"])
 def test_each_channel_is_searched_once(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
+
+
+def test_deeper_labels_counts_repeats_and_null_keys(spark):
+    new = spark.createDataFrame([(1, 1, 6, "SAME", True), (1, 1, 7, "SAME", True), (1, 2, 5, "MAYBE", False), (None, 3, 9, None, None), (None, 3, 9, "RELATED", True)], "qid long, cid long, rank int, event_label string, is_nontrivial_same boolean")
+    old = spark.createDataFrame([(1, 1), (1, 1), (None, 3), (8, 8)], "qid long, cid long")
+    got = lambda a, b: dict(tuple(r) for r in contracts.deeper_labels(a, b, ["qid", "cid"]).collect())
+    assert got(new, old) == {"label": 2, "rank": 1, "flag": 1, "repeated:qid,cid": 2, "already_labelled": 2}
+    assert set(got(new.limit(0), old).values()) == {0}
