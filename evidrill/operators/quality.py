@@ -7,9 +7,9 @@ infinities, which strict JSON lacks, are marked before parsing.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrill.functions import predicates as P
@@ -212,9 +212,16 @@ def protected_alignment(expected: DataFrame, actual: DataFrame, key: str, editab
     return reduce(DataFrame.unionByName, [spare, *ids, both])
 
 
-def label_reuse(rows: DataFrame, labelled: DataFrame, pair: list[str], columns: list[str]) -> DataFrame:
-    """``rows`` of any channel with the labels that their pair has; null where it has none."""
-    return rows.join(labelled.select(*pair, *columns).dropDuplicates(pair), pair, "left")
+def label_reuse(rows: DataFrame, labelled: DataFrame | Column, pair: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` of any channel with the labels that their pair has; null where it has none.
+
+    ``labelled`` is a table, or says which of ``rows`` are labelled; these are read once then.
+    """
+    if isinstance(labelled, DataFrame):
+        return rows.join(labelled.select(*pair, *columns).dropDuplicates(pair), pair, "left")
+    known = reduce(and_, [F.col(p).isNotNull() for p in pair], labelled)
+    found = F.min(F.when(known, F.struct(*columns))).over(Window.partitionBy(*pair))
+    return rows.withColumn("__found", found).select(*[c for c in rows.columns if c not in columns], *[F.col("__found")[c].alias(c) for c in columns])
 
 
 def complete(counts: DataFrame, domain: DataFrame, keys: list[str]) -> DataFrame:

@@ -139,7 +139,7 @@ def test_no_task_of_similarity_by_label_holds_a_map_of_scores(spark):
     assert "median(" not in plan and "percentile" not in plan
 
 
-@pytest.mark.parametrize("name", ["similarity_by_label", "deeper_labels"])
+@pytest.mark.parametrize("name", ["similarity_by_label", "deeper_labels", "label_reuse"])
 def test_each_channel_is_searched_once(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
@@ -151,3 +151,10 @@ def test_deeper_labels_counts_repeats_and_null_keys(spark):
     got = lambda a, b: dict(tuple(r) for r in contracts.deeper_labels(a, b, ["qid", "cid"]).collect())
     assert got(new, old) == {"label": 2, "rank": 1, "flag": 1, "repeated:qid,cid": 2, "already_labelled": 2}
     assert set(got(new.limit(0), old).values()) == {0}
+
+
+def test_labels_are_reused_within_one_table(spark):
+    rows = spark.createDataFrame([("a", 1, 2, 1, "SAME"), ("b", 1, 2, 9, "OLD"), ("a", 1, 3, 6, "SAME"), ("a", None, 4, 1, "SAME"), ("b", None, 4, 1, "OLD")], "channel string, qid long, cid long, rank int, event_label string")
+    want = quality.label_reuse(rows.drop("event_label"), rows.where("channel = 'a' AND rank <= 5"), ["qid", "cid"], ["event_label"])
+    got = quality.label_reuse(rows, F.expr("channel = 'a' AND rank <= 5"), ["qid", "cid"], ["event_label"])
+    assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
