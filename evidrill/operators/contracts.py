@@ -85,11 +85,18 @@ def deeper_labels(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def coverage(table: DataFrame) -> DataFrame:
-    """Rates in [0, 1], never falling with depth; the union at least each channel and at most their sum."""
-    u = table.where("scope = 'union'").select("depth", F.col("n_covered").alias("u"))
-    per = table.where("scope <> 'union'").groupBy("depth").agg(F.max("n_covered").alias("most"), F.sum("n_covered").alias("total")).join(u, "depth")
-    rise = table.alias("a").join(table.alias("b"), F.col("a.scope") == F.col("b.scope")).where("a.depth < b.depth AND a.rate > b.rate").agg(F.count("*").alias("n")).select(F.lit("falls").alias("check"), "n")
-    return checks(table, {"rate": ~F.col("rate").between(0, 1)}).unionByName(checks(per, {"union_low": F.col("u") < F.col("most"), "union_high": F.col("u") > F.col("total")})).unionByName(rise)
+    """Rates in [0, 1], never falling with depth; the union at least each channel and at most their sum.  ``table`` has a row for each of a few scopes and depths, and is read once."""
+    rows = F.col("rows")
+    n = lambda x: F.coalesce(x["n_covered"], F.lit(0))
+    channels = lambda x: F.filter(rows, lambda y: (y["scope"] != "union") & (y["depth"] == x["depth"]) & y["n_covered"].isNotNull())
+    of_union = F.filter(rows, lambda x: x["scope"] == "union")
+    falls = lambda a: F.size(F.filter(rows, lambda b: (a["scope"] == b["scope"]) & (a["depth"] < b["depth"]) & (a["rate"] > b["rate"])))
+    return long(table.agg(F.collect_list(F.struct("scope", "depth", "n_covered", "rate")).alias("rows")).select(
+        F.size(F.filter(rows, lambda x: ~x["rate"].between(0, 1))).alias("rate"),
+        F.size(F.filter(of_union, lambda x: F.exists(channels(x), lambda y: x["n_covered"] < y["n_covered"]))).alias("union_low"),
+        F.size(F.filter(of_union, lambda x: (F.size(channels(x)) > 0) & (x["n_covered"] > F.aggregate(channels(x), F.lit(0).cast("long"), lambda s, y: s + n(y))))).alias("union_high"),
+        F.aggregate(rows, F.lit(0), lambda s, a: s + falls(a)).alias("falls"),
+    ))
 
 
 def byte_identity(pairs: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def test_no_task_of_similarity_by_label_holds_a_map_of_scores(spark):
     assert "median(" not in plan and "percentile" not in plan
 
 
-@pytest.mark.parametrize("name", ["similarity_by_label", "deeper_labels", "label_reuse"])
+@pytest.mark.parametrize("name", ["similarity_by_label", "deeper_labels", "label_reuse", "contract_coverage_of_ranks"])
 def test_each_channel_is_searched_once(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
@@ -158,3 +158,10 @@ def test_labels_are_reused_within_one_table(spark):
     want = quality.label_reuse(rows.drop("event_label"), rows.where("channel = 'a' AND rank <= 5"), ["qid", "cid"], ["event_label"])
     got = quality.label_reuse(rows, F.expr("channel = 'a' AND rank <= 5"), ["qid", "cid"], ["event_label"])
     assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
+
+
+def test_coverage_counts_each_violation(spark):
+    rows = [("a", 1, 3, 0.3), ("a", 5, 4, 0.2), ("b", 1, None, None), ("b", 5, 9, 1.5), ("union", 1, 2, 0.2), ("union", 5, 20, 0.9), ("union", 9, 20, 0.1)]
+    table = spark.createDataFrame(rows, "scope string, depth int, n_covered long, rate double")
+    assert [tuple(r) for r in contracts.coverage(table).collect()] == [("rate", 1), ("union_low", 1), ("union_high", 1), ("falls", 3)]
+    assert {r["n"] for r in contracts.coverage(table.limit(0)).collect()} == {0}
