@@ -155,9 +155,10 @@ def coverage_by_depth(first: DataFrame, depths: list[int], query: str = "qid", c
 
 
 def first_rank_stats(first: DataFrame, query: str = "qid", channel: str = "channel") -> DataFrame:
-    """Bounds and median of first ranks, by channel and of each query's best."""
-    best = first.groupBy(query).agg(F.min("first_rank").alias("first_rank")).withColumn("scope", F.lit("union"))
-    both = first.select(query, F.col(channel).alias("scope"), "first_rank").unionByName(best.select(query, "scope", "first_rank"))
+    """Bounds and median of first ranks, by channel and of each query's best; ``first`` is read once."""
+    scope = lambda name, rank: F.struct(name.alias("scope"), rank.alias("first_rank"))
+    per = first.groupBy(query).agg(F.collect_list(scope(F.col(channel), F.col("first_rank"))).alias("each"), F.min("first_rank").alias("best"))  # a query has few channels
+    both = per.select(F.explode(F.concat("each", F.array(scope(F.lit("union"), F.col("best"))))).alias("x")).select("x.*")
     return both.where("first_rank IS NOT NULL").groupBy("scope").agg(F.count("*").alias("n"), F.min("first_rank").alias("best"), F.median("first_rank").alias("median"), F.max("first_rank").alias("worst"))
 
 

@@ -139,7 +139,7 @@ def test_no_task_of_similarity_by_label_holds_a_map_of_scores(spark):
     assert "median(" not in plan and "percentile" not in plan
 
 
-@pytest.mark.parametrize("name", ["similarity_by_label", "deeper_labels", "label_reuse", "contract_coverage_of_ranks"])
+@pytest.mark.parametrize("name", ["similarity_by_label", "deeper_labels", "label_reuse", "contract_coverage_of_ranks", "first_rank_stats"])
 def test_each_channel_is_searched_once(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
