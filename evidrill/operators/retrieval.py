@@ -161,7 +161,7 @@ class Best:
         rows, cols = (np.concatenate(x) for x in zip(*hits, strict=True))
         for a in range(0, len(rows), PAIRS):
             r, c = rows[a : a + PAIRS], cols[a : a + PAIRS]
-            score = np.cumsum(np.multiply(self.exact[r], vectors[c], dtype=np.float64), axis=1)[:, -1]  # a fold, unlike a sum
+            score = _folded(self.exact[r], vectors[c])
             keep = ~(score < self.floor[r])
             self.pending.append((r[keep], score[keep], ids[c[keep]]))
             self.waiting += len(self.pending[-1][0])
@@ -188,6 +188,14 @@ class Best:
         return names[rows], found, scores, rank.astype(np.int32)
 
 
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, term by term from the first on, as a fold; a sum along a row goes in another order."""
+    if len(a) < 2:
+        return np.cumsum(np.multiply(a, b, dtype=np.float64), axis=1)[:, -1]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    return np.add.reduce(np.multiply(a, b, dtype=np.float64), axis=0)  # row is added to row
+
+
 def _norms(vectors: np.ndarray) -> np.ndarray:
     """Lengths; infinite where they aren't numbers."""
     n = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))

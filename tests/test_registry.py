@@ -165,3 +165,12 @@ def test_coverage_counts_each_violation(spark):
     table = spark.createDataFrame(rows, "scope string, depth int, n_covered long, rate double")
     assert [tuple(r) for r in contracts.coverage(table).collect()] == [("rate", 1), ("union_low", 1), ("union_high", 1), ("falls", 3)]
     assert {r["n"] for r in contracts.coverage(table.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize("dim", [1, 2, 9, 64])
+@pytest.mark.parametrize("n", [1, 2, 3, 500])
+def test_scores_are_folds_whatever_the_number_of_pairs(n, dim):
+    rng = np.random.default_rng(6)
+    a, b = (rng.normal(size=(n, dim)).astype(np.float32) for _ in "ab")
+    want = [reduce(lambda s, xy: s + float(xy[0]) * float(xy[1]), zip(x, y, strict=True), 0.0) for x, y in zip(a, b, strict=True)]
+    assert retrieval._folded(a, b).tolist() == want
