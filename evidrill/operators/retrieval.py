@@ -339,8 +339,8 @@ def rank_contract(ranked: DataFrame, k: int, query: str = "qid") -> DataFrame:
 
 def duplicate_pairs(ranked: DataFrame, group: Column, query: str = "qid") -> DataFrame:
     """Rows of known duplicates, queries that meet either of a group, and those that meet several."""
-    per = ranked.where(group.isNotNull()).groupBy(query, group.alias("g")).agg(F.count("*").alias("n"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count_distinct(query).alias("queries_either"), F.count_distinct(F.when(F.col("n") >= 2, F.col(query))).alias("queries_both"))
+    per = ranked.where(group.isNotNull()).groupBy(query).agg(F.count("*").alias("n"), F.size(F.collect_set(group)).alias("groups"))  # a query has few rows
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(query).alias("queries_either"), F.count(F.when(F.col("groups") < F.col("n"), F.col(query))).alias("queries_both"))
 
 
 def paired_cosine(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -180,3 +180,10 @@ def test_masks_of_an_empty_table_are_counted_as_in_sql(spark, tmp_path):
     spark.read.parquet(f"{SF}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = registry.queries()["exclusion_masks"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("image_to_image", 0), ("image_to_text", 0), ("text_to_text", 0)]
+
+
+def test_duplicate_pairs_count_queries_without_expanding_rows(spark):
+    assert "Expand" not in registry.queries()["dup_pair_diag"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([(1, 5, 0), (1, 6, 1), (2, 5, 0), (2, 7, 0), (2, 8, 1), (None, 5, 0), (None, 6, 0), (3, 9, None)], "qid long, cid long, g long")
+    assert tuple(retrieval.duplicate_pairs(rows, F.col("g")).first()) == (7, 2, 1)
+    assert tuple(retrieval.duplicate_pairs(rows.limit(0), F.col("g")).first()) == (0, 0, 0)
