@@ -149,9 +149,9 @@ def first_rank(rows: DataFrame, positive: Column, query: str = "qid", channel: s
 def coverage_by_depth(first: DataFrame, depths: list[int], query: str = "qid", channel: str = "channel") -> DataFrame:
     """Queries with a positive up to each depth, by channel and over all channels."""
     scopes, at = F.explode(F.array(F.col(channel), F.lit("union"))), F.explode(F.array(*[F.lit(d) for d in depths]))
-    at = first.select(query, "first_rank", scopes.alias("scope")).select("*", at.alias("depth"))
-    hit = F.count_distinct(F.when(F.col("first_rank") <= F.col("depth"), F.col(query)))
-    return at.groupBy("scope", "depth").agg(F.count_distinct(query).alias("n_queries"), hit.alias("n_covered"), (hit.cast("double") / F.count_distinct(query)).alias("rate"))
+    best = first.select(query, "first_rank", scopes.alias("scope")).groupBy(query, "scope").agg(F.min("first_rank").alias("best"))
+    n, hit = F.count(query), F.count(F.when(F.col("best") <= F.col("depth"), F.col(query)))
+    return best.select("*", at.alias("depth")).groupBy("scope", "depth").agg(n.alias("n_queries"), hit.alias("n_covered"), (hit.cast("double") / n).alias("rate"))
 
 
 def first_rank_stats(first: DataFrame, query: str = "qid", channel: str = "channel") -> DataFrame:

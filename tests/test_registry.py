@@ -187,3 +187,10 @@ def test_duplicate_pairs_count_queries_without_expanding_rows(spark):
     rows = spark.createDataFrame([(1, 5, 0), (1, 6, 1), (2, 5, 0), (2, 7, 0), (2, 8, 1), (None, 5, 0), (None, 6, 0), (3, 9, None)], "qid long, cid long, g long")
     assert tuple(retrieval.duplicate_pairs(rows, F.col("g")).first()) == (7, 2, 1)
     assert tuple(retrieval.duplicate_pairs(rows.limit(0), F.col("g")).first()) == (0, 0, 0)
+
+
+def test_coverage_counts_queries_without_expanding_rows(spark):
+    assert "Expand" not in registry.queries()["coverage_by_depth"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    first = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "a", None), (2, "a", 2), (None, "a", 1)], "qid long, channel string, first_rank int")
+    got = {(r["scope"], r["depth"]): (r["n_queries"], r["n_covered"], r["rate"]) for r in annotation.coverage_by_depth(first, [1, 2]).collect()}
+    assert got == {("a", 1): (2, 0, 0.0), ("a", 2): (2, 1, 0.5), ("b", 1): (1, 1, 1.0), ("b", 2): (1, 1, 1.0), ("union", 1): (2, 1, 0.5), ("union", 2): (2, 2, 1.0)}
