@@ -282,7 +282,7 @@ def flag_contract(rows: DataFrame, duplicates: list[tuple[str, str]], queries: D
     return counted.agg(*[count_if(F.col(f"`{c}`")).alias(c) for c in counted.columns])
 
 
-def refill(ranked: DataFrame, excluded: Column, k: int, query: str = "qid") -> DataFrame:
+def refill(ranked: DataFrame, excluded: Column, k: int, query: str | list[str] = "qid") -> DataFrame:
     """Ranks after exclusion; places that are freed are taken by what comes next in the pool."""
     kept = ranked.where(~F.coalesce(excluded, F.lit(False)))
     return kept.withColumn("filtered_rank", F.row_number().over(Window.partitionBy(query).orderBy("raw_rank"))).where(F.col("filtered_rank") <= k)

@@ -194,3 +194,29 @@ def test_coverage_counts_queries_without_expanding_rows(spark):
     first = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "a", None), (2, "a", 2), (None, "a", 1)], "qid long, channel string, first_rank int")
     got = {(r["scope"], r["depth"]): (r["n_queries"], r["n_covered"], r["rate"]) for r in annotation.coverage_by_depth(first, [1, 2]).collect()}
     assert got == {("a", 1): (2, 0, 0.0), ("a", 2): (2, 1, 0.5), ("b", 1): (1, 1, 1.0), ("b", 2): (1, 1, 1.0), ("union", 1): (2, 1, 0.5), ("union", 2): (2, 2, 1.0)}
+
+
+@pytest.mark.parametrize("name", ["candidate_union", "workload"])
+def test_unions_of_candidates_read_no_labels(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "label" not in plan
+
+
+def _plan(spark, name):
+    """The physical plan without broadcasts, as for large tables."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize(
+    ("name", "most"),
+    [("event_rates", 7), ("event_rates_subsets", 7), ("sensitivity", 8), ("exclusion_accounting", 7), ("visual_repeats", 6), ("first_rank", 6), ("reviewed_prefix", 6), ("coverage_by_depth", 7), ("rank_rates", 8)],
+)
+def test_ranked_rows_are_dealt_out_by_candidate_and_claim_only(spark, name, most):
+    plan = _plan(spark, name)
+    assert plan.count("MapInArrow") == 2
+    assert plan.count("Exchange hashpartitioning") <= most  # two of each search's corpus, two labels, rows by candidate and by claim; reports
