@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from evidrill.functions import predicates as P
 from evidrill.operators.audit import count_if
 
-#: Queries of a task at most, and vectors of either side in one product.
-QUERIES, BLOCK = 24_576, 512
+#: Queries of a task at most, as many more as fewer than DEPTH of each are kept, up to MOST (``_ranked`` is
+#: faster below 2^16), and vectors of either side in one product.
+QUERIES, DEPTH, MOST, BLOCK = 24_576, 52, 57_344, 512
+#: The last rank that ``score_summary`` reads.
+SUMMARY = 10
 #: Candidates that give the first floors; pairs held between two scorings, and scored at once.
 FIRST, HELD, PAIRS = 8_192, 1 << 21, 1 << 10
 
@@ -32,12 +35,14 @@ def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int, qid: str =
 
     Every query meets every vector.  A task holds a part of the queries with their k best, and the
     corpus streams by in batches, so no side is broadcast or whole in one place, and only the k best
-    leave a task.  Of equal vectors the k with the smallest cids take part: no others can be among
-    the k best.  The corpus goes by in hash order, so that few candidates pass for a while only.
+    leave a task.  Every part has the corpus sent to it, so there are as few as the k best allow.
+    Of equal vectors the k with the smallest cids take part: no others can be among the k best.  The
+    corpus goes by in hash order, so that few candidates pass for a while only.
     """
     q, c = queries.select(F.col(qid).alias("qid"), F.col(vec).alias("v")), corpus.select(F.col(cid).alias("cid"), F.col(vec).alias("v"))
     n, cores = q.count(), q.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(-(-n // block), cores * -(-n // (QUERIES * cores))))
+    held = min(MOST, max(QUERIES, QUERIES * DEPTH // max(k, 1)))
+    parts = max(1, min(-(-n // block), cores * -(-n // (held * cores))))
     w = Window.partitionBy(F.xxhash64("v"), "v").orderBy("cid")
     c = c.withColumn("copy", F.row_number().over(w)).where(F.col("copy") <= k)
     kinds = dict(q.dtypes) | dict(c.dtypes)
@@ -310,7 +315,7 @@ def score_summary(ranked: DataFrame, rank: str = "raw_rank") -> DataFrame:
     """The best similarity of queries, and means over all rows of the first five and ten ranks."""
     s, at = F.col("similarity"), lambda k: F.when(F.col(rank) <= k, F.col("similarity"))
     top = F.when(F.col(rank) == 1, s)
-    return ranked.agg(F.avg(top).alias("top1_mean"), F.median(top).alias("top1_median"), F.min(top).alias("top1_min"), F.max(top).alias("top1_max"), F.avg(at(5)).alias("top5_mean"), F.avg(at(10)).alias("top10_mean"))
+    return ranked.agg(F.avg(top).alias("top1_mean"), F.median(top).alias("top1_median"), F.min(top).alias("top1_min"), F.max(top).alias("top1_max"), F.avg(at(5)).alias("top5_mean"), F.avg(at(SUMMARY)).alias("top10_mean"))
 
 
 def filter_diagnostics(ranked: DataFrame, excluded: Column, k: int, query: str = "qid") -> DataFrame:

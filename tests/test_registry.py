@@ -108,6 +108,23 @@ def test_only_the_best_leave_a_search_task_whatever_the_blocks(spark):
     assert tuple(seen) == (3_000, 3, 3)
 
 
+def test_corpus_is_sent_to_fewer_parts_if_fewer_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERIES", 100)
+    rows = spark.range(3_000).select(F.col("id").alias("qid"), F.array(*[F.rand(i) for i in range(4)]).alias("vec"))
+    few, many = (retrieval.topk_inner_product(rows, rows.withColumnRenamed("qid", "cid"), k, block=16) for k in (3, 52))
+    cores = spark.sparkContext.defaultParallelism
+    assert few.rdd.getNumPartitions() == cores * -(-3_000 // (1_733 * cores)) < many.rdd.getNumPartitions() == cores * -(-3_000 // (100 * cores))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.where("raw_rank <= 3").collect()))
+
+
+def test_score_summary_keeps_only_the_ranks_it_reads(spark, monkeypatch):
+    kept, search = [], retrieval.topk_inner_product
+    monkeypatch.setattr(retrieval, "topk_inner_product", lambda q, c, k, **named: kept.append(k) or search(q, c, k, **named))
+    got = registry.queries()["score_summary"](spark, SF).collect()
+    assert kept == [10]
+    assert got == registry.rounded(retrieval.score_summary(registry.Tables(spark, SF).ranked())).collect()
+
+
 @pytest.mark.parametrize("name", ["rank_contract", "rank_order_contract", "filter_diagnostics"])
 def test_ranks_are_searched_once(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
